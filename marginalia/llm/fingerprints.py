@@ -77,21 +77,23 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     texts are shuffled once by doc_id and never lie in a window; the byte comparison shuffles distinct texts.
     """
     order = materialise(successors(docs), "next")
-    by_id = Window.partitionBy("doc_id").orderBy("n", "h")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text")).withColumn("h", F.xxhash64("text"))
+    # joins on the id alone, so that one exchange of the texts serves both; an id as text tells null from all others
+    ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    by_id = Window.partitionBy("id").orderBy("n", "h")
+    texts = docs.select("doc_id", ident("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text")).withColumn("h", F.xxhash64("text"))
     # rows of one doc_id in the order of successors(); null texts are empty there too
     texts = texts.withColumn("copy", F.row_number().over(by_id)).drop("n", "h")
-    asked = order.select(F.col("next_id").alias("doc_id"), F.col("next_copy").alias("copy"), F.col("doc_id").alias("to_id"), F.col("copy").alias("to_copy"), F.expr("int(n_chars div 4)").alias("k"))
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.copy") == F.col(f"{b}.copy"))
+    asked = order.select(ident("next_id").alias("id"), F.col("next_copy").alias("copy"), ident("doc_id").alias("to_id"), F.col("copy").alias("to_copy"), F.expr("int(n_chars div 4)").alias("k"))
+    same = lambda a, b: (F.col(f"{a}.id") == F.col(f"{b}.id")) & (F.col(f"{a}.copy") <= F.col(f"{b}.copy")) & (F.col(f"{a}.copy") >= F.col(f"{b}.copy"))
     heads = texts.alias("t").join(asked.alias("a"), same("t", "a")).select(
-        F.col("to_id").alias("doc_id"), F.col("to_copy").alias("copy"), F.expr("substring(text, 1, k)").alias("head"), digest(canonical(F.col("text"))).alias("next_digest"))
+        F.col("to_id").alias("id"), F.col("to_copy").alias("copy"), F.expr("substring(text, 1, k)").alias("head"), digest(canonical(F.col("text"))).alias("next_digest"))
     both = texts.alias("t").join(heads.alias("n"), same("t", "n")).select("t.doc_id", "text", "next_digest", F.length("text").alias("n_chars"), "head")
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, n_chars - n_chars div 4)"), "head"))
     rows = both.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
-    found = materialise(rows.select("doc_id", F.col("n_chars").cast("long"), F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("canon")).alias("fingerprint"), digest(F.col("edited_canon")).alias("edited_fingerprint"), "next_digest"), "digests")
+    found = materialise(rows.select("doc_id", F.col("n_chars").cast("long"), F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("canon")).alias("fingerprint"), digest(F.col("edited_canon")).alias("edited_fingerprint"), (F.col("canon") == F.col("edited_canon")).alias("edit_equal"), "next_digest"), "digests")
     own = docs.select(canonical(F.col("text")).alias("canon")).select(digest(F.col("canon")).alias("digest"), "canon")
     clashes = materialise(resolve_collisions(own), "collisions")
     if not clashes.isEmpty():
         raise ValueError("two texts share a 128-bit digest; use fingerprint(), which tells them apart")
-    equal = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", equal("edited_fingerprint").alias("near_edited"), equal("next_digest").alias("near_next"))
+    next_equal = (F.col("fingerprint") == F.col("next_digest")).cast("double")
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("edit_equal").cast("double").alias("near_edited"), next_equal.alias("near_next"))
