@@ -24,11 +24,14 @@ def digest(canon: Column) -> Column:
 def resolve_collisions(rows: DataFrame) -> DataFrame:
     """Buckets of one digest that hold different bytes: ``digest, canon, suffix`` for all but the first text there.
 
-    Rows ``digest, canon`` are reduced to distinct pairs before and after the shuffle, so a text that a third of all
+    Digests that several texts share are found first, from the number of distinct texts alone. Rows ``digest, canon`` are reduced to distinct pairs before and after the shuffle, so a text that a third of all
     documents share is one row for each task; pairs are compared byte by byte. Usually the result is empty.
     """
     distinct = rows.groupBy("digest", "canon").agg(F.count(F.lit(1)).alias("n"))
-    several = distinct.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("digest"))).where("size > 1")
+    clashing = materialise(distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "clashes")
+    if clashing.isEmpty():
+        return rows.select("digest", "canon", F.lit(1).alias("suffix")).limit(0)
+    several = rows.join(clashing, "digest", "left_semi").groupBy("digest", "canon").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1
     return several.select("digest", "canon", rank.alias("suffix")).where("suffix > 0")
 
@@ -80,14 +83,14 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     # joins on the id alone, so that one exchange of the texts serves both; an id as text tells null from all others
     ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     by_id = Window.partitionBy("id").orderBy("n", "h")
-    texts = docs.select("doc_id", ident("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text")).withColumn("h", F.xxhash64("text"))
+    texts = docs.select(ident("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text")).withColumn("h", F.xxhash64("text"))
     # rows of one doc_id in the order of successors(); null texts are empty there too
     texts = texts.withColumn("copy", F.row_number().over(by_id)).drop("n", "h")
-    asked = order.select(ident("next_id").alias("id"), F.col("next_copy").alias("copy"), ident("doc_id").alias("to_id"), F.col("copy").alias("to_copy"), F.expr("int(n_chars div 4)").alias("k"))
+    asked = order.select(ident("next_id").alias("id"), F.col("next_copy").alias("copy"), ident("doc_id").alias("to_id"), F.col("copy").alias("to_copy"), F.col("doc_id").alias("to_doc"), F.expr("int(n_chars div 4)").alias("k"))
     same = lambda a, b: (F.col(f"{a}.id") == F.col(f"{b}.id")) & (F.col(f"{a}.copy") <= F.col(f"{b}.copy")) & (F.col(f"{a}.copy") >= F.col(f"{b}.copy"))
     heads = texts.alias("t").join(asked.alias("a"), same("t", "a")).select(
-        F.col("to_id").alias("id"), F.col("to_copy").alias("copy"), F.expr("substring(text, 1, k)").alias("head"), digest(canonical(F.col("text"))).alias("next_digest"))
-    both = texts.alias("t").join(heads.alias("n"), same("t", "n")).select("t.doc_id", "text", "next_digest", F.length("text").alias("n_chars"), "head")
+        F.col("to_id").alias("id"), F.col("to_copy").alias("copy"), F.col("to_doc").alias("doc_id"), F.expr("substring(text, 1, k)").alias("head"), digest(canonical(F.col("text"))).alias("next_digest"))
+    both = texts.alias("t").join(heads.alias("n"), same("t", "n")).select("n.doc_id", "text", "next_digest", F.length("text").alias("n_chars"), "head")
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, n_chars - n_chars div 4)"), "head"))
     rows = both.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
     found = materialise(rows.select("doc_id", F.col("n_chars").cast("long"), F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("canon")).alias("fingerprint"), digest(F.col("edited_canon")).alias("edited_fingerprint"), (F.col("canon") == F.col("edited_canon")).alias("edit_equal"), "next_digest"), "digests")
