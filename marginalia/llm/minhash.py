@@ -14,7 +14,6 @@ from ._common import bounded_batches, materialise
 from .components import components
 
 _FULL = np.uint64(2**64 - 1)
-_CACHE = 300_000
 
 
 @dataclass(frozen=True)
@@ -37,28 +36,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SEGMENT = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+
+
 class Shingler:
-    """Texts to sorted arrays of 64-bit shingle hashes; word hashes seen are kept in a bounded table."""
+    """Texts to sorted arrays of 64-bit shingle hashes, in whole-array steps over the bytes of a text."""
 
     def __init__(self, words: int):
-        self.words, self.seen = words, {}
+        self.words = words
+        self._powers(_SEGMENT // 16)
+
+    def _powers(self, n: int) -> None:
+        self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(n, x, np.uint64)]).astype(np.uint64)) for x in (_BASE, pow(_BASE, -1, 2**64)))
+
+    def _hashes(self, data: bytes) -> np.ndarray:
+        """A hash of each word: the polynomial of its bytes, from running sums over the whole segment."""
+        b = np.frombuffer(data, np.uint8)
+        if len(b) > len(self.up):
+            self._powers(2 * len(b))
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[b], [True]])))
+        start, end = edge[0::2], edge[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * self.up[: len(b)], out=sums[1:])
+        return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def __call__(self, text: str | None) -> np.ndarray:
         """A-Z lower-cased, split at ASCII white space; fewer words than a shingle are one shingle, none an empty set."""
-        tokens = text.encode().lower().split() if text else []
-        if not tokens:
+        data, parts, at = text.encode().lower() if text else b"", [], 0
+        while len(data) - at > _SEGMENT:  # long texts in segments that end at white space
+            cut = next((i for i in range(at + _SEGMENT, len(data)) if _BLANK[data[i]]), len(data))
+            parts.append(self._hashes(data[at:cut]))
+            at = cut
+        parts.append(self._hashes(data[at:]))
+        h = np.concatenate(parts)
+        if not len(h):
             return np.empty(0, np.uint64)
-        if len(self.seen) > _CACHE:
-            self.seen.clear()
-        seen = self.seen
-        for w in set(tokens) - seen.keys():
-            seen[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
-        k = min(self.words, len(tokens))
+        k = min(self.words, len(h))
         n = len(h) - k + 1
         out = np.full(n, k, np.uint64)
         for i in range(k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+            out = _mix(out * np.uint64(_BASE) + h[i : i + n])
         return np.unique(out)
 
 
