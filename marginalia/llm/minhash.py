@@ -50,7 +50,8 @@ class Shingler:
         self._powers(_SEGMENT // 16)
 
     def _powers(self, n: int) -> None:
-        self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(n, x, np.uint64)]).astype(np.uint64)) for x in (_BASE, pow(_BASE, -1, 2**64)))
+        one = np.ones(1, np.uint64)
+        self.up, self.down = (np.cumprod(np.concatenate([one, np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64)))
 
     def _hashes(self, data: bytes) -> np.ndarray:
         """A hash of each word: the polynomial of its bytes, from running sums over the whole segment."""
