@@ -83,41 +83,48 @@ def train(labelled: DataFrame, limits: Limits = Limits(), key: str = "doc_id", t
         tables[r["n"]].setdefault(r["s"], np.zeros(len(langs)))[at[r["lang"]]] = r["c"]
         total[r["n"], at[r["lang"]]] = r["total"]
     # add one half to every count: what a language lacks is rare there, not impossible
-    logs = {n: {s: np.log((c + 0.5) / (total[n] + 0.5 * len(t))).astype(np.float32) for s, c in t.items()} for n, t in tables.items()}
+    logs = {n: {s: tuple(np.log((c + 0.5) / (total[n] + 0.5 * len(t))).tolist()) for s, c in t.items()} for n, t in tables.items()}
     return {"langs": langs, "words": logs.get(0, {}), "grams": {n: logs.get(n, {}) for n in range(1, longest + 1)}}
 
 
 class Scorer:
-    """The model in a worker; scores of words seen are kept in a bounded table."""
+    """The model in a worker: one table row for each known word, and for unseen words met, up to a bound."""
 
     def __init__(self, model: dict):
         self.langs, self.known, self.grams = model["langs"], model["words"], model["grams"]
-        self.cache: dict[str, np.ndarray] = {}
+        self.table = np.zeros((len(self.known) + _CACHE, len(self.langs)), np.float32)
+        self.forget()
 
-    def word(self, word: str) -> np.ndarray:
-        """A known word's log frequencies; else the mean over its longest n-grams of which any is known; else nothing."""
-        found = self.known.get(word)
-        if found is not None:
-            return found
+    def forget(self) -> None:
+        self.row = {w: i for i, w in enumerate(self.known)}
+        if self.known:
+            self.table[: len(self.known)] = list(self.known.values())
+
+    def unseen(self, word: str) -> list[float]:
+        """The mean over the word's longest n-grams of which any is known; nothing if none is."""
         for n in sorted(self.grams, reverse=True):
-            logs = [x for x in map(self.grams[n].get, grams(word, n)) if x is not None]
+            found = self.grams[n]
+            logs = [found[g] for g in grams(word, n) if g in found]
             if logs:
-                return np.mean(logs, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return [sum(x) / len(logs) for x in zip(*logs)]
+        return [0.0] * len(self.langs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(_LETTERS.findall(text.lower())) if text else None
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        rows = []
-        for w in words:
-            x = self.cache.get(w)
-            if x is None:
-                x = self.cache[w] = self.word(w)
-            rows.append(x)
-        score = np.fromiter(words.values(), np.float64, len(words)) @ np.stack(rows)
+        score, names = np.zeros(len(self.langs)), list(words)
+        counts = np.fromiter(words.values(), np.float64, len(names))
+        for at in range(0, len(names), _CACHE):
+            part = names[at : at + _CACHE]
+            if len(self.row) + len(part) > len(self.table):
+                self.forget()
+            row = self.row
+            for w in part:
+                if w not in row:
+                    self.table[len(row)] = self.unseen(w)
+                    row[w] = len(row)
+            score += counts[at : at + _CACHE] @ self.table[np.fromiter(map(row.__getitem__, part), np.intp, len(part))]
         best = int(np.argmax(score))
         return self.langs[best], float(1 / np.exp(score - score[best]).sum())
 
