@@ -1 +1,5 @@
-"""Part of the catalog engine."""
+"""The registered catalog queries; importing this package registers all of them."""
+
+from . import analysis, queries
+
+__all__ = ["analysis", "queries"]

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, STATE_SQL, capture_events, messages, note_files, read
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def n(name: str = "n"):
@@ -119,11 +107,11 @@ def mood_cycle(s, d):
     return notes(s, d).where("mood is not null").groupBy("mood", F.dayofweek("created_at").alias("weekday")).agg(n())
 
 
-@query(f"{N}, d AS (SELECT created, count(*) AS c FROM notes WHERE doc_id % 365 % 30 < 15 GROUP BY created), g AS (SELECT *, CASE WHEN created - lag(created) OVER (ORDER BY created) < 7 THEN 0 ELSE 1 END AS new FROM d), p AS (SELECT *, sum(new) OVER (ORDER BY created) AS phase FROM g) SELECT min(created) AS first_day, max(created) AS last_day, sum(c)::BIGINT AS n_notes FROM p GROUP BY phase")
+@query(f"{N}, d AS (SELECT created - CASE WHEN doc_id % 365 % 30 >= 15 THEN 15 ELSE 0 END AS created, count(*) AS c FROM notes GROUP BY ALL), g AS (SELECT *, CASE WHEN created - lag(created) OVER (ORDER BY created) < 7 THEN 0 ELSE 1 END AS new FROM d), p AS (SELECT *, sum(new) OVER (ORDER BY created) AS phase FROM g) SELECT min(created) AS first_day, max(created) AS last_day, sum(c)::BIGINT AS n_notes FROM p GROUP BY phase")
 def growth_phases(s, d):
-    """Only the first half of every thirty days is active in this calendar, so that there are gaps to find."""
-    f = note_files(s, d)
-    return C.growth_phases(f.where("doc_id % 365 % 30 < 15").select(F.col("created").alias("created_at")))
+    """The second half of every thirty days is moved to the first, so that there are gaps to find."""
+    moved = F.date_sub("created", F.when(F.col("doc_id") % 365 % 30 >= 15, 15).otherwise(0))
+    return C.growth_phases(note_files(s, d).select(moved.alias("created_at")))
 
 
 @query(f"{N} SELECT CASE WHEN words < 100 THEN 'low' WHEN words < 400 THEN 'medium' ELSE 'high' END AS level, count(*) AS n FROM notes GROUP BY ALL")
