@@ -1,5 +1,5 @@
 """The registered catalog queries; importing this package registers all of them."""
 
-from . import analysis, queries
+from . import analysis, queries, writing
 
-__all__ = ["analysis", "queries"]
+__all__ = ["analysis", "queries", "writing"]
