@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip, word_count
+from .text import slug, strip, word_count
 
 
 def head_by_words(text: Column, longest: int) -> Column:
@@ -67,6 +67,25 @@ def upsert_link(note: Column, hub: Column, heading: str = "## Related Hub Notes"
     return F.when(F.contains(note, F.concat(F.lit("[["), hub, F.lit("]]"))), note).when(at > 0, inserted).otherwise(added)
 
 
+def append_link(note: Column, hub: Column, heading: str = "Related Hub Notes") -> Column:
+    """Add a link after the others of its section, in place of a placeholder, or in a new section; a note that has it stays as it is."""
+    link = F.concat(F.lit("- [["), hub, F.lit("]]"))
+    found = F.regexp_extract(note, rf"(?s)(## {heading}[^\n]*\n)(.*?)(?=\n##|\z)", 1)
+    inside = F.regexp_extract(note, rf"(?s)(## {heading}[^\n]*\n)(.*?)(?=\n##|\z)", 2)
+    at = F.locate(f"## {heading}", note)
+    before, after = F.substring(note, F.lit(1), at - 1 + F.length(found)), F.substring(note, at + F.length(found) + F.length(inside), F.length(note))
+    bare = F.regexp_replace(inside, r"(?U)\s+$", "")
+    empty = (bare == "") | F.contains(inside, F.lit("(No hub suggestions"))
+    placed = F.concat(before, F.when(empty, link).otherwise(F.concat(bare, F.lit("\n"), link)), F.lit("\n"), after)
+    added = F.concat(F.regexp_replace(note, r"(?U)\s+$", ""), F.lit(f"\n\n## {heading}\n"), link, F.lit("\n"))
+    return F.when(F.contains(note, F.concat(F.lit("[["), hub, F.lit("]]"))), note).when(found != "", placed).otherwise(added)
+
+
+def note_filename(when: Column, title: Column, longest: int = 50) -> Column:
+    """``YYYY-MM-DD--slug.md``."""
+    return F.concat(F.date_format(when, "yyyy-MM-dd"), F.lit("--"), slug(title, longest), F.lit(".md"))
+
+
 def hub_stub(name: Column, created: Column) -> Column:
     """The text of a new hub note."""
     return F.concat(F.lit("---\ntype: hub\nstatus: emerging\ncreated_at: "), created.cast("string"), F.lit("\n---\n# "), name, F.lit("\n\n## Linked Notes\n"))

@@ -31,6 +31,15 @@ def front_list(content: Column, key: str) -> Column:
     return F.filter(F.split(F.coalesce(F.regexp_extract(frontmatter(content), rf"(?md)^{key}: *\[(.*)\]$", 1), F.lit("")), r", *"), lambda x: x != "")
 
 
+def front_map(content: Column) -> Column:
+    """All flat frontmatter values by key; the last of equal keys counts."""
+    lines = F.filter(F.split(frontmatter(content), "\n"), lambda x: x.rlike(r"^[^\s:#][^:]*:"))
+    keys = F.transform(lines, lambda x: strip(F.regexp_extract(x, r"^([^:]*):", 1)))
+    values = F.transform(lines, lambda x: strip(F.regexp_replace(x, r"^[^:]*:", "")))
+    last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.size(keys)).alias("i")), lambda x: ~F.array_contains(F.slice(keys, x["i"] + 1, F.size(keys)), x["k"]))
+    return F.when(F.size(lines) > 0, F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))).otherwise(F.create_map().cast("map<string,string>"))
+
+
 def section(text: Column, name: str) -> Column:
     """The text under a heading, up to the next heading, stripped; empty if there is none."""
     return strip(F.regexp_extract(text, rf"(?is)##?[ \t]*{name}[ \t]*\n(.*?)(?=\n##?\s|\z)", 1))

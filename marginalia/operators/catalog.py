@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as T
+from ..functions import markup as W, text as T
 from .order import evenly, row_index, running_total
 
 
@@ -20,6 +20,40 @@ def parse_notes(files: DataFrame) -> DataFrame:
         words.alias("word_count"), T.token_estimate(words).alias("token_estimate"))
 
 
+def parse_hubs(files: DataFrame) -> DataFrame:
+    """``path, title, status, created_at, linked_notes`` from ``path, content``; the title falls back to the stem."""
+    c, b = F.col("content"), T.body(F.col("content"))
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    return files.select("path", F.coalesce(T.title(b), stem).alias("title"), F.coalesce(T.front_value(c, "status"), F.lit("unknown")).alias("status"),
+                        F.try_to_timestamp(F.substring(T.front_value(c, "created_at"), 1, 10)).cast("date").alias("created_at"), W.note_links(b).alias("linked_notes"))
+
+
+def created_at(content: Column, stem: Column, changed: Column) -> Column:
+    """When a note was made: the first frontmatter field that is a time, the day its name begins with, or the file's own time. Offsets are dropped."""
+    def field(name: str) -> Column:
+        bare = F.regexp_replace(T.front_value(content, name), r"(?:Z|[+-]\d\d:?\d\d)$", "")
+        return F.try_to_timestamp(F.when(bare.rlike(r"^\d{4}-\d\d-\d\d"), bare).otherwise(T.front_value(content, name)))
+
+    return F.coalesce(*map(field, ("created_at", "captured_at", "date")), F.try_to_timestamp(F.nullif(F.regexp_extract(stem, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))), changed)
+
+
+def transcript(items: DataFrame) -> DataFrame:
+    """``part, id, line``: notes, then reflections, then posts, each by time; sorted over the cluster, for ``write.text``."""
+    kind, at = F.col("source_type"), F.col("created_at")
+    mood = F.when((kind == "reflection") & F.col("mood").isNotNull(), F.concat(F.lit("\n[Mood]: "), "mood")).otherwise("")
+    note = F.concat(F.lit("--- [["), "id", F.lit("]] ("), F.date_format(at, "yyyy-MM-dd"), F.lit(") ---\n"), "text", mood)
+    line = F.when(kind == "tweet", F.concat(F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(": "), "text")).otherwise(note)
+    part = F.when(kind == "note", 1).when(kind == "reflection", 2).otherwise(3)
+    return items.select(part.alias("part"), "created_at", "id", line.alias("line")).orderBy("part", "created_at", "id")
+
+
+def fence_repair(files: DataFrame) -> DataFrame:
+    """Add ``fixed, outcome``: the content without a fence around it; ``fixed``, ``skipped`` or, where it cannot be read, ``error``."""
+    bare = T.without_fence(F.col("content"))
+    wrapped = T.strip(F.regexp_replace("content", "^\ufeff", "")).rlike(r"^```(?:markdown|md)?[ \t]*\n")
+    return files.withColumn("fixed", bare).withColumn("outcome", F.when(F.col("content").isNull(), "error").when(wrapped, "fixed").otherwise("skipped"))
+
+
 def links(notes: DataFrame) -> DataFrame:
     return notes.select(F.col("stem").alias("src"), F.explode("hub_links").alias("dst"))
 
@@ -118,16 +152,21 @@ def growth_phases(days: DataFrame, gap: int = 7) -> DataFrame:
     return spans.select("first_day", "last_day", "n_notes")
 
 
-def validate(pairs: DataFrame) -> DataFrame:
-    """``doc_id, body, markdown`` to ``ok, reason``: frontmatter, then corruption, then verbatim text."""
+def checks(pairs: DataFrame) -> DataFrame:
+    """``doc_id, body, markdown`` to ``front_ok, clean_ok, verbatim_ok``, after a fence around the note is taken off."""
     m = T.without_fence(F.col("markdown"))
     lines = F.transform(F.split(m, "\n"), T.strip)
     front = (lines[0] == "---") & (F.array_position(F.slice(lines, 2, 39), "---") > 0)
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     corrupt = (count(m, "&nbsp;") > count(F.col("body"), "&nbsp;")) | (count(m, r"\\[\[\]_*#]") > count(F.col("body"), r"\\[\[\]_*#]"))
     kept = F.contains(T.normalize(T.section(T.body(m), "Raw Capture")), T.normalize(F.col("body")))
-    reason = F.when(~front, "frontmatter").when(corrupt, "corruption").when(~kept, "verbatim")
-    return pairs.select("doc_id", reason.isNull().alias("ok"), reason.alias("reason"))
+    return pairs.select("doc_id", front.alias("front_ok"), (~corrupt).alias("clean_ok"), kept.alias("verbatim_ok"))
+
+
+def validate(pairs: DataFrame) -> DataFrame:
+    """``doc_id, ok, reason``: the first check that fails, frontmatter, then corruption, then verbatim text."""
+    reason = F.when(~F.col("front_ok"), "frontmatter").when(~F.col("clean_ok"), "corruption").when(~F.col("verbatim_ok"), "verbatim")
+    return checks(pairs).select("doc_id", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
 def private_host(host: Column) -> Column:

@@ -1,5 +1,5 @@
 """The registered catalog queries; importing this package registers all of them."""
 
-from . import analysis, capturing, queries, writing
+from . import analysis, capturing, queries, vault, writing
 
-__all__ = ["analysis", "capturing", "queries", "writing"]
+__all__ = ["analysis", "capturing", "queries", "vault", "writing"]
