@@ -94,6 +94,13 @@ def append_status(state: DataFrame, old: str, new: str) -> DataFrame:
     return state.where(F.col("status") == old).select("capture_id", F.lit(new).alias("status"))
 
 
+def dispatch(updates: DataFrame) -> DataFrame:
+    """Add ``kind`` to updates with ``photo, document, text``: the first of photo, document, command, text; those without any are dropped."""
+    said = F.coalesce(T.strip(F.col("text")), F.lit(""))
+    kind = F.when(F.coalesce(F.size("photo"), F.lit(0)) > 0, "photo").when(F.col("document").isNotNull(), "document").when(said.startswith("/"), "command").when(said != "", "text")
+    return updates.withColumn("kind", kind).where("kind is not null")
+
+
 def priority(kind: Column, k: Column) -> Column:
     return F.when(kind.isin("photo", "captioned"), 1).when(kind == "command", 3).otherwise(2)
 

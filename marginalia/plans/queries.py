@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators.order import row_index
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, STATE_SQL, capture_events, messages, note_files, read
 from .registry import ORACLE_SQL, QUERIES, query
 
@@ -169,10 +170,12 @@ def pending_by_priority(s, d):
     return rows.orderBy("priority", "ts", "capture_id").limit(500).select("capture_id", "priority")
 
 
-@query(f"{S} SELECT status, kind, count(*) AS n, min(capture_id) AS first_id FROM state GROUP BY ALL")
+@query(f"{S} SELECT status, capture_id, row_number() OVER (PARTITION BY status ORDER BY capture_id) - 1 AS place FROM state")
 def captures_by_status(s, d):
-    state = C.current_state(capture_events(s, d))
-    return state.join(messages(s, d), F.col("capture_id") == F.col("message_id")).groupBy("status", "kind").agg(n(), F.min("capture_id").alias("first_id"))
+    """Captures of each status in the order of their ids; the place comes from a global index, so a common status is no hot group."""
+    placed = row_index(C.current_state(capture_events(s, d)).select("status", "capture_id"), "status", "capture_id", name="at")
+    first = placed.groupBy("status").agg(F.min("at").alias("first"))
+    return placed.join(F.broadcast(first), "status").select("status", "capture_id", (F.col("at") - F.col("first")).alias("place"))
 
 
 @query(f"{S} SELECT capture_id, status AS old, CASE WHEN capture_id % 2 = 0 THEN 'done' ELSE 'pending' END AS status FROM state WHERE status = 'written'")
@@ -346,22 +349,21 @@ def vocabulary_profile(s, d):
     return f.groupBy("lang").agg(n(), F.sum("words").alias("words"), F.round(F.avg("words"), 6).alias("mean_words"), F.count_if(F.col("text").contains("?")).alias("questions"))
 
 
-@query(f"{N}, t AS (SELECT sum(floor(words * 1.3::DOUBLE)::BIGINT)::BIGINT AS tokens FROM notes) SELECT tier, tokens, calls, round((tokens + 2000) * calls * price / 1000000.0, 4) AS cost FROM t, (VALUES ('high', 16, 5.0::DOUBLE), ('low', 9, 1.0::DOUBLE)) v(tier, calls, price)")
-def run_cost_rollup(s, d):
-    total = notes(s, d).agg(F.sum("token_estimate").alias("tokens"))
-    tiers = F.explode(F.array(*[F.struct(F.lit(a).alias("tier"), F.lit(b).alias("calls"), F.lit(c).alias("price")) for a, b, c in (("high", 16, 5.0), ("low", 9, 1.0))]))
-    return total.select("tokens", tiers.alias("t")).select("t.tier", "tokens", "t.calls", F.round((F.col("tokens") + 2000) * F.col("t.calls") * F.col("t.price") / 1000000.0, 4).alias("cost"))
-
-
 @query(f"{N}, w AS (SELECT (EXTRACT(doy FROM created))::INT AS doy, source, words FROM notes) SELECT source, count(*) AS original, count(*) FILTER (doy % 10 = 0) AS sampled, round(count(*) FILTER (doy % 10 = 0)::DOUBLE / count(*), 6) AS retention FROM w GROUP BY source")
 def sampling_report(s, d):
     kept = F.count_if(F.dayofyear("created") % 10 == 0)
     return note_files(s, d).groupBy("source").agg(n("original"), kept.alias("sampled"), F.round(kept / F.count(F.lit(1)), 6).alias("retention"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT text) AS n_texts, sum(length(text))::BIGINT AS n_chars FROM documents")
+_MARK = "('0x' || substr(md5(stem || chr(10) || left(text, 100)), 1, 8))::BIGINT"
+
+
+@query(f"{N} SELECT count(*) AS n, sum({_MARK})::BIGINT AS total, bit_xor({_MARK}) AS mixed FROM notes")
 def corpus_fingerprint(s, d):
-    return read(s, d, "documents").agg(n(), F.count_distinct("text").alias("n_texts"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+    """Whatever the order of the notes: of their stems and first hundred characters."""
+    stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    mark = F.conv(F.substring(F.md5(F.concat(stem, F.lit("\n"), F.substring("text", 1, 100))), 1, 8), 16, 10).cast("long")
+    return note_files(s, d).agg(n(), F.sum(mark).alias("total"), F.bit_xor(mark).alias("mixed"))
 
 
 @query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(translate(lower(left(text, 40)), 'áàâäãåéèêëíìîïóòôöõúùûüñçÿ', 'aaaaaaeeeeiiiiooooouuuuncy'), '[^a-z0-9\\s]', '', 'g'), '\\s+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM documents WHERE regexp_matches(left(text, 40), '^[\\p{L}\\s]+$')")
@@ -370,9 +372,12 @@ def slugify(s, d):
     return read(s, d, "documents").where(head.rlike(r"^[\p{L}\s]+$")).select("doc_id", T.slug(head).alias("slug"))
 
 
-@query("SELECT user_id AS chat_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS commands FROM events GROUP BY ALL")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'photo' WHEN event_id % 5 = 1 THEN 'document' WHEN event_id % 5 = 2 THEN 'command' ELSE 'text' END AS kind FROM events WHERE event_id % 5 <> 4")
 def dispatch_message(s, d):
-    return messages(s, d).groupBy("chat_id").agg(n(), F.count_if(F.col("kind") == "command").alias("commands"))
+    """Photos before documents before commands before text; updates with nothing are dropped."""
+    k = F.col("event_id") % 5
+    rows = read(s, d, "events").select("event_id", F.when(k == 0, F.array(F.lit("p"))).alias("photo"), F.when(k < 2, F.lit("d")).alias("document"), F.when(k < 3, "/start").when(k == 3, F.col("event_type")).otherwise(" ").alias("text"))
+    return C.dispatch(rows).select("event_id", "kind")
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN 'too long' WHEN trim(text, ' \n\t') = '' THEN 'empty' END AS reason FROM conversations WHERE role = 'user'")
