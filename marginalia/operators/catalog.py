@@ -8,8 +8,8 @@ from ..functions import markup as W, text as T
 from .order import evenly, row_index, running_total
 
 
-def parse_notes(files: DataFrame) -> DataFrame:
-    """Typed note rows from ``path, content``."""
+def parse_notes(files: DataFrame, *more: Column) -> DataFrame:
+    """Typed note rows from ``path, content``, and whatever else is asked for."""
     b = T.body(F.col("content"))
     raw = T.section(b, "Raw Capture")
     words = T.word_count(raw)
@@ -17,7 +17,7 @@ def parse_notes(files: DataFrame) -> DataFrame:
     return files.select(
         "path", stem.alias("stem"), T.title(b).alias("title"), raw.alias("raw_capture"), T.bullets(T.section(b, "Themes")).alias("themes"), T.front_list(F.col("content"), "tags").alias("tags"),
         T.wikilinks(T.section(b, "Related Hub Notes")).alias("hub_links"), T.front_value(F.col("content"), "mood").alias("mood"), F.to_date(T.front_value(F.col("content"), "captured_at")).alias("created_at"),
-        words.alias("word_count"), T.token_estimate(words).alias("token_estimate"))
+        words.alias("word_count"), T.token_estimate(words).alias("token_estimate"), *more)
 
 
 def parse_hubs(files: DataFrame) -> DataFrame:

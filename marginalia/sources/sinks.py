@@ -45,3 +45,21 @@ def write_rejects(checked: DataFrame, path: str) -> DataFrame:
     """Append the refused rows with their reason and time; return the admitted ones."""
     checked.where(F.col("reason").isNotNull()).withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(path)
     return checked.where(F.col("reason").isNull()).drop("reason")
+
+
+def write_phase_checkpoint(spark: SparkSession, path: str, run_id: str, phase: str, completed: list[str], pending: list[str], mark: str) -> None:
+    """Append a row to the table of runs: a phase, its dimensions done and to do, and the fingerprint of the corpus."""
+    rows = spark.createDataFrame([(run_id, phase, completed, pending, mark)], "run_id string, phase string, completed array<string>, pending array<string>, mark string")
+    rows.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+
+def append_pending_images(images: DataFrame, path: str) -> None:
+    """Append images that wait for a text: ``message_id, chat_id, file_path, captured_at``."""
+    images.select("message_id", "chat_id", "file_path", "captured_at", F.lit("pending").alias("status")).write.mode("append").parquet(path)
+
+
+def write_category_summaries(summaries: DataFrame, path: str, mode: str = "append") -> None:
+    """A row for each category by ``run_id``; its metadata as JSON without empty fields, beside its content."""
+    meta = [c for c in summaries.columns if c not in ("run_id", "content")]
+    known = F.struct(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in meta])
+    summaries.select("run_id", F.to_json(known).alias("frontmatter"), "content").write.mode(mode).partitionBy("run_id").parquet(path)
