@@ -31,9 +31,12 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|adbox|adslot|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav|navbar|navigation|menu|topbar|toolbar|breadcrumbs?|footer|foot|site-?header|page-?header|masthead|sidebar|side-?bar|aside|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|popular|trending|teasers?|comments?|respond|disqus|replies|discussion|pagination|pager|widget|tags|skip-?link)(?:$|[\s_-])",
     re.I)
 HEADER_MARK = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+# Names that tell a layout ("has-sidebar"); marks of other people's text, which may stand in articles of its own.
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]", re.I)
+OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|adbox|adslot|sponsor(?:ed|s)?|promo(?:tion|s)?|related|recommend(?:ed|ations)?|popular|trending|teasers?|comments?|respond|disqus|replies|discussion)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s/>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,10 +59,32 @@ class Block:
     label: str = ""
 
 
+def attributes(tag: str) -> dict[str, str]:
+    """Whole attributes of a tag by lower-case name; of one name the first counts, as in browsers."""
+    named: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(tag):
+        named.setdefault(name.lower(), a or b or c)
+    return named
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without what stands in excluded elements. One pass over the tags."""
+    """The page's blocks in order, without what stands in excluded elements.
+
+    One pass over the tags; a second one if an element excluded by its names alone turns out to hold the main element, or
+    the page's only articles.
+    """
+    found, kept = _blocks(page, frozenset())
+    return _blocks(page, kept)[0] if kept else found
+
+
+def _blocks(page: str, kept: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """Blocks, and where the tags stand that should not have been excluded by their names; those in ``kept`` are not."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, excluded, inside an article, inside a link
+    stack: list[tuple[str, bool, bool, bool, int | None]] = []  # tag, excluded, inside an article, inside a link, where it stands if excluded by names (-1: by else)
+    of_main: set[int] = set()
+    of_articles: set[int] = set()
+    foreign: set[int] = set()  # of the elements excluded by names, those of other people's text
+    seen = False  # an article or main element that is not excluded
     parts: list[tuple[str, bool]] = []
     excluded = article = link = False
     at, end = 0, len(page)
@@ -75,7 +100,7 @@ def blocks(page: str) -> list[Block]:
 
     def top() -> None:
         nonlocal excluded, article, link
-        excluded, article, link = stack[-1][1:] if stack else (False, False, False)
+        excluded, article, link = stack[-1][1:4] if stack else (False, False, False)
 
     while at < end:
         found = _TOKEN.search(page, at)
@@ -124,15 +149,27 @@ def blocks(page: str) -> list[Block]:
             top()
         if found[3].endswith("/"):
             continue
-        named = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(found[3])} if found[3] else {}
-        names = f"{named.get('class', '')} {named.get('id', '')}"
-        root = tag in ("html", "body", "article", "main")
-        out_now = tag in OUTSIDE or tag == "header" and not article or not root and (bool(MARKS.search(names)) or not article and bool(HEADER_MARK.search(names)))
-        out_now = out_now or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
-        stack.append((tag, excluded or out_now, article or tag in ("article", "main") or named.get("role", "").lower() in ("main", "article"), link or tag == "a"))
+        named = attributes(found[3]) if found[3] else {}
+        names = " ".join(x for x in f"{named.get('class', '')} {named.get('id', '')}".split() if not LAYOUT.search(x))
+        role = named.get("role", "").strip().lower()
+        root = tag in ("html", "body", "article", "main") or role == "main"
+        by_names = not root and (bool(MARKS.search(names)) or not article and bool(HEADER_MARK.search(names))) and found.start() not in kept
+        by_else = not root and (tag in OUTSIDE or tag == "header" and not article or role in ROLES or "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true")
+        if tag in ("article", "main") or role == "main":
+            holders = {x[4] for x in stack if x[4] is not None}
+            if not holders:
+                seen = True
+            elif -1 not in holders:
+                if tag == "main" or role == "main":
+                    of_main |= holders
+                elif not MARKS.search(names) and not holders & foreign:
+                    of_articles |= holders
+        if by_names and OTHERS.search(names):
+            foreign.add(found.start())
+        stack.append((tag, excluded or by_names or by_else, article or tag in ("article", "main") or role in ("main", "article"), link or tag == "a", -1 if by_else else found.start() if by_names else None))
         top()
     close()
-    return out
+    return out, frozenset(of_main or (set() if seen else of_articles))
 
 
 def _stop_lists(words: dict[str, str] = STOP_WORDS) -> list[frozenset[str]]:

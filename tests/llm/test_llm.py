@@ -196,6 +196,26 @@ def test_html():
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
 
 
+HTML_TEXT = "The road to the village was long and it was not easy to walk in the rain, but they were all there at the end of the day. " * 2
+
+
+@pytest.mark.parametrize("page", [
+    '<body style="overflow-x:hidden"><p>{}</p></body>', '<div title="the hidden road"><p>{}</p></div>', '<div data-hidden="false" data-role="navigation"><p>{}</p></div>', '<div id="text" data-id="sidebar"><p>{}</p></div>',
+    "<div title='a class=\"ad\" b'><p>{}</p></div>", '<main role="form" hidden class="sidebar"><p>{}</p></main>', '<body aria-hidden="true"><p>{}</p></body>', '<div class="page has-sidebar"><p>{}</p></div>', '<div class="content-with-sidebar no-header"><article><p>{}</p></article></div>',
+    '<div class="sidebar-left"><div class="header"><article><p>{}</p></article></div></div>', '<div class="menu"><div role=main><p>{}</p></div></div><article class="card"></article>', '<DIV DATA-X=1 CLASS=text><p>{}</p></DIV>',
+])
+def test_html_keeps_what_only_looks_marked(page):
+    assert html_extract.main_text(page.format(HTML_TEXT)) == HTML_TEXT.strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<div hidden><p>{}</p></div>", "<div hidden=''><article><p>{}</p></article></div>", '<div data-x="y"class="ad"><p>{}</p></div>', "<div aria-hidden = true><p>{}</p></div>", '<div role="navigation" role="none"><p>{}</p></div>', "<div class='page sidebar'><p>{}</p></div>",
+    "<div id=comments><article class=depth-1><p>{}</p></article></div>", "<div class=sidebar><article class=card><p>{}</p></article></div><article>One.</article>", "<div class=sidebar><article class=comment-body><p>{}</p></article></div>", "<nav class=menu><article><p>{}</p></article></nav>",
+])
+def test_html_drops_what_is_marked(page):
+    assert HTML_TEXT.strip() not in html_extract.main_text(page.format(HTML_TEXT))
+
+
 def test_sharding(spark, docs, empty):
     rows = sharding.shard_manifest(docs).collect()
     slots = defaultdict(list)
