@@ -372,6 +372,15 @@ def slugify(s, d):
     return read(s, d, "documents").where(head.rlike(r"^[\p{L}\s]+$")).select("doc_id", T.slug(head).alias("slug"))
 
 
+_SLUG = f"trim(regexp_replace(regexp_replace(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9\\s\\x0B_-]', '', 'g'), '[\\s\\x0B_-]+', '-', 'g'), '-')"
+
+
+@query(f"WITH w AS (SELECT doc_id, {_SLUG} AS w FROM documents), c AS (SELECT doc_id, CASE WHEN length(w) > 50 AND w[51] <> '-' AND contains(w[:50], '-') THEN regexp_replace(w[:50], '-[^-]*$', '') ELSE w[:50] END AS c FROM w) SELECT doc_id, coalesce(nullif(rtrim(c, '-'), ''), 'untitled') AS slug FROM c")
+def slugify_documents(s, d):
+    """Of the whole text of every document, cut at 50 characters."""
+    return read(s, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'photo' WHEN event_id % 5 = 1 THEN 'document' WHEN event_id % 5 = 2 THEN 'command' ELSE 'text' END AS kind FROM events WHERE event_id % 5 <> 4")
 def dispatch_message(s, d):
     """Photos before documents before commands before text; updates with nothing are dropped."""

@@ -53,6 +53,12 @@ def test_slug(spark, text, slug):
     assert one(spark, text, T.slug) == slug
 
 
+def test_slugs_of_all_documents(spark):
+    docs, found = spark.read.parquet(f"{SF}/documents.parquet"), QUERIES["slugify_documents"](spark, SF)
+    assert found.count() == docs.count() > QUERIES["slugify"](spark, SF).count()
+    assert 40 < found.agg(F.max(F.length("slug"))).first()[0] <= 50
+
+
 @pytest.mark.parametrize("host, private", [("10.1.2.3", True), ("8.8.8.8", False), ("localhost", True), ("example.org", False), ("192.168.0.9", True)])
 def test_private_host(spark, host, private):
     assert one(spark, host, C.private_host) is private
