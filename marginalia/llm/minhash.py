@@ -106,7 +106,7 @@ def sketch(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, near: Near, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (128-bit digest of the set), bands (a 64-bit key for each band). No shuffle."""
+    """doc_id, h (hash of the text), n_shingles, k1, k2 (128-bit digest of the set), bands (a 64-bit key for each band). No shuffle."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -127,24 +127,23 @@ def sketch_table(docs: DataFrame, near: Near, key: str = "doc_id", text: str = "
                     bands.append(np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=i) for i, row in enumerate(coords)], np.uint64).view(np.int64))
                 else:
                     bands.append(np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.select(key, text).mapInArrow(make, f"doc_id {kind}, n_shingles int, k1 long, k2 long, bands array<long>")
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(make, f"doc_id {kind}, h long, n_shingles int, k1 long, k2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, near: Near, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, k1, k2, shingles (all of them, sorted)."""
-    kind = docs.schema[key].dataType.simpleString()
+def shingle_sets(docs: DataFrame, near: Near, text: str = "text") -> DataFrame:
+    """k1, k2, shingles (all of them, sorted)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(near.words)
         for b in batches:
             with np.errstate(over="ignore"):
-                sets = [cut(t.as_py()) for t in b.column(1)]
+                sets = [cut(t.as_py()) for t in b.column(0)]
             digests = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k1", "k2", "shingles"])
 
-    return docs.select(key, text).mapInArrow(make, f"doc_id {kind}, k1 long, k2 long, shingles array<long>")
+    return docs.select(text).mapInArrow(make, "k1 long, k2 long, shingles array<long>")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -218,45 +217,62 @@ def _rest_links(members: DataFrame, found: DataFrame, sets: DataFrame, near: Nea
     return whole.union(rest).join(sets.select("rep", "shingles"), "rep").groupBy("bucket", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, k1, k2.
+def _verdicts(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
+    """The rows of :func:`near_duplicates`, with h, a hash of the text.
 
-    Equal shingle sets are one class, so exact copies, however many, never meet in pairs. Classes that share a band key are
-    candidates; a link counts if the full sets are alike. Each bucket is first linked to its pivot; buckets that then hold several
-    components are compared exactly. So any two candidates that are alike end in one component, without all pairs of a
-    bucket. Sets are of 64-bit shingle hashes. Null and empty texts have no shingles and link with nothing. Repeated rows are one
-    node by doc_id; rows of null doc_id have no component of their own (null) unless copies have one. Extra columns are ignored;
-    an empty table gives no rows.
+    A class is named by the digest of its set; those that share a band key with another get a number, written once, as
+    their node. So neither repeated nor null doc_ids mix up classes. The smallest doc_id, and of its texts the one of the
+    least hash, stands for a class or component.
     """
     table = materialise(sketch_table(docs, near, key, text), "sketches")
-    full = table.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    heads = full.join(reps.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2"])
-    banded = heads.select(F.col("doc_id").alias("rep"), "k1", "k2", F.explode("bands").alias("bucket"))
+    full = table.where("n_shingles > 0")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("lead")
+    classes = full.groupBy("k1", "k2").agg(lead)
+    banded = full.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialise(banded.join(shared, "bucket").dropDuplicates(["bucket", "rep"]), "members")
-    wanted = members.select(F.col("rep").alias("doc_id"), "k1", "k2").distinct()
-    keyed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    chosen = keyed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = shingle_sets(chosen, near, "doc_id", "text").join(wanted, ["doc_id", "k1", "k2"], "left_semi")
-    sets = materialise(sets.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "sets")
-    members = members.select("bucket", "rep")
+    met = materialise(banded.join(shared, "bucket").distinct(), "met")
+    wanted = materialise(met.select("k1", "k2").distinct().join(classes, ["k1", "k2"]).withColumn("rep", F.monotonically_increasing_id()), "nodes")
+    members = materialise(met.join(wanted.select("k1", "k2", "rep"), ["k1", "k2"]).select("bucket", "rep"), "members")
+    of_lead = wanted.select(F.col("lead.doc_id").alias("_id"), F.col("lead.h").alias("_h")).hint("merge")
+    keyed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    chosen = keyed.join(of_lead, keyed["doc_id"].eqNullSafe(of_lead["_id"]) & (F.col("h") == F.col("_h")), "left_semi")
+    sets = shingle_sets(chosen, near).join(wanted.select("k1", "k2", "rep"), ["k1", "k2"])
+    sets = materialise(sets.select("rep", "shingles").dropDuplicates(["rep"]), "sets")
     found = components(_pivot_links(members, sets, near))
     more = materialise(_rest_links(members, found, sets, near), "rest")
     label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
     joined = components(more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
-    first = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("first"))
-    last = materialise(first.join(joined.withColumnRenamed("node", "first"), "first", "left").select("k1", "k2", F.coalesce("component", "first").alias("last")), "labels")
-    out = table.drop("bands").join(last, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("last", "doc_id"))
-    return out.select("doc_id", F.col("n_shingles").cast("long"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "k1", "k2")
+    first = wanted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "lead", F.coalesce("component", "rep").alias("first"))
+    last = materialise(first.join(joined.withColumnRenamed("node", "first"), "first", "left").select("k1", "k2", "lead", F.coalesce("component", "first").alias("last")), "labels")
+    named = last.select("k1", "k2", "last").join(last.groupBy("last").agg(F.min("lead").alias("best")), "last")
+    leads = classes.join(named, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("best", "lead").alias("lead"))
+    leads = materialise(leads.select("k1", "k2", F.col("lead.doc_id").alias("lead_id"), F.col("lead.h").alias("lead_h")), "leads")
+    out = table.drop("bands").join(leads, ["k1", "k2"], "left")
+    alone = F.col("n_shingles") == 0
+    kept = alone | F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("h") == F.col("lead_h"))
+    return out.select("doc_id", F.col("n_shingles").cast("long"), F.when(alone, F.col("doc_id")).otherwise(F.col("lead_id")).alias("component_id"), kept.alias("kept"), "k1", "k2", "h")
+
+
+def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, k1, k2.
+
+    Equal shingle sets are one class, so exact copies, however many, never meet in pairs. Classes that share a band key are
+    candidates; a link counts if the full sets are alike. Each bucket is first linked to its pivot; buckets that then hold several
+    components are compared exactly. So any two candidates that are alike end in one component, without all pairs of a
+    bucket. Sets are of 64-bit shingle hashes. Null and empty texts have no shingles and link with nothing. Rows of null doc_id
+    link as others do; their component_id is null if no row of their component has a doc_id. One text of a component is
+    kept, in each row that repeats it with its doc_id; texts of one doc_id are told apart. Extra columns are ignored; an
+    empty table gives no rows.
+    """
+    return _verdicts(docs, near, key, text).drop("h")
 
 
 def drop_near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: the smallest doc_id of each group, once, with all its columns."""
-    stay = near_duplicates(docs, near, key, text).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(stay, docs[key].eqNullSafe(stay["_id"]), "left_semi")
-    return rows.withColumn("_h", F.xxhash64(text)).dropDuplicates([key, "_h"]).drop("_h")
+    stay = _verdicts(docs, near, key, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_k")).distinct()
+    rows = docs.withColumn("_h", F.xxhash64(text))
+    rows = rows.join(stay, rows[key].eqNullSafe(stay["_id"]) & (F.col("_h") == F.col("_k")), "left_semi")
+    return rows.dropDuplicates([key, "_h"]).drop("_h")
 
 
 ORACLE_SQL = r"""

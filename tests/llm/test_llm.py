@@ -258,6 +258,20 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """One doc_id with two texts, each with a near copy; near copies among rows without a doc_id."""
+    one, two, three, four = ([f"{x}{i}" for i in range(40)] for x in "abcd")
+    copy = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, copy(one)), (3, copy(two)), (None, " ".join(three)), (None, copy(three)), (None, copy(one)), (None, " ".join(four)), (7, copy(four)), (8, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs, minhash.Near(words=2)).collect()]
+    third = [r for r in got if r in rows[4:6]]
+    assert len(third) == 1
+    assert sorted(map(str, got)) == sorted(map(str, [rows[0], rows[1], rows[8], rows[9], rows[10], *third]))
+    found = minhash.near_duplicates(docs, minhash.Near(words=2)).collect()
+    assert sorted(str((r.doc_id, r.component_id, r.kept)) for r in found) == sorted(map(str, [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, None, True), (None, None, False), (None, 1, False), (None, 7, False), (7, 7, True), (8, 8, True), (None, None, True)]))
+
+
 def test_near_group_beyond_its_pivot(spark):
     """A chain: neighbours are alike, the ends are not; all become one component."""
     words = [f"c{i}" for i in range(400)]
