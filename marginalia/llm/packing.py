@@ -158,7 +158,8 @@ def dominance_reduction(counts: dict[int, int], capacity: int) -> tuple[list[tup
                     bin_ = (s, top)
                     many = sizes.n[s] // 2 if top == s else min(sizes.n[s], sizes.n[top])
                 elif top == a and (len(over) < 2 or sum(over) > room):
-                    bin_, many = (s, a, b), 1
+                    bin_ = (s, a, b)
+                    many = min(sizes.n[x] // bin_.count(x) for x in bin_)
                 else:
                     break
             else:

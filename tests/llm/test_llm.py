@@ -83,6 +83,20 @@ def test_dominance_never_costs_a_bin():
         assert sum(m for m, _ in fixed) + exact_bins(left, 20) == exact_bins(items, 20)
 
 
+def test_middling_sizes_are_fixed_together():
+    """Three in a bin each, none small: the plan goes by the number of sizes, not of pieces."""
+    r = random.Random(4)
+    counts = {s: r.randint(2000, 3000) for s in range(550, 681)}
+    fixed, rest = packing.dominance_reduction(counts, 2048)
+    used = defaultdict(int, rest)
+    for many, b in fixed:
+        assert sum(b) <= 2048
+        for s in b:
+            used[s] += many
+    assert used == counts and len(fixed) <= 2 * len(counts)
+    assert sum(map(len, packing.plan(counts, 2048).values())) <= 6 * len(counts)
+
+
 def test_packing_round_trip(spark, docs, empty):
     ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = packing.packed_digest(docs, max_tokens=64).collect()
