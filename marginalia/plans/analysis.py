@@ -81,6 +81,19 @@ def sample_if_needed(s, d):
     return sampling.sample_if_needed(rows, 50_000).select("stem")
 
 
+_KEPT = _sample_sql("(50000::DOUBLE / (SELECT sum(floor(words * 1.3::DOUBLE)::BIGINT) FROM notes) * 0.95::DOUBLE)")
+
+
+@query(f"{N}, kept AS ({_KEPT}) SELECT source, count(*) AS original, count(kept.stem) AS sampled, round(count(kept.stem)::DOUBLE / count(*), 6) AS retention FROM notes LEFT JOIN kept USING (stem) GROUP BY source")
+def sampled_counts(s, d):
+    """By source, the notes and those that the sampler keeps of 50,000 tokens."""
+    rows = sampling.scored(notes(s, d)).select("stem", "created_at", "score", "token_estimate")
+    kept = sampling.sample_if_needed(rows, 50_000).select("stem", F.lit(1).alias("kept"))
+    both = note_files(s, d).select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), "source").join(kept, "stem", "left")
+    n = F.count(F.lit(1))
+    return both.groupBy("source").agg(n.alias("original"), F.count("kept").alias("sampled"), F.round(F.count("kept") / n, 6).alias("retention"))
+
+
 _HEDGED = "CASE doc_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END"
 
 

@@ -53,6 +53,11 @@ def test_slug(spark, text, slug):
     assert one(spark, text, T.slug) == slug
 
 
+def test_sampled_counts_are_of_the_sample(spark):
+    found = QUERIES["sampled_counts"](spark, SF).agg(F.sum("original"), F.sum("sampled")).first()
+    assert tuple(found) == (QUERIES["parse_note"](spark, SF).count(), QUERIES["sample_if_needed"](spark, SF).count())
+
+
 def test_slugs_of_all_documents(spark):
     docs, found = spark.read.parquet(f"{SF}/documents.parquet"), QUERIES["slugify_documents"](spark, SF)
     assert found.count() == docs.count() > QUERIES["slugify"](spark, SF).count()
