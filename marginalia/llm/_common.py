@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -51,23 +51,36 @@ def bucket_bits(spark: SparkSession) -> int:
     return max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
-def running_sums(df: DataFrame, group: Sequence[str], position: str, value: Column, ties: Sequence[str] = ()) -> DataFrame:
-    """Add ``before``: the sum of ``value`` over the rows of a group that come earlier.
+def running_sums(df: DataFrame, group: Sequence[str], position: str, value: Column, ties: Sequence[str] = (), out: str = "before") -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of a group that come earlier.
 
     ``position`` is a column of 63-bit non-negative numbers, evenly spread (a hash). Rows of a group are dealt into
     buckets of neighbouring positions; sums over buckets give each bucket's start, so that no task holds a whole group,
-    however hot. The order, hence the result, does not depend on the number of buckets. Group columns are not null.
+    however hot; the window over those sums has at most one row a bucket for each group. The order, hence the result,
+    does not depend on the number of buckets. Group columns are not null; other columns of any name stay as they are.
     """
     bits = bucket_bits(df.sparkSession)
-    df = df.withColumn("_bucket", F.shiftright(F.col(position), 63 - bits)).withColumn("_value", value)
-    keys = [*group, "_bucket"]
-    totals = df.groupBy(*keys).agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    bucket, amount, total, start = fresh([*df.columns, out], "_bucket", "_value", "_total", "_start")
+    df = df.withColumn(bucket, F.shiftright(F.col(position), 63 - bits)).withColumn(amount, value)
+    keys = [*group, bucket]
+    totals = df.groupBy(*keys).agg(F.sum(amount).alias(total))
+    earlier = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(start))
     inside = Window.partitionBy(*keys).orderBy(position, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(starts, keys).withColumn("before", F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_bucket", "_value", "_start")
+    return df.join(starts, keys).withColumn(out, F.col(start) + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop(bucket, amount, start)
 
 
 def hashed(*columns: Column | str) -> Column:
     """A 63-bit non-negative hash."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like ``names`` that none of ``taken`` equals, upper and lower case being one."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -317,13 +317,29 @@ def test_fingerprints(spark, docs, empty):
 
 
 def test_colliding_digests_are_told_apart(spark, docs, monkeypatch):
-    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.lit("same"))
-    got = fingerprints.fingerprint(docs).collect()
-    by_text = defaultdict(set)
-    for r in got:
-        by_text[r.text or ""].add(r.fingerprint)
-    assert len(got) == docs.count() and all(len(v) == 1 for v in by_text.values())
-    assert len({r.fingerprint for r in got}) > 50
+    real = fingerprints.digest
+    monkeypatch.setattr(fingerprints, "digest", lambda canon, seed=0: real(canon, seed) if seed else (F.lit(7).cast("long"), F.lit(7).cast("long")))
+    canon = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())).strip(" ")
+    by_text, found = defaultdict(set), fingerprints.fingerprint(docs).collect()
+    for r in found:
+        by_text[canon(r.text)].add(r.fingerprint)
+    assert len(found) == docs.count() and all(len(v) == 1 for v in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
+    edited = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_with_edits(docs).collect()}
+    assert edited == {r.doc_id: r.fingerprint for r in found}
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    """Rows of one doc_id or none follow by length; repeated rows have a result each; columns of internal names stay."""
+    rows = [(None, "bb"), (None, "a"), (3, "xxxx"), (3, "xxxx"), (3, "yy"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprint_with_edits(df).collect()), key=str)
+    chain = ["a", "bb", "yy", "xxxx", "xxxx", ""]
+    ids = [None, None, 3, 3, 3, 4]
+    edits = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(chain, chain[1:] + chain[:1])]
+    assert got == sorted(((i, len(t), hashlib.sha256(e.encode()).hexdigest()) for i, t, e in zip(ids, chain, edits)), key=str)
+    clash = df.selectExpr("text", "doc_id as canon", "doc_id as f1", "'x' as f2", "1 as fingerprint")
+    back = fingerprints.fingerprint(clash)
+    assert back.columns == ["text", "canon", "f1", "f2", "fingerprint"] and sorted(map(str, back.select("canon", "f1", "f2").collect())) == sorted(map(str, clash.select("canon", "f1", "f2").collect()))
 
 
 def test_pipeline(spark):
