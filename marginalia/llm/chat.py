@@ -7,6 +7,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -117,12 +118,12 @@ def format_conversations(rows: DataFrame, budget: Budget = Budget(), tokenizer_f
     ``rows`` has conv_id, turn, role, text. Turns are escaped and counted where they lie, then meet by conversation and
     are streamed in order (turn, role, text; null turns first), so a conversation of any length takes one window
     of memory. Null roles and texts are empty; rows of null conv_id are one conversation; repeated rows are repeated
-    turns; an empty table gives no windows. Other columns are ignored.
+    turns; an empty table gives no windows. Ids may be of any type; other columns are ignored. A conversation is read in
+    order by one task, in constant memory: its length bounds that task's time, and rows of null conv_id share one.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
     kind = rows.schema["conv_id"].dataType.simpleString()
-    ids = pa.string() if kind == "string" else pa.int64()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_folder)
@@ -131,7 +132,11 @@ def format_conversations(rows: DataFrame, budget: Budget = Budget(), tokenizer_f
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shown, pa.string()), pa.array([len(encode(x)) for x in shown], pa.int64())], names=[*b.schema.names, "shown", "tokens"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", ids), ("window", pa.int32()), ("n_repeated", pa.int32()), ("n_new", pa.int32()), ("n_tokens", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        first = next(batches, None)
+        if first is None:
+            return
+        batches = chain([first], batches)
+        schema = pa.schema([("conv_id", first.schema.field(0).type), ("window", pa.int32()), ("n_repeated", pa.int32()), ("n_new", pa.int32()), ("n_tokens", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         stream = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5))))
         out, held = [], 0
         ahead = next(stream, None)
@@ -168,7 +173,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.string() if kind == "string" else pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+        first = next(batches, None)
+        if first is None:
+            return
+        batches = chain([first], batches)
+        schema = pa.schema([("conv_id", first.schema.field("conv_id").type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
         state = None
 
         def row() -> dict:

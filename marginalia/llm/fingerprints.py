@@ -67,6 +67,7 @@ def successors(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: i
     f1, f2 = digest(F.col("canon"), seed)
     named = docs.select(F.col(key).alias("doc_id"), _name(key).alias("id"), whole.alias("text"), canonical(whole).alias("canon"))
     narrow = named.select("doc_id", "id", F.length("text").cast("long").alias("n_chars"), *_raw("text"), f1.alias("f1"), f2.alias("f2"))
+    narrow = materialise(narrow, "narrow")  # the sample for the ranges would make all digests again
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = materialise(narrow.repartitionByRange(parts, "doc_id", "n_chars", "r1", "r2").withColumn("part", F.spark_partition_id()), "order")
     this = F.struct("id", "r1", "r2", "f1", "f2")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bounded_batches, hashed, materialise, running_sums
+from ._common import bounded_batches, fresh, hashed, materialise, running_sums
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -22,11 +22,11 @@ VOCABULARY = "byte_bpe_50k"
 
 @lru_cache(maxsize=2)
 def encoder(folder: str | None = None, name: str = VOCABULARY):
-    """``text -> list of ids`` of the byte-level vocabulary; one for each Python worker.
+    """``text -> list of ids``, those of the vocabulary's json file without added ends; one for each Python worker.
 
-    The rank file of the same vocabulary is about five times as fast as the json file. A single piece of thousands of
-    characters makes its merges quadratic, so such texts go through the json file, whose merges are not. The ids are
-    the same; strings of special tokens in a text are ordinary text.
+    The rank file of the same vocabulary is about five times as fast as the json file and gives the same ids for texts that
+    hold none of its added tokens (such a string, ``<|endoftext|>``, is one id). A single piece of thousands of
+    characters makes its merges quadratic. Texts of either kind go through the json file, whose merges are not.
     """
     import base64
 
@@ -39,11 +39,11 @@ def encoder(folder: str | None = None, name: str = VOCABULARY):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(at(f"{name}.json"))
-    slow.encode_special_tokens = True
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
     blanks = re.compile(r"\s{2000}")
 
     def encode(text: str) -> list[int]:
-        if len(text) > 2000 and (max(map(len, text.split()), default=0) > 2000 or blanks.search(text)):
+        if any(t in text for t in added) or len(text) > 2000 and (max(map(len, text.split()), default=0) > 2000 or blanks.search(text)):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -54,16 +54,17 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     """``doc_id, piece, start, length, ids``: every document's ids and a closing 0, cut only if over ``max_tokens``.
 
     Of a cut document all pieces but the first are full. ``ids`` are little-endian unsigned 32-bit numbers. Null and
-    empty texts are the closing 0 alone. No shuffle; a worker holds one document's ids and a few MB of output.
+    empty texts are the closing 0 alone. Ids of documents may be of any type; repeated rows give repeated pieces; other
+    columns are ignored. No shuffle; a worker holds one document's ids and a few MB of output.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = pa.schema([("doc_id", pa.string() if kind == "string" else pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_folder)
-        out, held = [], 0
+        out, held, schema = [], 0, None
         for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.field(0).type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
             for key, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.array([*encode(words.as_py() or ""), END_ID], dtype="<u4")
                 first = len(ids) % max_tokens or min(len(ids), max_tokens)
@@ -234,8 +235,10 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = plan(counts, max_tokens)
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    ranked = running_sums(pieces.select(*kept).withColumn("_at", hashed("doc_id", "piece")), ["length"], "_at", F.lit(1), ("doc_id", "piece")).drop("_at")
-    length_at, rank_at = ranked.columns.index("length"), ranked.columns.index("before")
+    at, before = fresh(pieces.columns, "_at", "_before")
+    placed = pieces.select(*kept).withColumn(at, hashed("doc_id", "piece"))
+    ranked = running_sums(placed, ["length"], at, F.lit(1), ("doc_id", "piece"), out=before).select(*kept, before)
+    length_at, rank_at = kept.index("length"), len(kept)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,10 +251,9 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
                 behind = rank[mine] - row[:, 0]
                 sequence[mine] = row[:, 1] + behind // row[:, 2]
                 offset[mine] = row[:, 3] + behind % row[:, 2] * s
-            columns = [c for i, c in enumerate(batch.columns) if i != rank_at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*[n for n in batch.schema.names if n != "before"], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:rank_at], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:rank_at], "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "before")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields[:rank_at])
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
@@ -263,7 +265,11 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def packed_digest(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer_folder: str | None = None) -> DataFrame:
-    """Pieces with their checksum and place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Pieces with their checksum and place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece of one id; repeated rows are packed as often as they come, and pieces of one
+    doc_id that tie may swap places; an empty table gives no rows; other columns are ignored.
+    """
     pieces = token_pieces(docs, max_tokens=max_tokens, tokenizer_folder=tokenizer_folder)
     narrow = materialise(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(narrow, max_tokens)

@@ -121,6 +121,39 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.packed_digest(empty).count() == 0
 
 
+def test_packing_of_special_strings_and_other_ids(spark):
+    """Added tokens of the vocabulary are one id, as the json file has it; ids of any type; clashing names stay."""
+    text = "a <|endoftext|> b"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert want == [64, 220, 50256, 275] and packing.encoder()(text) == want
+    for kind in ("int", "string", "decimal(20,0)", "date"):
+        df = spark.sql(f"select cast({'date(18000)' if kind == 'date' else '7'} as {kind}) as doc_id, '{text}' as text" if kind != "date" else f"select date'2020-01-01' as doc_id, '{text}' as text")
+        row = packing.packed_digest(df).collect()
+        assert len(row) == 1 and row[0].length == 5 and row[0].ids_crc32 == zlib.crc32(np.array([*want, 0], "<u4").tobytes())
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 7, "x", "y") for i in range(40)], "doc_id int, piece int, length long, before string, _bucket string").selectExpr("*", "'z' as _value", "'w' as _at", "'v' as _start")
+    packed = packing.pack(pieces, 16)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"] and {tuple(r[3:8]) for r in packed.collect()} == {("x", "y", "z", "w", "v")}
+
+
+def test_a_million_equal_triples():
+    counts = {s: 1_000_000 for s in (680, 682, 686)}
+    assert len(packing.plan(counts, 2048)[680]) <= 3 and packing.dominance_reduction(counts, 2048)[1] == {}
+
+
+def test_chat_ids_of_any_type(spark):
+    for kind in ("int", "string", "decimal(20,0)"):
+        df = spark.createDataFrame([("5", 0, "user", "x"), ("5", 1, "assistant", "y <|endoftext|>"), (None, 0, "user", None)], "c string, turn int, role string, text string").selectExpr(f"cast(c as {kind}) as conv_id", "turn", "role", "text", "'a' as shown", "'b' as tokens")
+        back = chat.read_back(chat.format_conversations(df)).collect()
+        assert sorted((str(r.conv_id), r.n_turns, r.loss_chars) for r in back) == [("5", 2, 15), ("None", 1, 0)]
+
+
+def test_one_very_long_conversation(spark):
+    rows = [(1, i, ["user", "assistant"][i % 2], f"turn {i} " * (1 + i % 5)) for i in range(3000)] + [(1, 3000, "assistant", "long " * 50_000)]
+    back = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))).collect()
+    assert back[0].n_turns == 3001 and back[0].loss_chars == sum(len(x[3]) for x in rows if x[2] == "assistant")
+    assert back[0].turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in rows).encode()).hexdigest()
+
+
 def test_long_piece_takes_the_other_encoder():
     want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("ab" * 3000, "x " + " " * 2500 + "y"):
@@ -153,22 +186,53 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def fair_queue(rows, plan):
+    """The stream of all turns by virtual finish time, cut at the budget: words taken of each row."""
+    turns = sorted(((r.before + r.size + e * r.source_size) / r.target, r.source or "", e, i) for i, r in enumerate(plan) for e in range(3) if r.size)
+    left, taken = sum(r.size for r in plan), [0] * len(plan)
+    for *_, i in turns:
+        taken[i] += min(left, plan[i].size)
+        left -= min(left, plan[i].size)
+    return taken
+
+
 def test_mixing(spark, docs, empty):
-    plan = mixing.mix_plan(docs).collect()
-    total = sum(r.size for r in plan)
+    named = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"))
+    plan = mixing.mix_plan(docs).join(named, "doc_id").collect()
     assert len(plan) == docs.count() and all(0 <= r.taken <= 3 * r.size for r in plan)
-    per = defaultdict(lambda: [0, 0.0])
+    assert fair_queue(docs, plan) == [r.taken for r in plan] and sum(r.taken for r in plan) == sum(r.size for r in plan)
+    per = defaultdict(lambda: [0, 0.0, 0])
     for r in plan:
         per[(r.target, r.source_size)][0] += r.taken
-    assert all(abs(taken - target) <= 1 and target <= 3 * size + 1e-6 for (target, size), (taken, _) in per.items())
-    assert abs(sum(t for t, _ in per) - total) < 1e-6
+    longest = max(r.size for r in plan)
+    assert all(abs(taken - target) <= len(per) * longest and target <= 3 * size + 1e-6 for (target, size), (taken, *_) in per.items())
+    assert abs(sum(t for t, _ in per) - sum(r.size for r in plan)) < 1e-6
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     n = mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0]
     assert n == sum(r.taken for r in plan)
+    again = lambda: sorted(map(str, mixing.mix_plan(docs.repartition(5)).select("doc_id", "taken").collect()))
+    assert again() == again()
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_repeated_rows_apart(spark):
+    """Equal id and text in two sources, repeated rows, columns of internal names: every word stays with its source."""
+    rows = [(1, "a b c d", "x", "own"), (1, "a b c d", "y", "own"), (2, "e f", "x", "own"), (2, "e f", "x", "own"), (3, None, None, "own"), (4, "g h i j k l", None, "own")]
+    names = "doc_id long, text string, source string, size string"
+    df = spark.createDataFrame(rows, names).selectExpr("*", "'t' as t", "'at' as at", "'_id' as _id", "'row' as row", "'_row' as _row", "'_turn' as _TURN", "'before' as before", "'words' as words", "'x' as `a.b`")
+    plan = mixing.mix_plan(df).collect()
+    mixed = mixing.mix(df).collect()
+    want = defaultdict(int)
+    for r in plan:
+        want[r.source_size, r.target] += r.taken
+    got = defaultdict(int)
+    for r in mixed:
+        got[r.source] += len(r.text.split())
+        assert (r["size"], r["t"], r["at"], r["_id"], r["row"], r["_row"], r["_TURN"], r["before"], r["words"], r["a.b"]) == ("own", "t", "at", "_id", "row", "_row", "_turn", "before", "words", "x")
+    assert sorted(got.values()) == sorted(v for v in want.values() if v)
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((40, 64))
