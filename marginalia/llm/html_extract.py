@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,9 +38,13 @@ HEADER_MARK = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]", re.I)
 OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|adbox|adslot|sponsor(?:ed|s)?|promo(?:tion|s)?|related|recommend(?:ed|ations)?|popular|trending|teasers?|comments?|respond|disqus|replies|discussion)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s/>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_INSIDE_TAG = re.compile(r"[>\"']")
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_LISTS = {"ul", "ol", "menu"}
 
 
 @dataclass(frozen=True)
@@ -56,9 +63,21 @@ class Block:
     text: str
     link_chars: int
     article: bool
+    holder: int = -1  # the innermost element around it that its names exclude
     label: str = ""
 
 
+@dataclass
+class Holder:
+    """An element that its class or id excludes."""
+
+    parent: int
+    others: bool  # names of other people's text: adverts, comments
+    firm: bool  # a name says so as a whole, not in a part ("sidebar", not "sidebar-left" or "share-enabled")
+    of_main: bool = False  # it holds the main element
+    of_article: bool = False  # it holds an article that may be the page's own
+
+
 def attributes(tag: str) -> dict[str, str]:
     """Whole attributes of a tag by lower-case name; of one name the first counts, as in browsers."""
     named: dict[str, str] = {}
@@ -67,161 +86,303 @@ def attributes(tag: str) -> dict[str, str]:
     return named
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without what stands in excluded elements.
+def decode(text: str) -> str:
+    """Character references decoded; numbers beyond all code points are the replacement character, as in browsers."""
+    return html.unescape(_LONG_NUMBER.sub(lambda m: html.unescape(f"&#{m[0][2:].rstrip(';').lstrip('0') or '0'};") if len(m[0].strip("&#;").lstrip("0")) < 8 else "\ufffd", text))
+
 
-    One pass over the tags; a second one if an element excluded by its names alone turns out to hold the main element, or
-    the page's only articles.
+class _Cursor:
+    """Tokens of a page in time proportional to its length, however broken it is.
+
+    What never closes is looked for once: after that, its kind is known to be absent from the rest of the page.
     """
-    found, kept = _blocks(page, frozenset())
-    return _blocks(page, kept)[0] if kept else found
 
+    def __init__(self, page: str):
+        self.page, self.absent, self.loose = page, set(), False
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the ``>`` of a tag stands, quoted values skipped; -1 if there is none.
+
+        After one value that never closes, quotes no longer count on this page.
+        """
+        start = at
+        while not self.loose:
+            if ">" in self.absent:
+                return -1
+            mark = _INSIDE_TAG.search(self.page, at)
+            if not mark:
+                break
+            if mark[0] == ">":
+                return mark.start()
+            closed = self.find(mark[0], mark.end())
+            if closed < 0:
+                break
+            at = closed + 1
+        self.loose = True
+        return self.find(">", start)
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """``(kind, name or text, attributes)``: text, cdata, open, close or empty (``<x/>``)."""
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            lt = page.find("<", at)
+            if lt < 0:
+                lt = end
+            if lt > at:
+                yield "text", page[at:lt], ""
+            if lt == end:
+                return
+            after = page[lt + 1 : lt + 2]
+            if page.startswith("<!--", lt):
+                close = self.find("-->", lt + 2)
+                at = end if close < 0 else close + 3
+            elif page.startswith("<![CDATA[", lt) and (close := self.find("]]>", lt + 9)) >= 0:
+                yield "cdata", page[lt + 9 : close], ""
+                at = close + 3
+            elif after in ("!", "?"):
+                close = self.find(">", lt + 2)
+                at = end if close < 0 else close + 1
+            else:
+                closing = after == "/"
+                name = _NAME.match(page, lt + 1 + closing)
+                if not name:
+                    yield "text", "<", ""
+                    at = lt + 1
+                    continue
+                close = self.tag_end(name.end())
+                if close < 0:  # a tag that the page's end cuts off
+                    return
+                tag, inner, at = name[0].lower(), page[name.end() : close], close + 1
+                yield "close" if closing else "empty" if inner.endswith("/") else "open", tag, inner
+                if tag in RAW and not closing and not inner.endswith("/"):
+                    over = _RAW_END[tag].search(page, at)
+                    close = self.find(">", over.end()) if over else -1
+                    at = end if close < 0 else close + 1
+
+
+class _Open(NamedTuple):
+    tag: str
+    excluded: bool
+    article: bool
+    link: bool
+    holder: int
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order, without what stands in excluded elements. One pass over the tags, linear in the page.
 
-def _blocks(page: str, kept: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
-    """Blocks, and where the tags stand that should not have been excluded by their names; those in ``kept`` are not."""
+    An element that its names alone exclude stays if it holds the main element, or the page's only articles. On a page
+    without either it stays if only parts of its names say so and it holds most of the running text (for parts that name
+    adverts or comments: all of it).
+    """
+    out, holders, seen = _blocks(page)
+    kept = _kept(out, holders, seen) if holders else set()
+    return [b for b in out if not _shut(b.holder, holders, kept)]
+
+
+def _shut(holder: int, holders: list[Holder], kept: set[int]) -> bool:
+    while holder >= 0 and holder in kept:
+        holder = holders[holder].parent
+    return holder >= 0
+
+
+def _kept(out: list[Block], holders: list[Holder], seen: bool) -> set[int]:
+    """The excluded elements that stay after all."""
+    kept = {i for i, h in enumerate(holders) if h.of_main} or ({i for i, h in enumerate(holders) if h.of_article} if not seen else set())
+    if not kept and not seen:
+        weight, total, lists = [0] * len(holders), 0, _stop_lists()
+        for b in out:
+            if _is_running_text(b, Rules(), lists):
+                total += len(b.text)
+                if b.holder >= 0:
+                    weight[b.holder] += len(b.text)
+        for i, h in enumerate(holders):
+            if weight[i] and not h.firm and (2 * weight[i] > total and not h.others or weight[i] == total):
+                while i >= 0:  # what stands around it holds as much
+                    kept.add(i)
+                    i = holders[i].parent
+    return kept
+
+
+def _blocks(page: str) -> tuple[list[Block], list[Holder], bool]:
+    """All blocks but those in elements excluded by their kind; the elements excluded by names; whether an article or
+    main element stands in neither."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, int | None]] = []  # tag, excluded, inside an article, inside a link, where it stands if excluded by names (-1: by else)
-    of_main: set[int] = set()
-    of_articles: set[int] = set()
-    foreign: set[int] = set()  # of the elements excluded by names, those of other people's text
-    seen = False  # an article or main element that is not excluded
+    holders: list[Holder] = []
+    stack: list[_Open] = []
+    count: Counter = Counter()  # open elements by tag
+    items: list[int] = []  # where lists and list items stand in the stack
     parts: list[tuple[str, bool]] = []
-    excluded = article = link = False
-    at, end = 0, len(page)
+    seen = False
+    here = root = _Open("", False, False, False, -1)
 
     def close() -> None:
-        nonlocal parts
         if parts:
-            text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
+            text = " ".join(decode("".join(p for p, _ in parts)).split())
             if text:
-                linked = sum(len(" ".join(html.unescape(p).split())) for p, in_link in parts if in_link)
-                out.append(Block(text, linked, article))
-            parts = []
-
-    def top() -> None:
-        nonlocal excluded, article, link
-        excluded, article, link = stack[-1][1:4] if stack else (False, False, False)
-
-    while at < end:
-        found = _TOKEN.search(page, at)
-        if not excluded and (piece := page[at : found.start() if found else end]):
-            parts.append((piece, link))
-        if not found:
-            break
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if found[0].startswith("<![CDATA["):
-            if not excluded:
-                parts.append((html.escape(found[0][9:-3]), link))
-            continue
-        if not tag:
+                linked = sum(len(" ".join(decode(p).split())) for p, in_link in parts if in_link)
+                out.append(Block(text, linked, here.article, here.holder))
+            parts.clear()
+
+    def cut(depth: int) -> None:
+        nonlocal here
+        for x in stack[depth:]:
+            count[x.tag] -= 1
+        del stack[depth:]
+        while items and items[-1] >= depth:
+            items.pop()
+        here = stack[-1] if stack else root
+
+    for kind, tag, inner in _Cursor(page).tokens():
+        if kind in ("text", "cdata"):
+            if not here.excluded:
+                parts.append((tag if kind == "text" else html.escape(tag), here.link))
             continue
         if tag in RAW:
-            if not found[1] and not found[3].endswith("/"):
-                over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = over.end() if over else end
-            if not excluded:
-                parts.append((" ", link))
+            if not here.excluded:
+                parts.append((" ", here.link))
             continue
         if tag in BLOCK:
             close()
-        elif tag == "br" and not excluded:
-            parts.append((" ", link))
+        elif tag == "br" and not here.excluded:
+            parts.append((" ", here.link))
         if tag in VOID:
             continue
-        if found[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    top()
-                    break
+        if kind == "close":
+            if count[tag]:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                changed = depth and stack[depth - 1] or root
+                if (changed.holder, changed.article) != (here.holder, here.article):
+                    close()
+                cut(depth)
             continue
         if tag in BLOCK:
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE_OPEN):
-                stack.pop()
-            if tag == "li":
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ("ul", "ol", "menu"):
-                        break
-                    if stack[i][0] == "li":
-                        del stack[i:]
-                        break
-            top()
-        if found[3].endswith("/"):
+            depth = len(stack)
+            while depth and (stack[depth - 1].tag == "p" or stack[depth - 1].tag in INLINE_OPEN):
+                depth -= 1
+            cut(depth)
+            if tag == "li" and items and stack[items[-1]].tag == "li":
+                cut(items[-1])
+        if kind == "empty":
             continue
-        named = attributes(found[3]) if found[3] else {}
-        names = " ".join(x for x in f"{named.get('class', '')} {named.get('id', '')}".split() if not LAYOUT.search(x))
-        role = named.get("role", "").strip().lower()
-        root = tag in ("html", "body", "article", "main") or role == "main"
-        by_names = not root and (bool(MARKS.search(names)) or not article and bool(HEADER_MARK.search(names))) and found.start() not in kept
-        by_else = not root and (tag in OUTSIDE or tag == "header" and not article or role in ROLES or "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true")
-        if tag in ("article", "main") or role == "main":
-            holders = {x[4] for x in stack if x[4] is not None}
-            if not holders:
-                seen = True
-            elif -1 not in holders:
-                if tag == "main" or role == "main":
-                    of_main |= holders
-                elif not MARKS.search(names) and not holders & foreign:
-                    of_articles |= holders
-        if by_names and OTHERS.search(names):
-            foreign.add(found.start())
-        stack.append((tag, excluded or by_names or by_else, article or tag in ("article", "main") or role in ("main", "article"), link or tag == "a", -1 if by_else else found.start() if by_names else None))
-        top()
+        opened = _opened(tag, attributes(inner) if inner else {}, here, holders)
+        if opened.holder != here.holder or opened.article != here.article or opened.excluded != here.excluded:
+            close()
+        seen = seen or opened.article and not here.article and not opened.excluded and opened.holder < 0
+        if tag in _LISTS or tag == "li":
+            items.append(len(stack))
+        stack.append(opened)
+        count[tag] += 1
+        here = opened
     close()
-    return out, frozenset(of_main or (set() if seen else of_articles))
+    return out, holders, seen
+
+
+def _opened(tag: str, named: dict[str, str], around: _Open, holders: list[Holder]) -> _Open:
+    """The state inside an element that opens; it becomes a holder if its names exclude it."""
+    names = " ".join(x for x in f"{named.get('class', '')} {named.get('id', '')}".split() if not LAYOUT.search(x))
+    role = named.get("role", "").strip().lower()
+    main = tag == "main" or role == "main"
+    by_kind = not (main or tag in ("html", "body", "article")) and (
+        tag in OUTSIDE or tag == "header" and not around.article or role in ROLES or "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true")
+    by_names = not (main or tag in ("html", "body", "article")) and bool(MARKS.search(names) or not around.article and HEADER_MARK.search(names))
+    excluded, holder = around.excluded or by_kind, around.holder
+    if not excluded and (main or tag == "article"):
+        foreign = bool(MARKS.search(names))
+        while holder >= 0 and not foreign:  # marks all holders around it; those already marked have theirs marked
+            h = holders[holder]
+            if main and not h.of_main:
+                h.of_main = True
+            elif not main and not h.of_article and not h.others:
+                h.of_article = True
+            else:
+                break
+            holder = h.parent
+        holder = around.holder
+    if by_names and not excluded:
+        around_it = holders[holder] if holder >= 0 else Holder(-1, False, False)
+        firm = any(MARKS.sub("", x) == "" for x in names.split())
+        holders.append(Holder(holder, bool(OTHERS.search(names)) or around_it.others, firm or around_it.firm))
+        holder = len(holders) - 1
+    return _Open(tag, excluded, around.article or main or tag == "article" or role == "article", around.link or tag == "a", holder)
+
+
+@lru_cache(maxsize=1)
+def _stop_lists() -> tuple[frozenset[str], ...]:
+    return tuple(frozenset(w.split()) for w in STOP_WORDS.values())
+
 
+def _stop_density(text: str, lists: Iterable[frozenset[str]]) -> float:
+    """The share of stop words, in the language that fits best."""
+    words = _LETTERS.findall(text.lower())
+    return max((sum(w in s for w in words) for s in lists), default=0) / max(1, len(words))
 
-def _stop_lists(words: dict[str, str] = STOP_WORDS) -> list[frozenset[str]]:
-    return [frozenset(w.split()) for w in words.values()]
 
+def _is_running_text(b: Block, rules: Rules, lists: Iterable[frozenset[str]]) -> bool:
+    return len(b.text) >= rules.short and b.link_chars <= rules.links * len(b.text) and _stop_density(b.text, lists) >= rules.stop_low
 
-def classify(found: list[Block], rules: Rules = Rules(), stop_lists: list[frozenset[str]] | None = None) -> list[Block]:
+
+def classify(found: list[Block], rules: Rules = Rules(), stop_lists: Iterable[frozenset[str]] | None = None) -> list[Block]:
     """Label every block good or bad, in place.
 
-    First pass, each block alone: link-dense blocks are bad, long ones with enough stop words (of the language that fits
-    best) good, short ones without links undecided. A block with too few stop words is bad outside an article
-    element and undecided inside one. Second pass: undecided blocks take the label of the nearest decided block; between
-    two at one distance, or none, blocks of an article are good and others bad.
+    First pass, each block alone. Outside an article element, link-dense blocks are bad, long ones with enough stop words
+    (of the language that fits best) good, those with too few bad, and short ones without links undecided. Inside one, a
+    block with enough stop words is good, and every other one undecided: links, lists, code and captions belong to it.
+    Second pass: an undecided block takes the label of the nearest decided block (inside an article: of those there);
+    between two at one distance, or with none, blocks of an article are good and others bad. Where articles hold most of
+    the good text, what stands outside them is bad.
     """
     lists = _stop_lists() if stop_lists is None else stop_lists
+    any_article = any(b.article for b in found)
     for b in found:
         size = len(b.text)
-        if b.link_chars > rules.links * size:
+        if b.article:
+            b.label = "good" if size >= rules.short and _stop_density(b.text, lists) >= rules.stop_low else ""
+        elif b.link_chars > rules.links * size:
             b.label = "bad"
         elif size < rules.short:
-            b.label = "bad" if b.link_chars and not b.article else ""
+            b.label = "bad" if b.link_chars else ""
         else:
-            words = _LETTERS.findall(b.text.lower())
-            stops = max((sum(w in s for w in words) for s in lists), default=0) / max(1, len(words))
-            if stops >= rules.stop_high and size > rules.long:
-                b.label = "good"
-            elif stops >= rules.stop_low:
-                b.label = "good"
-            else:
-                b.label = "" if b.article else "bad"
-    if not any(b.label == "good" for b in found):  # no language that the lists know: long text without links decides
+            stops = _stop_density(b.text, lists)
+            b.label = "good" if stops >= rules.stop_high and size > rules.long or stops >= rules.stop_low else "bad"
+    if not any_article and not any(b.label == "good" for b in found):  # no language that the lists know: long text without links decides
         for b in found:
-            if len(b.text) >= rules.short and b.link_chars <= rules.links * len(b.text) and (b.article or not any(x.article for x in found)):
+            if len(b.text) >= rules.short and b.link_chars <= rules.links * len(b.text):
                 b.label = "good"
-    decided = [i for i, b in enumerate(found) if b.label]
-    before: list[int | None] = []
-    last = None
-    for i, b in enumerate(found):
-        last = i if b.label else last
-        before.append(last)
-    after: list[int | None] = [None] * len(found)
+    good = {inside: sum(len(b.text) for b in found if b.article == inside and b.label == "good") for inside in (True, False)}
+    if any_article and good[True] >= good[False]:
+        for b in found:
+            b.label = b.label if b.article else "bad"
+    for inside in (True, False):
+        _inherit([b for b in found if b.article] if inside else found, inside)
+    return found
+
+
+def _inherit(found: list[Block], inside: bool) -> None:
+    """Undecided blocks (of articles, or all others) take the label of the nearest decided one."""
+    labels, nearest, last = [b.label for b in found], [], None
+    for i, label in enumerate(labels):
+        last = i if label else last
+        nearest.append(last)
     last = None
     for i in range(len(found) - 1, -1, -1):
-        last = i if found[i].label else last
-        after[i] = last
-    labels = {i: found[i].label for i in decided}
-    for i, b in enumerate(found):
-        if not b.label:
-            p, n = before[i], after[i]
-            near = [labels[x] for x in (p, n) if x is not None and abs(x - i) == min(abs(y - i) for y in (p, n) if y is not None)]
-            b.label = near[0] if near and len(set(near)) == 1 else ("good" if b.article else "bad")
-    return found
+        last = i if labels[i] else last
+        b = found[i]
+        if not b.label and b.article == inside:
+            near = [x for x in (nearest[i], last) if x is not None]
+            least = min((abs(x - i) for x in near), default=0)
+            close = {labels[x] for x in near if abs(x - i) == least}
+            b.label = close.pop() if len(close) == 1 else "good" if inside else "bad"
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
@@ -232,8 +393,9 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
 def extract(pages: DataFrame, page: str = "html", rules: Rules = Rules()) -> DataFrame:
     """Add ``text, n_chars`` to every row. A map over rows: no shuffle, one page in memory beside its batch.
 
-    Null and empty pages give an empty text; nothing is dropped or cut. Repeated rows get the same text. Columns named
-    text or n_chars in ``pages`` are replaced.
+    Null and empty pages give an empty text; nothing is dropped or cut, and time grows with the page's length, also for broken
+    markup. Repeated rows get the same text; an empty table gives no rows. Columns named text or n_chars in ``pages`` are
+    replaced.
     """
     bounded_batches(pages.sparkSession)
 

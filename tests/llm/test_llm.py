@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -294,6 +296,80 @@ def test_html_drops_what_is_marked(page):
     assert HTML_TEXT.strip() not in html_extract.main_text(page.format(HTML_TEXT))
 
 
+@pytest.mark.parametrize("names", ["container with-sidebar", "post-content no-comments", "layout has-menu", "article-body share-enabled", "post comments-open"])
+@pytest.mark.parametrize("frame", ["<div class='{}'><article><p>{}</p></article></div>", "<div class='{}'><p>{}</p></div>"])
+def test_html_container_of_the_article_stays(names, frame):
+    assert html_extract.main_text(frame.format(names, HTML_TEXT)) == HTML_TEXT.strip()
+
+
+def test_html_drops_nothing_else_of_the_article():
+    page = f"""<p><a href=x>a link list outside</a></p><article><h1>T</h1><p class=by>By X</p><p>{HTML_TEXT}</p><p>See <a href=a>one long link text</a> and <a href=b>another long link text</a>.</p>
+    <ul><li><a href=c>first</a></li><li><a href=d>second</a></li></ul><pre>x = 1\ny = 2</pre><p>Fin.</p></article><p>{HTML_TEXT}</p>"""
+    text = HTML_TEXT.strip()
+    assert html_extract.main_text(page) == "\n\n".join(["T", "By X", text, "See one long link text and another long link text.", "first", "second", "x = 1 y = 2", "Fin."])
+
+
+def test_html_without_an_article_goes_by_blocks():
+    """Dense running text is good, links and sparse text bad, short blocks as their nearest decided neighbour."""
+    sparse = "Buy Acme Turbo 3000 now, limited edition, free shipping, best price, order today, click here, Acme Turbo 3000, best price."
+    page = f"<div><a href=x>Home</a></div><div>Menu</div><h2>Near</h2><p>{HTML_TEXT}</p><h2>Between</h2><p>{HTML_TEXT}</p><p>{sparse}</p><p>tail</p>"
+    text = HTML_TEXT.strip()
+    assert html_extract.main_text(page) == "\n\n".join(["Near", text, "Between", text])
+
+
+class Independent(HTMLParser):
+    """Another reading of a page: text of blocks outside the named elements, by the standard library's parser."""
+
+    def __init__(self, skip):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.deep, self.out = skip, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.deep += tag in self.skip
+        self.out += [""] if tag in html_extract.BLOCK else []
+        self.out[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.deep -= tag in self.skip
+        self.out += [""] if tag in html_extract.BLOCK else []
+
+    def handle_data(self, data):
+        self.out[-1] += "" if self.deep else data
+
+
+@pytest.mark.parametrize("layout", [
+    "<header><h2>Site</h2></header><nav><a href=/>x</a></nav><article>{}</article><footer>f</footer>", "<body><nav>n</nav><main><article>{}</article></main><aside>{}</aside></body>",
+    "<div class=wrap><div id=content><article>{}</article></div></div><form>{}</form>", "<table><tr><td><nav>n</nav></td><td><article>{}</article></td></tr></table>",
+])
+def test_html_equals_an_independent_parser(layout):
+    r = random.Random(layout)
+    for _ in range(20):
+        inner = "".join(r.choice([f"<p>{HTML_TEXT}</p>", "<h2>A &amp; B &lt;3 &#233;</h2>", "<ul><li>one</li><li>two <b>bold</b></li></ul>", "<p>short<br>line</p>", "<blockquote>said  it\n\tso</blockquote>", "<pre>a\n b</pre>", "<!-- no --><p>x</p>"]) for _ in range(r.randint(1, 8)))
+        page = layout.replace("{}", f"<h1>Title</h1><p>{HTML_TEXT}</p>" + inner)
+        other = Independent({"header", "nav", "footer", "aside", "form"})
+        other.feed(page)
+        assert html_extract.main_text(page) == "\n\n".join(t for x in other.out if (t := " ".join(x.split())))
+
+
+@pytest.mark.parametrize("junk", ["<a ", "<![CDATA[", "<!--", "<a '>' ", "<a href=\"x'", "<div>", "</i><b>", "<li>", "<ul><li><div>", "<div class=ad><article>", "<script ", "<textarea></textarea ", "&#", "&#99999999999", "<", "<x y='"])
+def test_html_broken_markup_takes_linear_time(junk):
+    began = time.process_time()
+    html_extract.main_text(f"<p>{HTML_TEXT}</p>" + junk * (1_000_000 // len(junk)))
+    assert time.process_time() - began < 8
+
+
+def test_html_through_spark(spark):
+    long = "<article>" + f"<p>{HTML_TEXT}</p>" * 20_000 + "</article>"
+    rows = [(1, None, "t", 5), (2, "", "t", 5), (3, f"<article><p>{HTML_TEXT}</p></article>", "t", 5), (3, f"<article><p>{HTML_TEXT}</p></article>", "t", 5), (4, long, "t", 5), (5, "no tags at all", "t", 5), (6, "&#" + "9" * 6000 + "; &#x41; <b", None, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars long").selectExpr("*", "'u' as url", "'l' as label")
+    got = html_extract.extract(df)
+    assert sorted(got.columns) == sorted(df.columns)
+    by_id = {r.page_id: r for r in got.collect()}
+    assert got.count() == 7 and (by_id[1].text, by_id[2].text, by_id[1].n_chars) == ("", "", 0)
+    assert by_id[3].text == HTML_TEXT.strip() and by_id[4].text == "\n\n".join([HTML_TEXT.strip()] * 20_000) and by_id[4].n_chars == len(by_id[4].text)
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
 def test_sharding(spark, docs, empty):
     rows = sharding.shard_manifest(docs).collect()
     slots = defaultdict(list)
