@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -256,6 +257,45 @@ def test_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(near[i]), min(seen), i == min(seen))
 
 
+def test_grid_prunes_and_loses_nothing():
+    """Against all pairs of a block: the same pairs, few comparisons, fewer of them in larger sets."""
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    labels, found = np.array(table["label"].to_pylist()), {}
+    compared = pairs = 0
+    for lb in sorted(set(labels.tolist())):
+        v = np.array([x for x, y in zip(table["embedding"].to_pylist(), labels) if y == lb], float) @ vectors.rotation(64)
+        for k in range(8):
+            part = v[:, 8 * k : 8 * k + 8]
+            i, j, n = vectors.grid_pairs(part, None, vectors.block_room(64, 8, 0.98))
+            d = ((part[:, None] - part[None]) ** 2).sum(2) <= vectors.block_room(64, 8, 0.98)
+            assert {(min(a, b), max(a, b)) for a, b in zip(i, j)} == {(a, b) for a, b in zip(*np.nonzero(np.triu(d, 1)))} and len(i) == np.triu(d, 1).sum()
+            compared += n
+        pairs += len(v) * (len(v) - 1) // 2
+    assert compared < 0.1 * pairs
+    r = np.random.default_rng(2)
+    p, q = r.standard_normal((700, 8)) / 8, r.standard_normal((500, 8)) / 8
+    i, j, _ = vectors.grid_pairs(p, q, 0.02)
+    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(((p[:, None] - q[None]) ** 2).sum(2) <= 0.02)))
+
+
+@pytest.mark.parametrize("group", [7, 40, 20_000])
+def test_vectors_in_cells_and_chunks(spark, group):
+    """Labels larger than a group: coarse cells, visitors and chunks of a crowded cell lose no link."""
+    r = np.random.default_rng(4)
+    base = r.standard_normal((150, 12))
+    near = np.concatenate([base, base[:60] + 0.04 * r.standard_normal((60, 12)), base[0] + 0.02 * r.standard_normal((60, 12))])
+    rows = [(i, [float(x) for x in v], "hot" if i % 3 else "b") for i, v in enumerate(near)] + [(0, [float(x) for x in near[1]], "hot"), (None, [1.0] * 12, "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").selectExpr("*", "1 as key", "2 as cid", "3 as n")
+    got = vectors.link_vectors(df, block=5, group=group).collect()
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    c = unit @ unit.T >= 0.98
+    label = np.array([x[2] for x in rows[: len(near)]])
+    c &= label[:, None] == label[None]
+    n = c.sum(1) - 1 + c[:, 1] * (label == "hot")
+    assert {(x.vec_id, x.n_links) for x in got if x.vec_id not in (0, None)} == {(i, int(m)) for i, m in enumerate(n) if i}
+    assert len(got) == len(rows) and vectors.link_vectors(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("url, verdict", [("http://a.casino-win.net/x", "block"), ("http://casinos.net/", "allow"), ("http://free.bets.net", "block"), ("http://free-free.net", "allow"), (None, "allow"), ("x", "allow")])
 def test_url_vocabulary(url, verdict):
     assert urls.vocabulary_verdict(url) == verdict
