@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, fresh
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -20,14 +23,21 @@ _CACHE = 200_000
 
 @dataclass(frozen=True)
 class Limits:
-    """Documented bounds of the model: documents a language learns from (about), words and n-grams it keeps."""
+    """Documented bounds: about how many whole documents a language learns from, and its longest n-grams. Nothing that
+    these documents hold is left out of the model, so they bound its size too."""
 
     docs: int = 2000
-    words: int = 20_000
-    grams: int = 5_000
     longest: int = 4
 
 
+class Model(NamedTuple):
+    """For each n (0: whole words) the strings known and their log frequency in each language."""
+
+    langs: list[str]
+    names: dict[int, list[str]]
+    logs: dict[int, np.ndarray]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
@@ -37,73 +47,62 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def train(labelled: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
-    """Fit on a hash sample of about ``limits.docs`` whole documents a language; ``labelled`` has only rows to learn from.
+def counts(labelled: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``lang, n, s, c``: how often a word (n = 0) or a word's n-gram occurs in the sampled documents of a language.
 
-    Counting is a Spark job with partial counts in the workers; what comes to the driver is the model: at most
-    ``words + longest * grams`` strings a language. Ties of frequency go by code point.
+    A document is in the sample if a 53-bit hash of its key is below its language's share, however small that is. Words are
+    counted first, then the n-grams of different words, by the words' counts. All in Spark.
+    """
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (F.lit(float(limits.docs)) / F.col("n")).alias("share"))
+    draw = F.shiftrightunsigned(F.xxhash64("key", F.lit("langid")), 11) / F.lit(float(1 << 53))
+    sample = rows.join(F.broadcast(sizes), "lang").where(draw < F.col("share"))  # one row a language
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0))).alias("s"))
+    words = words.groupBy("lang", "s").agg(F.count(F.lit(1)).alias("c"))
+    padded = F.concat(F.lit("^"), F.col("s"), F.lit("$"))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.substring(padded, i, F.lit(n)).alias("s")))
+    parts = words.select("lang", "c", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("n"), "s")), *[pieces(n) for n in range(1, limits.longest + 1)])).alias("p"))
+    return parts.where((F.col("p.n") == 0) | (F.length("p.s") == F.col("p.n"))).groupBy("lang", "p.n", "p.s").agg(F.sum("c").alias("c"))
+
+
+def train(labelled: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Fit on whole documents of ``labelled``, which has only rows to learn from; see :func:`counts`.
+
+    What comes to the driver is the model: the strings of at most about ``limits.docs`` documents a language. Add one half
+    to every count: what a language lacks is rare there, not impossible. Rows without language or text teach nothing.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    totals = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not totals:
-        return {"langs": [], "words": {}, "grams": {}}
-    share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, int(min(1.0, limits.docs / n) * 1_000_000))])
-    sample = rows.where(F.pmod(F.xxhash64(key, F.lit("langid")), F.lit(1_000_000)) < share[F.col(lang)]).select(lang, text)
-    longest = limits.longest
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict = defaultdict(Counter)
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lg, n, s, c) for (lg, n), counts in found.items() for s, c in counts.items()]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "n", "s", "c"])
-
-        for b in batches:
-            for lg, words in zip(b.column(0).to_pylist(), b.column(1)):
-                for w, c in Counter(_LETTERS.findall(words.as_py().lower())).items():
-                    found[lg, 0][w] += c
-                    for n in range(1, longest + 1):
-                        for g in grams(w, n):
-                            found[lg, n][g] += c
-            if sum(map(len, found.values())) > 200_000:
-                yield flush()
-        if found:
-            yield flush()
-
-    counts = sample.mapInArrow(count, "lang string, n int, s string, c long").groupBy("lang", "n", "s").agg(F.sum("c").alias("c"))
-    order = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "s")
-    sums = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"))
-    kept = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("n") == 0, limits.words).otherwise(limits.grams)).drop("r").join(sums, ["lang", "n"])
-    langs = sorted(totals)
-    at = {x: i for i, x in enumerate(langs)}
-    tables: dict = defaultdict(dict)
-    total = np.ones((longest + 1, len(langs)))
-    for r in kept.collect():
-        tables[r["n"]].setdefault(r["s"], np.zeros(len(langs)))[at[r["lang"]]] = r["c"]
-        total[r["n"], at[r["lang"]]] = r["total"]
-    # add one half to every count: what a language lacks is rare there, not impossible
-    logs = {n: {s: tuple(np.log((c + 0.5) / (total[n] + 0.5 * len(t))).tolist()) for s, c in t.items()} for n, t in tables.items()}
-    return {"langs": langs, "words": logs.get(0, {}), "grams": {n: logs.get(n, {}) for n in range(1, longest + 1)}}
+    found = counts(labelled, limits, key, text, lang).toArrow()
+    langs = sorted(set(found["lang"].unique().to_pylist()))
+    names, logs = {}, {}
+    order, n_of, c_of = {x: i for i, x in enumerate(langs)}, found["n"].to_numpy(), found["c"].to_numpy()
+    lang_at = np.array([order[x] for x in found["lang"].to_pylist()], dtype=np.intp)
+    for n in range(limits.longest + 1):
+        mine = np.flatnonzero(n_of == n)
+        coded = found["s"].take(pa.array(mine)).combine_chunks().dictionary_encode()
+        names[n] = coded.dictionary.to_pylist()
+        table = np.zeros((len(names[n]), len(langs)))
+        table[coded.indices.to_numpy(), lang_at[mine]] = c_of[mine]
+        logs[n] = np.log((table + 0.5) / (table.sum(0) + 0.5 * len(table))) if len(table) else table
+    return Model(langs, names, logs)
 
 
 class Scorer:
     """The model in a worker: one table row for each known word, and for unseen words met, up to a bound."""
 
-    def __init__(self, model: dict):
-        self.langs, self.known, self.grams = model["langs"], model["words"], model["grams"]
+    def __init__(self, model: Model):
+        self.langs = model.langs
+        self.grams = {n: dict(zip(model.names[n], model.logs[n].tolist())) for n in sorted(model.names, reverse=True) if n}
+        self.known = model.names[0]
         self.table = np.zeros((len(self.known) + _CACHE, len(self.langs)), np.float32)
+        self.table[: len(self.known)] = model.logs[0]
         self.forget()
 
     def forget(self) -> None:
-        self.row = {w: i for i, w in enumerate(self.known)}
-        if self.known:
-            self.table[: len(self.known)] = list(self.known.values())
+        self.row = dict(zip(self.known, range(len(self.known))))
 
     def unseen(self, word: str) -> list[float]:
         """The mean over the word's longest n-grams of which any is known; nothing if none is."""
-        for n in sorted(self.grams, reverse=True):
-            found = self.grams[n]
+        for n, found in self.grams.items():
             logs = [found[g] for g in grams(word, n) if g in found]
             if logs:
                 return [sum(x) / len(logs) for x in zip(*logs)]
@@ -114,7 +113,7 @@ class Scorer:
         if not words or not self.langs:
             return UNKNOWN, 0.0
         score, names = np.zeros(len(self.langs)), list(words)
-        counts = np.fromiter(words.values(), np.float64, len(names))
+        times = np.fromiter(words.values(), np.float64, len(names))
         for at in range(0, len(names), _CACHE):
             part = names[at : at + _CACHE]
             if len(self.row) + len(part) > len(self.table):
@@ -124,30 +123,43 @@ class Scorer:
                 if w not in row:
                     self.table[len(row)] = self.unseen(w)
                     row[w] = len(row)
-            score += counts[at : at + _CACHE] @ self.table[np.fromiter(map(row.__getitem__, part), np.intp, len(part))]
+            score += times[at : at + _CACHE] @ self.table[np.fromiter(map(row.__getitem__, part), np.intp, len(part))]
         best = int(np.argmax(score))
         return self.langs[best], float(1 / np.exp(score - score[best]).sum())
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, shared: Broadcast) -> Scorer:
+    """The scorer of a model, built once for each Python worker."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(shared.value)
+    return _SCORERS[name]
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred, score``: the most likely learned language of the whole text and its share of the likelihood.
 
     ``und`` with score 0 where the text is null, has no letter, or nothing was learned. Ties go to the first language in
-    code-point order. One narrow pass; the model, whose size is bounded, is broadcast.
+    code-point order. Repeated rows get the same; an empty table gives no rows; columns named lang_pred or score are
+    replaced, all others stay. One narrow pass; the model, whose size is bounded, is broadcast.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(name, shared)
         for batch in texts:
             found = [scorer.predict(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_p")]
-    return docs.select(*kept).withColumn("_p", predict(F.col(text))).select(*kept, "_p.lang_pred", "_p.score")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    [found] = fresh(docs.columns, "_found")
+    return docs.withColumn(found, predict(F.col(text))).select(*kept, f"{found}.lang_pred", f"{found}.score")
 
 
 def identify_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import bounded_batches, materialise
+from ._common import bounded_batches, fresh, materialise
 from .components import components
 
 _FULL = np.uint64(2**64 - 1)
@@ -37,6 +37,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _SEGMENT = 1 << 20
+_LONG_WORD = 64
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 _BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
@@ -62,7 +63,10 @@ class Shingler:
         start, end = edge[0::2], edge[1::2]
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_BYTE[b] * self.up[: len(b)], out=sums[1:])
-        return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        h = _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > _LONG_WORD):  # regular words of about a thousand bytes could share a polynomial
+            h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+        return h
 
     def __call__(self, text: str | None) -> np.ndarray:
         """A-Z lower-cased, split at ASCII white space; fewer words than a shingle are one shingle, none an empty set."""
@@ -268,11 +272,15 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
 
 
 def drop_near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each group, once, with all its columns."""
-    stay = _verdicts(docs, near, key, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_k")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64(text))
-    rows = rows.join(stay, rows[key].eqNullSafe(stay["_id"]) & (F.col("_h") == F.col("_k")), "left_semi")
-    return rows.dropDuplicates([key, "_h"]).drop("_h")
+    """The rows of ``docs`` that stay: the smallest doc_id of each group, once, with all its columns, whatever their names.
+
+    Rows without shingles stay, one of each doc_id and text; an empty table gives no rows.
+    """
+    own, found, hashed_as = fresh(docs.columns, "_h", "_id", "_k")
+    stay = _verdicts(docs, near, key, text).where("kept").select(F.col("doc_id").alias(found), F.col("h").alias(hashed_as)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(text))
+    rows = rows.join(stay, rows[key].eqNullSafe(stay[found]) & (F.col(own) == F.col(hashed_as)), "left_semi")
+    return rows.dropDuplicates([key, own]).drop(own)
 
 
 ORACLE_SQL = r"""

@@ -69,7 +69,8 @@ def shard_of(key: Sequence[Column], leaves: Sequence[Leaf]) -> Column:
 
 
 def assign_shards(docs: DataFrame, leaves: Sequence[Leaf], key: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Add ``shard``. A map over rows: no shuffle. Rows of one key, null keys too, share a shard."""
+    """Add ``shard``. A map over rows: no shuffle. Rows of one key, null keys too, share a shard; a column of that name is
+    replaced, all others stay; an empty table stays empty."""
     return docs.withColumn("shard", shard_of([F.col(k) for k in key], leaves).cast("int"))
 
 

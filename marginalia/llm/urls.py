@@ -9,6 +9,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._common import fresh
+
 # One strict term rejects a url; of the soft terms, SOFT_HITS different ones do.
 STRICT = ("adult", "casino", "escort", "hentai", "malware", "phishing", "pills", "porn", "porno", "sex", "spam", "viagra", "warez", "xxx")
 SOFT = ("ads", "bet", "bets", "bonus", "cheap", "click", "coupon", "crack", "deal", "dating", "farm", "free", "jackpot", "keygen", "loan", "loans", "lottery", "offer", "poker", "popup", "promo", "slots", "sponsor", "track", "tracker", "torrent", "win", "winner")
@@ -16,10 +18,27 @@ SOFT_HITS = 2
 # Fixed values: (host, start of the path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII_LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
 _INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+STRICT_WEIGHT = 1.0
+
+
+def vocabulary(terms: DataFrame, strict_weight: float = STRICT_WEIGHT, bound: int = 2_000_000) -> dict[str, tuple[str, ...]]:
+    """``strict`` and ``soft`` for :func:`filter_urls` from a table ``term, weight``: terms of at least ``strict_weight`` are
+    strict, all others soft. Terms are trimmed and A-Z lower-cased; of a repeated one the largest weight counts; null and
+    empty terms and terms of null weight are left out. A vocabulary is kept whole on the driver and in each Python worker,
+    so one of more than ``bound`` terms is an error."""
+    clean = terms.select(F.trim(F.translate("term", ASCII_UPPER, ASCII_UPPER.lower())).alias("term"), F.col("weight").cast("double").alias("weight"))
+    clean = clean.where("term <> '' and weight is not null").groupBy("term").agg(F.max("weight").alias("weight"))
+    found = sorted((r["term"], r["weight"]) for r in clean.limit(bound + 1).collect())
+    if len(found) > bound:
+        raise ValueError(f"a vocabulary of more than {bound} terms")
+    return {"strict": tuple(t for t, w in found if w >= strict_weight), "soft": tuple(t for t, w in found if w < strict_weight)}
+
+
 @lru_cache(maxsize=8)
 def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
     found = ahocorasick.Automaton()
@@ -50,13 +69,15 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT,
 
     Host and path are cut and matched with rules as columns, in the JVM; only urls that no rule fits meet the automaton
     (Arrow batches, no shuffle). Null urls and urls without ``://`` have an empty host and path; a null url is allowed.
-    Repeated rows are judged alike. Columns of these names in ``pages`` are replaced.
+    Empty urls are as null ones; very long urls cost time in proportion to their length. Repeated rows are judged alike; an
+    empty table gives no rows. Columns of these four names in ``pages`` are replaced, all others stay. ``strict`` and
+    ``soft`` may come from a table, see :func:`vocabulary`.
     """
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    [by] = fresh(pages.columns, "_by")
     text = F.coalesce(F.col(url), F.lit(""))
     rest = F.when(F.instr(text, "://") > 0, F.substring(text, F.instr(text, "://") + 3, F.length(text))).otherwise(F.lit(""))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), upper, lower)
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), ASCII_UPPER, ASCII_UPPER.lower())
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     judged = pages.select(*kept).withColumn("host", host).withColumn("path", path)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -73,7 +94,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT,
             yield pa.array([vocabulary_verdict(u, strict, soft, soft_hits) for u in batch.to_pylist()], pa.string())
 
     unruled = F.when(F.col("rule").isNull(), F.col(url))
-    return judged.withColumn("_by", by_vocabulary(unruled)).withColumn("verdict", F.coalesce("verdict", "_by")).drop("_by")
+    return judged.withColumn(by, by_vocabulary(unruled)).withColumn("verdict", F.coalesce("verdict", by)).drop(by)
 
 
 def oracle_sql() -> str:

@@ -1,8 +1,10 @@
 """Operators against brute force on small and awkward inputs."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import time
 import unicodedata
 import zlib
@@ -13,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -423,6 +426,61 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_manifest(empty).count() == 0
 
 
+def spark_xxhash64(*values):
+    """Spark's chained xxhash64 of strings, ints and longs."""
+    h = 42
+    for kind, v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack(f"<{kind}", v), h)
+    return h
+
+
+def tree_shard(doc_id, leaves):
+    """The tree descended by hand: at each level the child of the smallest exponential draw."""
+    for level in ("region", "rack", "shard"):
+        weights = defaultdict(int)
+        for x in leaves:
+            weights[getattr(x, level)] += x.weight
+        weights = {k: w for k, w in weights.items() if w}
+
+        def draw(child):
+            return -math.log(((spark_xxhash64(("s", level), ("i", child), ("q", doc_id)) >> 11) + 0.5) / 2**53) / weights[child]
+
+        pick = min(weights, key=draw)
+        leaves = [x for x in leaves if getattr(x, level) == pick]
+    return pick
+
+
+def test_sharding_against_the_tree_by_hand(spark):
+    rows = [(i, t) for i, t in enumerate(["", None, "é", "long " * 50_000, *["t"] * 300])] + [(5, "t"), (5, "other"), (2**62, "x")]
+    got = sharding.shard_manifest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), tree_shard(i, sharding.tree(16)), tree_shard(i, sharding.tree(17))) for i, t in rows]
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == sorted(want)
+    assert sharding.assign_shards(spark.createDataFrame([(None, 3)], "doc_id long, shard int"), sharding.tree(16)).first().shard in range(16)
+
+
+def test_sharding_moves_only_below_changed_weights(spark):
+    many = spark.range(6000).withColumnRenamed("id", "doc_id")
+    base = list(sharding.tree(16))
+    before = {r.doc_id: r.shard for r in sharding.assign_shards(many, base).collect()}
+    heavier = [x._replace(weight=3) if x.shard == 5 else x for x in base]
+    after = {r.doc_id: r.shard for r in sharding.assign_shards(many, heavier).collect()}
+    region, rack = base[5].region, base[5].rack
+    for i, was in before.items():
+        now = after[i]
+        if now != was:  # into shard 5, or into its rack or region, whose weights grew with it
+            assert base[now].region == region and (base[was].region != region or base[now].rack == rack and (base[was].rack != rack or now == 5))
+    assert sum(v == 5 for v in after.values()) > 2 * sum(v == 5 for v in before.values())
+    gone = {r.doc_id: r.shard for r in sharding.assign_shards(many, [x._replace(weight=0) if x.shard == 5 else x for x in base]).collect()}
+    assert 5 not in gone.values()
+
+
+def test_write_shards(spark, tmp_path):
+    many = spark.range(500).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+    sharding.write_shards(many, sharding.tree(16), str(tmp_path / "shards"), files=2)
+    back = {r.doc_id: r.shard for r in spark.read.parquet(str(tmp_path / "shards")).collect()}
+    assert back == {r.doc_id: r.shard for r in sharding.assign_shards(many, sharding.tree(16)).collect()}
+
+
 def test_language(spark, empty):
     r = random.Random(1)
     words = {"en": ["the", "of", "shore", "thing"], "fr": ["le", "de", "eau", "éreux"]}
@@ -433,6 +491,59 @@ def test_language(spark, empty):
     assert langid.identify_documents(empty).count() == 0
 
 
+def backoff_by_hand(learnt, text, longest=4):
+    """(best language, its share) from raw counts; words first, unseen ones by their longest known n-grams."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    count = {n: defaultdict(lambda: defaultdict(int)) for n in range(longest + 1)}
+    for t, lg in learnt:
+        for w in words(t):
+            count[0][w][lg] += 1
+            for n in range(1, longest + 1):
+                p = f"^{w}$"
+                for i in range(len(p) - n + 1):
+                    count[n][p[i : i + n]][lg] += 1
+    langs = sorted({lg for _, lg in learnt})
+    total = {n: {lg: sum(c[lg] for c in count[n].values()) for lg in langs} for n in count}
+    log = lambda n, s: np.array([math.log((count[n][s][lg] + 0.5) / (total[n][lg] + 0.5 * len(count[n]))) for lg in langs])
+    score = np.zeros(len(langs))
+    for w in words(text):
+        if w in count[0]:
+            score += log(0, w)
+            continue
+        for n in range(longest, 0, -1):
+            p = f"^{w}$"
+            known = [g for i in range(len(p) - n + 1) if (g := p[i : i + n]) in count[n]]
+            if known:
+                score += np.mean([log(n, g) for g in known], axis=0)
+                break
+    share = np.exp(score - score.max())
+    return langs[int(score.argmax())], float(share.max() / share.sum())
+
+
+def test_language_against_counts_by_hand(spark):
+    r = random.Random(9)
+    stems = {"en": ["the", "thing", "of", "over"], "de": ["der", "ding", "über", "von"], "sv": ["det", "ting", "över", "av"]}
+    rows = [(i, " ".join(r.choice(stems[lg]) + r.choice(["", "s", "en", "x1y"]) for _ in range(r.randint(1, 6))), lg) for i in range(240) for lg in [r.choice(["en", "de", "sv"])]]
+    rows += [(1000, "zzz qqq", None), (1001, "thex dingen överen", None), (1002, "the " * 60_000 + "der", None), (1001, "thex dingen överen", None), (1003, "ﬁ ½ x", None), (1004, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as _p", "2 as _found", "3 as score", "4 as n", "5 as s")
+    got = langid.identify_documents(df).collect()
+    assert len(got) == len(rows) and all((x._p, x._found, x.n, x.s) == (1, 2, 4, 5) for x in got)
+    learnt = [(t, lg) for i, t, lg in rows if lg and zlib.crc32(str(i).encode()) % 3 != 1]
+    for x in got:
+        lang, share = backoff_by_hand(learnt, x.text) if re.search(r"[^\W\d_]", x.text) else ("und", 0.0)
+        assert abs(x.score - share) < 1e-3 and (x.lang_pred == lang or abs(share - 0.5) < 1e-3), x.text[:50]
+
+
+def test_language_ties_and_samples(spark):
+    """Equal evidence goes to the first language; a share of one in a million still draws."""
+    rows = [(i, "same words", lg) for i in range(30) for lg in ("b", "a")]
+    got = langid.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {x.lang_pred for x in got} == {"a"}
+    many = spark.range(200_000).selectExpr("id as doc_id", "'w' as text", "'x' as lang")
+    n = langid.counts(many, langid.Limits(docs=400, longest=1)).where("n = 0").first().c
+    assert 300 < n < 500
+
+
 def test_near_duplicates(spark, docs, empty):
     rows = docs.collect()
 
@@ -474,6 +585,45 @@ def test_near_group_beyond_its_pivot(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_long_regular_words_keep_apart():
+    """Two words that share every polynomial modulo 2^64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    cut = minhash.Shingler(2)
+    assert cut(word)[0] != cut(other)[0] and (cut(word) == cut(word.upper())).all()
+
+
+def test_near_duplicates_of_string_ids_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [("b", long), ("a", long + " end"), ("c", "x y z"), (None, ""), ("d", "X y\tZ")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", *[f"'{c}' as `{c}`" for c in ("h", "_h", "_id", "_k", "k1", "rep", "bucket", "lead", "a.b")])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, minhash.Near(words=2)).collect()}
+    assert got == {"b": (299_999, "a", False), "a": (300_000, "a", True), "c": (2, "c", True), "d": (2, "c", False), None: (0, None, True)}
+    stay = minhash.drop_near_duplicates(df, minhash.Near(words=2)).collect()
+    assert {r.doc_id for r in stay} == {"a", "c", None} and all(r[c] == c for r in stay for c in ("h", "_h", "_id", "_k", "k1", "rep", "bucket", "lead", "a.b"))
+
+
+def test_url_vocabulary_from_a_table(spark):
+    """Thousands of terms against a search for each; nulls, empty and very long urls, clashing names, repeated rows."""
+    r = random.Random(6)
+    letters = "abcdefghij"
+    terms = sorted({"".join(r.choices(letters, k=r.randint(2, 5))) for _ in range(6000)})
+    rows = [(t.upper() if i % 2 else f" {t} ", 1.0 if i % 5 == 0 else 0.5) for i, t in enumerate(terms)] + [(None, 1.0), ("", 1.0), ("zz", None), (terms[1], 0.1)]
+    made = urls.vocabulary(spark.createDataFrame(rows, "term string, weight double"))
+    assert made["strict"] == tuple(terms[::5]) and len(made["soft"]) == len(terms) - len(terms[::5])
+    pages = [(i, "http://h/" + "".join(r.choices(letters + "-/.", k=r.randint(0, 40)))) for i in range(400)] + [(900, None), (901, ""), (902, "http://h/" + "ab" * 200_000), (903, "http://h/" + "zz/" * 100_000), (903, "http://h/" + "zz/" * 100_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'k' as _by", "'x' as host", "7 as `a.b`")
+    got = urls.filter_urls(df, rules=(), **made).collect()
+    strict, soft = set(made["strict"]), set(made["soft"])
+    assert len(got) == len(pages) and all(x._by == "k" and x["a.b"] == 7 for x in got)
+    for x in got:
+        words = set(re.split("[^a-z0-9]", (x.url or "").lower()))
+        assert x.verdict == ("block" if words & strict or len(words & soft) >= 2 else "allow")
+    assert urls.filter_urls(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
