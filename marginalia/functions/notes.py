@@ -86,6 +86,27 @@ def note_filename(when: Column, title: Column, longest: int = 50) -> Column:
     return F.concat(F.date_format(when, "yyyy-MM-dd"), F.lit("--"), slug(title, longest), F.lit(".md"))
 
 
+# The sections of a new hub note.
+HUB_SECTIONS = """
+
+## What This Hub Is
+A conceptual gathering place for notes that touch on this concept.
+
+This hub does not assert a single definition or viewpoint.
+
+## What This Hub Is Not
+- Not a summary
+- Not a conclusion
+- Not authoritative
+
+## Open Questions
+- (leave empty)
+
+## Linked Notes
+- (leave empty)
+"""
+
+
 def hub_stub(name: Column, created: Column) -> Column:
-    """The text of a new hub note."""
-    return F.concat(F.lit("---\ntype: hub\nstatus: emerging\ncreated_at: "), created.cast("string"), F.lit("\n---\n# "), name, F.lit("\n\n## Linked Notes\n"))
+    """The text of a new hub note, empty but for its headings."""
+    return F.concat(F.lit("---\ntype: hub\nstatus: empty\ncreated_at: "), created.cast("string"), F.lit("\n---\n\n# "), name, F.lit(HUB_SECTIONS))

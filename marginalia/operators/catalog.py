@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import markup as W, text as T
-from .order import evenly, row_index, running_total
+from .order import evenly, row_index, running_total, stable
 
 
 def parse_notes(files: DataFrame, *more: Column) -> DataFrame:
@@ -140,7 +140,8 @@ def edge_flag(df: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def multipass_chunks(df: DataFrame, tokens: str, limit: int, *order: Column | str) -> DataFrame:
-    """``k = tokens div limit + 1`` chunks of ``n div k`` rows in order; the last takes the rest."""
+    """``k = tokens div limit + 1`` chunks of ``n div k`` rows in order; the last takes the rest. ``df`` is made once."""
+    df = stable(df)
     rows = row_index(df, *order)
     total = df.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("_tokens"))
     k = F.expr(f"_tokens div {limit} + 1")
@@ -159,21 +160,95 @@ def growth_phases(days: DataFrame, gap: int = 7) -> DataFrame:
     return spans.select("first_day", "last_day", "n_notes")
 
 
+# The sections that may preserve what was captured, by kind; the first that is there counts.
+PRESERVED = {
+    "telegram": ("## Raw Capture",),
+    "image": ("## Raw Capture",),
+    "source": ("## Why This Was Captured", "## Page Content", "## Raw Capture"),
+    "pdf": ("## Why This Was Captured", "## Extracted PDF Text", "## Raw Capture"),
+}
+LEAST_PROSE = 8
+
+
 def checks(pairs: DataFrame) -> DataFrame:
-    """``doc_id, body, markdown`` to ``front_ok, clean_ok, verbatim_ok``, after a fence around the note is taken off."""
-    m = T.without_fence(F.col("markdown"))
+    """``doc_id, body, markdown`` and perhaps ``kind`` to ``front_ok, clean_ok, verbatim_ok``, after a fence around the note is taken off.
+
+    The body must stand, white space and case apart, in the section that preserves its kind (chat, where there is none). Of
+    sources and documents the urls are left out, and what is then shorter than a few characters has nothing to preserve;
+    so has an empty body.
+    """
+    kind = F.coalesce("kind", F.lit("telegram")) if "kind" in pairs.columns else F.lit("telegram")
+    rows = pairs.select("doc_id", F.coalesce("body", F.lit("")).alias("body"), T.without_fence(F.col("markdown")).alias("m"), kind.alias("kind"))
+    m, body = F.col("m"), F.col("body")
     lines = F.transform(F.split(m, "\n"), T.strip)
     front = (lines[0] == "---") & (F.array_position(F.slice(lines, 2, 39), "---") > 0)
     count = lambda c, p: F.regexp_count(c, F.lit(p))
-    corrupt = (count(m, "&nbsp;") > count(F.col("body"), "&nbsp;")) | (count(m, r"\\[\[\]_*#]") > count(F.col("body"), r"\\[\[\]_*#]"))
-    kept = F.contains(T.normalize(T.section(T.body(m), "Raw Capture")), T.normalize(F.col("body")))
-    return pairs.select("doc_id", front.alias("front_ok"), (~corrupt).alias("clean_ok"), kept.alias("verbatim_ok"))
-
-
-def validate(pairs: DataFrame) -> DataFrame:
-    """``doc_id, ok, reason``: the first check that fails, frontmatter, then corruption, then verbatim text."""
+    corrupt = (count(m, "&nbsp;") > count(body, "&nbsp;")) | (count(m, r"\\[\[\]_*#]") > count(body, r"\\[\[\]_*#]"))
+    prose = T.strip(T.strip_urls(body))
+    kept = F.lit(None).cast("string")
+    for name, headings in PRESERVED.items():
+        kept = F.when(F.col("kind") == name, T.section(T.body(m), "Raw Capture") if len(headings) == 1 else W.first_section(m, headings)).otherwise(kept)
+    quoting = F.col("kind").isin("source", "pdf")
+    wanted = F.when(quoting, prose).otherwise(T.strip(body))
+    nothing = (wanted == "") | quoting & (F.length(wanted) < LEAST_PROSE)
+    verbatim = nothing | F.coalesce(F.contains(T.normalize(kept), T.normalize(wanted)), F.lit(False))
+    return rows.select("doc_id", front.alias("front_ok"), (~corrupt).alias("clean_ok"), verbatim.alias("verbatim_ok"))
+
+
+def validate(pairs: DataFrame, mode: str = "strict") -> DataFrame:
+    """``doc_id, ok, reason``: the first check that fails, frontmatter, then corruption, then verbatim text.
+
+    ``strict`` refuses such a note, ``lenient`` lets it pass and says why not, ``off`` checks nothing.
+    """
+    if mode not in ("strict", "lenient", "off"):
+        raise ValueError(f"no mode {mode!r}")
+    if mode == "off":
+        return pairs.select("doc_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"))
     reason = F.when(~F.col("front_ok"), "frontmatter").when(~F.col("clean_ok"), "corruption").when(~F.col("verbatim_ok"), "verbatim")
-    return checks(pairs).select("doc_id", reason.isNull().alias("ok"), reason.alias("reason"))
+    return checks(pairs).select("doc_id", F.lit(True).alias("ok") if mode == "lenient" else reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def number_images(images: DataFrame, existing: DataFrame) -> DataFrame:
+    """Add ``name``: ``image-001.jpg`` and so on by ``day`` and ``extension``, in order of ``ts, message_id``, after the largest number
+    that ``existing`` (day, extension, name) has there; other names there do not count.
+
+    Positions are made of the counts of each hour and a rank inside it, so a busy day is not one task.
+    """
+    taken = F.try_to_number(F.nullif(F.regexp_extract("name", r"^image-(\d{1,9})(?:-|\.|$)", 1), F.lit("")), F.lit("999999999")).cast("long")
+    last = existing.groupBy("day", "extension").agg(F.max(taken).alias("last"))
+    timed = images.withColumn("hour", F.date_trunc("hour", "ts"))
+    hours = timed.groupBy("day", "extension", "hour").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("day", "extension").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    starts = hours.select("day", "extension", "hour", F.coalesce(before, F.lit(0)).alias("before")).join(last, ["day", "extension"], "left")
+    rank = F.row_number().over(Window.partitionBy("day", "extension", "hour").orderBy("ts", "message_id"))
+    number = F.coalesce("last", F.lit(0)) + F.col("before") + rank
+    named = timed.join(starts, ["day", "extension", "hour"]).withColumn("name", F.concat(F.format_string("image-%03d", number), "extension"))
+    return named.select(*images.columns, "name")
+
+
+def theme_frequency(notes: DataFrame, examples: int = 3) -> DataFrame:
+    """``theme, n_notes, share, place, examples``: in how many notes and in which share of them, its place (ties share one), and the first
+    notes that have it.
+
+    Places come from how many themes have each count, a table of far fewer rows than themes.
+    """
+    found = concepts(notes).withColumnRenamed("concept", "theme")
+    counted = found.groupBy("theme").agg(F.count(F.lit(1)).alias("n_notes"))
+    sizes = counted.groupBy("n_notes").agg(F.count(F.lit(1)).alias("themes"))
+    places = sizes.select("n_notes", (1 + F.coalesce(F.sum("themes").over(Window.orderBy(F.desc("n_notes")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int").alias("place"))
+    first = found.withColumn("i", F.row_number().over(Window.partitionBy("theme").orderBy("stem"))).where(F.col("i") <= examples)
+    named = first.groupBy("theme").agg(F.array_join(F.array_sort(F.collect_list("stem")), ",").alias("examples"))
+    total = notes.agg(F.count(F.lit(1)).alias("total"))
+    return counted.join(places, "n_notes").join(named, "theme").join(F.broadcast(total)).select("theme", "n_notes", F.round(F.col("n_notes") / F.col("total"), 6).alias("share"), "place", "examples")
+
+
+def theme_lift(notes: DataFrame) -> DataFrame:
+    """``a, b, n_notes, lift``: pairs of themes of one note, and how much more often they meet than if they were independent."""
+    single = notes.select(F.explode(F.array_distinct("themes")).alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
+    total = notes.agg(F.count(F.lit(1)).alias("total"))
+    both = theme_pairs(notes).join(single.select(F.col("theme").alias("a"), F.col("n").alias("n_a")), "a").join(single.select(F.col("theme").alias("b"), F.col("n").alias("n_b")), "b")
+    lift = F.col("n_notes").cast("double") * F.col("total") / (F.col("n_a").cast("double") * F.col("n_b"))
+    return both.join(F.broadcast(total)).select("a", "b", "n_notes", F.round(lift, 6).alias("lift"))
 
 
 def private_host(host: Column) -> Column:

@@ -49,10 +49,17 @@ def pending_dimensions(analyses: DataFrame) -> DataFrame:
     return runs.join(analyses.select("run_id", "dimension"), ["run_id", "dimension"], "left_anti")
 
 
+def corpus_mark(analyses: DataFrame) -> DataFrame:
+    """``run_id, mark``: count, sum and exclusive or of the hashes of a run's documents, whatever their order; any edit changes it."""
+    h = F.xxhash64("dimension", "content")
+    parts = (F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h))
+    return analyses.groupBy("run_id").agg(F.concat_ws(":", *[x.cast("string") for x in parts]).alias("mark"))
+
+
 def resume_plan(analyses: DataFrame, saved: DataFrame) -> DataFrame:
     """What to do with each run: ``restart`` if its corpus changed since the checkpoint, ``done``, or ``resume``; and how many dimensions are left."""
     left = pending_dimensions(analyses).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_left"))
-    now = analyses.groupBy("run_id").agg(F.sum(F.length("content").cast("long")).alias("mark"))
+    now = corpus_mark(analyses)
     both = now.join(left, "run_id", "left").join(saved.withColumnRenamed("mark", "_saved"), "run_id", "left")
     n_left = F.coalesce("n_left", F.lit(0))
     same = F.coalesce(F.col("mark") == F.col("_saved"), F.lit(False))

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.sinks import shared_folder
+
 
 def stable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder, so that partition ids stay what they were."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-catalog-"))
-    return df.checkpoint()
+    """``df`` as a written table in the shared folder: made once, and partition ids stay what they were."""
+    path = shared_folder(df.sparkSession, "order")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_index(df: DataFrame, *order: Column | str, name: str = "row_index", total: str = "row_count") -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import catalog as C, condense, sampling
 from ..sources.sinks import shared_folder
 from ..sources.standins import NOTES_SQL, note_files, read
 from ..streaming import captures
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 N = f"WITH {NOTES_SQL}"
 
@@ -21,12 +21,12 @@ def notes(s: SparkSession, d: str) -> DataFrame:
 _LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
 
 
-@query(f"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Reflection' WHEN 2 THEN 'Idea' ELSE 'Thought' END AS type, CASE turn % 4 WHEN 0 THEN 'calm' WHEN 2 THEN 'late' END AS mood, array_to_string({_LINES}, chr(10)) AS body FROM conversations WHERE role = 'user'")
+@query(f"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Reflection' WHEN 2 THEN 'Idea' ELSE 'Thought' END AS type, CASE turn % 4 WHEN 0 THEN 'calm' WHEN 2 THEN 'late' END AS mood, array_to_string({_LINES}, chr(10)) AS body FROM conversations")
 def parse_message(s, d):
-    """User turns behind a type prefix and mood lines; the last mood counts."""
+    """Turns behind a type prefix and mood lines; the last mood counts."""
     k, t = F.col("turn") % 4, F.coalesce("text", F.lit(""))
     made = F.when(k == 0, F.concat(F.lit("reflection: "), t, F.lit("\nMood: calm"))).when(k == 2, F.concat(F.lit("IDEA:\nmood: early\n"), t, F.lit("\n MOOD:  late "))).otherwise(t)
-    rows = read(s, d, "conversations").where("role = 'user'").withColumn("text", made)
+    rows = read(s, d, "conversations").withColumn("text", made)
     lines = M.message_lines(F.col("text"))
     return rows.select("conv_id", "turn", M.message_type(F.col("text")).alias("type"), M.message_field(lines, "mood").alias("mood"), M.message_body(lines).alias("body"))
 
@@ -47,10 +47,11 @@ def extract_pages(s, d):
     return P.extract_pages(read(s, d, "pages")).select("page_id", "title", "domain", "markdown_content", "success", "error")
 
 
-@query("SELECT page_id, 'a' || chr(10) || chr(10) || chr(10) || 'b' || (page_id % 7) AS text FROM pages")
+@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ' || chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS text_md5 FROM pages")
 def clean_markdown(s, d):
-    made = F.concat(F.lit("\n a  \n\n\n \n\nb"), (F.col("page_id") % 7).cast("string"), F.lit("\t\n\n"))
-    return read(s, d, "pages").select("page_id", P.clean_markdown(made).alias("text"))
+    """The html of every page with a blank and a line break for each tag."""
+    made = F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " \n")
+    return read(s, d, "pages").select("page_id", F.md5(P.clean_markdown(made)).alias("text_md5"))
 
 
 _SCORE = "round((CASE WHEN contains(lower(text), 'feel') OR contains(lower(text), 'emotion') OR contains(lower(text), 'anxious') OR contains(lower(text), 'happy') OR contains(lower(text), 'sad') THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END) + (CASE WHEN mood IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + 1.5::DOUBLE + ln(words + 1.0::DOUBLE) * 0.3::DOUBLE, 6)"
@@ -85,8 +86,8 @@ _KEPT = _sample_sql("(50000::DOUBLE / (SELECT sum(floor(words * 1.3::DOUBLE)::BI
 
 
 @query(f"{N}, kept AS ({_KEPT}) SELECT source, count(*) AS original, count(kept.stem) AS sampled, round(count(kept.stem)::DOUBLE / count(*), 6) AS retention FROM notes LEFT JOIN kept USING (stem) GROUP BY source")
-def sampled_counts(s, d):
-    """By source, the notes and those that the sampler keeps of 50,000 tokens."""
+def sampling_report(s, d):
+    """By source, the notes, those that the sampler keeps of 50,000 tokens, and the share that stays."""
     rows = sampling.scored(notes(s, d)).select("stem", "created_at", "score", "token_estimate")
     kept = sampling.sample_if_needed(rows, 50_000).select("stem", F.lit(1).alias("kept"))
     both = note_files(s, d).select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), "source").join(kept, "stem", "left")
@@ -94,6 +95,11 @@ def sampled_counts(s, d):
     return both.groupBy("source").agg(n.alias("original"), F.count("kept").alias("sampled"), F.round(F.count("kept") / n, 6).alias("retention"))
 
 
+@query(ORACLE_SQL["sampling_report"])
+def sampled_counts(s, d):
+    return sampling_report(s, d)
+
+
 _HEDGED = "CASE doc_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END"
 
 
@@ -139,10 +145,10 @@ def pending_dimensions(s, d):
 
 @query(f"{A} SELECT run_id, CASE WHEN run_id % 4 = 0 THEN 'restart' WHEN count(*) = {_D} THEN 'done' ELSE 'resume' END AS action, CASE WHEN run_id % 4 = 0 THEN {_D} ELSE {_D} - count(*) END AS n_left FROM analyses GROUP BY run_id")
 def resume_plan(s, d):
-    """The checkpoint of every fourth run is of another corpus, or missing."""
+    """The checkpoint of every fourth run is of a corpus edited since, at equal length, or missing."""
     rows = analyses(s, d)
-    saved = rows.groupBy("run_id").agg(F.sum(F.length("content").cast("long")).alias("mark")).where("run_id % 8 <> 0").withColumn("mark", F.col("mark") + F.when(F.col("run_id") % 4 == 0, 1).otherwise(0))
-    return condense.resume_plan(rows, saved)
+    edited = rows.withColumn("content", F.when(F.col("run_id") % 4 == 0, F.concat(F.expr("substring(content, 2)"), F.lit("#"))).otherwise(F.col("content")))
+    return condense.resume_plan(rows, condense.corpus_mark(edited).where("run_id % 8 <> 0"))
 
 
 def profiles(s: SparkSession, d: str) -> DataFrame:

@@ -86,26 +86,45 @@ def hub_suggestions(s, d):
     return C.hub_suggestions(notes(s, d), hubs(s, d))
 
 
-@query(f"{CONCEPTS} SELECT concept AS theme, count(*) AS n_notes, rank() OVER (ORDER BY count(*) DESC)::INT AS place FROM concepts GROUP BY concept")
+@query(f"{CONCEPTS} SELECT concept AS theme, count(*) AS n_notes, round(count(*)::DOUBLE / (SELECT count(*) FROM notes), 6) AS share, rank() OVER (ORDER BY count(*) DESC)::INT AS place, array_to_string(list_sort(list(stem))[1:3], ',') AS examples FROM concepts GROUP BY concept")
 def theme_frequency(s, d):
-    counted = C.concepts(notes(s, d)).groupBy(F.col("concept").alias("theme")).agg(n("n_notes"))
-    return counted.withColumn("place", F.rank().over(Window.orderBy(F.desc("n_notes"))))
+    return C.theme_frequency(notes(s, d))
 
 
-@query(f"{N}, t AS (SELECT DISTINCT stem, unnest([lang, source, size]) AS x FROM notes) SELECT p.x AS a, q.x AS b, count(*) AS n_notes FROM t p JOIN t q ON p.stem = q.stem AND p.x < q.x GROUP BY ALL")
+@query(f"{N}, t AS (SELECT DISTINCT stem, unnest([lang, source, size]) AS x FROM notes), c AS (SELECT x, count(*) AS n FROM t GROUP BY x), p AS (SELECT p.x AS a, q.x AS b, count(*) AS n_notes FROM t p JOIN t q ON p.stem = q.stem AND p.x < q.x GROUP BY ALL) SELECT a, b, n_notes, round(n_notes::DOUBLE * (SELECT count(*) FROM notes) / (ca.n::DOUBLE * cb.n), 6) AS lift FROM p JOIN c ca ON ca.x = a JOIN c cb ON cb.x = b")
 def theme_cooccurrence(s, d):
-    return C.theme_pairs(notes(s, d))
+    return C.theme_lift(notes(s, d))
 
 
-@query(f"{N}, t AS (SELECT date_trunc('month', created)::DATE AS month, unnest([lang, source, size]) AS theme FROM notes), c AS (SELECT theme, month, count(*) AS n_notes FROM t GROUP BY ALL) SELECT theme, month, n_notes, n_notes - lag(n_notes) OVER (PARTITION BY theme ORDER BY month) AS change FROM c")
+@query(f"{N}, t AS (SELECT date_trunc('month', created)::DATE AS month, unnest([lang, source, size]) AS theme FROM notes), c AS (SELECT theme, month, count(*) AS n_notes FROM t GROUP BY ALL) SELECT theme, month, n_notes, round(n_notes::DOUBLE / (SELECT count(*) FROM notes WHERE date_trunc('month', created) = month), 6) AS share, n_notes - lag(n_notes) OVER (PARTITION BY theme ORDER BY month) AS change FROM c")
 def theme_trend(s, d):
+    """By month, the notes of a theme, their share of the month's notes, and the change from the theme's month before."""
+    months = notes(s, d).groupBy(F.trunc("created_at", "month").alias("month")).agg(n("all_notes"))
     counted = notes(s, d).select(F.trunc("created_at", "month").alias("month"), F.explode("themes").alias("theme")).groupBy("theme", "month").agg(n("n_notes"))
-    return counted.withColumn("change", F.col("n_notes") - F.lag("n_notes").over(Window.partitionBy("theme").orderBy("month")))
+    changed = counted.withColumn("change", F.col("n_notes") - F.lag("n_notes").over(Window.partitionBy("theme").orderBy("month")))
+    return changed.join(months, "month").select("theme", "month", "n_notes", F.round(F.col("n_notes") / F.col("all_notes"), 6).alias("share"), "change")
 
 
-@query(f"{N} SELECT mood, dayofweek(created)::INT + 1 AS weekday, count(*) AS n FROM notes WHERE mood IS NOT NULL GROUP BY ALL")
+@query(f"{N}, m AS (SELECT mood, unnest(['weekday', 'month']) AS unit, unnest([dayofweek(created)::INT + 1, month(created)::INT]) AS slot FROM notes WHERE mood IS NOT NULL) SELECT mood, unit, slot, count(*) AS n FROM m GROUP BY ALL")
 def mood_cycle(s, d):
-    return notes(s, d).where("mood is not null").groupBy("mood", F.dayofweek("created_at").alias("weekday")).agg(n())
+    """By weekday and by month, counted in one pass."""
+    slots = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), f("created_at").alias("slot")) for u, f in (("weekday", F.dayofweek), ("month", F.month))])).alias("t")
+    return notes(s, d).where("mood is not null").select("mood", slots).groupBy("mood", "t.unit", "t.slot").agg(n())
+
+
+@query(f"{N}, c AS (SELECT created, count(mood) AS moods, count(*) AS n FROM notes GROUP BY created) SELECT created AS day, moods, round(avg(moods::DOUBLE / n) OVER (ORDER BY created RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) AS rolling FROM c")
+def mood_rolling(s, d):
+    """By day, the notes with a mood and the mean share of them over seven days; one row a day is all that the window sees."""
+    days = notes(s, d).groupBy(F.col("created_at").alias("day")).agg(F.count("mood").alias("moods"), n())
+    week = Window.orderBy(F.unix_date("day")).rangeBetween(-6, 0)
+    return days.select("day", "moods", F.round(F.avg(F.col("moods") / F.col("n")).over(week), 6).alias("rolling"))
+
+
+@query("WITH c AS (SELECT hour(ts)::INT AS hour, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT hour, event_type, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY event_type), 6) AS share FROM c")
+def activity_by_hour(s, d):
+    """Messages by hour of the day, and the hour's share of its kind."""
+    counted = read(s, d, "events").groupBy(F.hour("ts").alias("hour"), "event_type").agg(n())
+    return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("event_type")), 6))
 
 
 @query(f"{N}, d AS (SELECT created - CASE WHEN doc_id % 365 % 30 >= 15 THEN 15 ELSE 0 END AS created, count(*) AS c FROM notes GROUP BY ALL), g AS (SELECT *, CASE WHEN created - lag(created) OVER (ORDER BY created) < 7 THEN 0 ELSE 1 END AS new FROM d), p AS (SELECT *, sum(new) OVER (ORDER BY created) AS phase FROM g) SELECT min(created) AS first_day, max(created) AS last_day, sum(c)::BIGINT AS n_notes FROM p GROUP BY phase")
@@ -206,10 +225,13 @@ def pending_image_count(s, d):
     return messages(s, d).groupBy("chat_id").agg(F.count_if(F.col("kind") == "photo").alias("n"))
 
 
-@query(f"{M} SELECT message_id, 'image-' || lpad((row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, message_id))::VARCHAR, 5, '0') AS name FROM messages WHERE kind = 'photo'")
+@query(f"{M}, p AS (SELECT *, ts::DATE AS day, CASE WHEN k % 2 = 0 THEN '.jpg' ELSE '.png' END AS extension FROM messages WHERE kind = 'photo'), e AS (SELECT day, extension, max(message_id % 400) AS last FROM p WHERE message_id % 10 = 0 AND message_id % 30 <> 0 GROUP BY ALL) SELECT message_id, 'image-' || printf('%03d', coalesce(last, 0) + row_number() OVER (PARTITION BY day, extension ORDER BY ts, message_id)) || extension AS name FROM p LEFT JOIN e USING (day, extension) WHERE message_id % 10 <> 0")
 def number_images(s, d):
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "message_id")
-    return messages(s, d).where("kind = 'photo'").select("message_id", F.concat(F.lit("image-"), F.lpad(F.row_number().over(w).cast("string"), 5, "0")).alias("name"))
+    """Every tenth photo is there already, numbered by its id, some under other names."""
+    rows = messages(s, d).where("kind = 'photo'").select("message_id", "ts", F.to_date("ts").alias("day"), F.when(F.col("k") % 2 == 0, ".jpg").otherwise(".png").alias("extension"))
+    number = F.format_string("image-%03d", F.col("message_id") % 400)
+    there = rows.where("message_id % 10 = 0").select("day", "extension", F.concat(F.when(F.col("message_id") % 30 == 0, "image-x").otherwise(number), "extension").alias("name"))
+    return C.number_images(rows.where("message_id % 10 <> 0"), there).select("message_id", "name")
 
 
 @query(f"{M} SELECT message_id, year(ts)::INT AS year FROM messages WHERE message_id % 20 <> 0")
@@ -292,9 +314,30 @@ def validate_output(s, d):
 
 @query(f"SELECT reason, count(*) AS n FROM ({PAIRS_SQL}) GROUP BY ALL")
 def corpus_quality_report(s, d):
+    """How many notes fail which check."""
     return C.validate(note_pairs(s, d)).groupBy("reason").agg(n())
 
 
+@query(f"WITH p AS ({PAIRS_SQL}) SELECT doc_id, 'lenient' AS mode, true AS ok, reason FROM p UNION ALL SELECT doc_id, 'off', true, NULL FROM p")
+def validate_output_modes(s, d):
+    """The same notes where a failed check is only noted, and where none is made."""
+    return C.validate(note_pairs(s, d), "lenient").withColumn("mode", F.lit("lenient")).unionByName(C.validate(note_pairs(s, d), "off").withColumn("mode", F.lit("off")))
+
+
+@query("WITH t AS (SELECT doc_id, trim(regexp_replace(text, 'https?://\\S+', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS prose FROM documents) SELECT doc_id, doc_id % 4 <> 3 OR length(prose) < 8 AS ok, CASE WHEN doc_id % 4 = 3 AND length(prose) >= 8 THEN 'verbatim' END AS reason FROM t")
+def validate_sources(s, d):
+    """Saved links: a url alone; the text as the reason of capture; url and text as page content; and a text that stands only in a
+    section behind the one that counts."""
+    k, text = F.col("doc_id") % 4, F.col("text")
+    url = F.concat(F.lit("https://example.com/a/"), F.col("doc_id").cast("string"))
+    head = F.lit("---\ntype: source\n---\n# Link\n\n")
+    body = F.when(k == 0, url).when(k == 2, F.concat(url, F.lit(" "), text)).otherwise(text)
+    note = F.when(k == 0, head).when(k == 1, F.concat(head, F.lit("## Why This Was Captured\n"), text)).when(k == 2, F.concat(head, F.lit("## Page Content\n"), text))
+    note = F.coalesce(note, F.concat(head, F.lit("## Raw Capture\n"), text, F.lit("\n\n## Why This Was Captured\nsee above\n")))
+    kind = F.when(k == 2, "source").otherwise(F.when(F.col("doc_id") % 8 < 4, "source").otherwise("pdf"))
+    return C.validate(read(s, d, "documents").select("doc_id", body.alias("body"), note.alias("markdown"), F.when(k == 2, "source").otherwise(kind).alias("kind")))
+
+
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages WHERE regexp_matches(url, '^https?://[^/?#]+')")
 def filter_valid_url(s, d):
     host = F.try_parse_url("url", F.lit("HOST"))
@@ -349,12 +392,6 @@ def vocabulary_profile(s, d):
     return f.groupBy("lang").agg(n(), F.sum("words").alias("words"), F.round(F.avg("words"), 6).alias("mean_words"), F.count_if(F.col("text").contains("?")).alias("questions"))
 
 
-@query(f"{N}, w AS (SELECT (EXTRACT(doy FROM created))::INT AS doy, source, words FROM notes) SELECT source, count(*) AS original, count(*) FILTER (doy % 10 = 0) AS sampled, round(count(*) FILTER (doy % 10 = 0)::DOUBLE / count(*), 6) AS retention FROM w GROUP BY source")
-def sampling_report(s, d):
-    kept = F.count_if(F.dayofyear("created") % 10 == 0)
-    return note_files(s, d).groupBy("source").agg(n("original"), kept.alias("sampled"), F.round(kept / F.count(F.lit(1)), 6).alias("retention"))
-
-
 _MARK = "('0x' || substr(md5(stem || chr(10) || left(text, 100)), 1, 8))::BIGINT"
 
 
@@ -366,12 +403,6 @@ def corpus_fingerprint(s, d):
     return note_files(s, d).agg(n(), F.sum(mark).alias("total"), F.bit_xor(mark).alias("mixed"))
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(translate(lower(left(text, 40)), 'áàâäãåéèêëíìîïóòôöõúùûüñçÿ', 'aaaaaaeeeeiiiiooooouuuuncy'), '[^a-z0-9\\s]', '', 'g'), '\\s+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM documents WHERE regexp_matches(left(text, 40), '^[\\p{L}\\s]+$')")
-def slugify(s, d):
-    head = F.substring("text", 1, 40)
-    return read(s, d, "documents").where(head.rlike(r"^[\p{L}\s]+$")).select("doc_id", T.slug(head).alias("slug"))
-
-
 _SLUG = f"trim(regexp_replace(regexp_replace(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9\\s\\x0B_-]', '', 'g'), '[\\s\\x0B_-]+', '-', 'g'), '-')"
 
 
@@ -381,6 +412,11 @@ def slugify_documents(s, d):
     return read(s, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
+@query(ORACLE_SQL["slugify_documents"])
+def slugify(s, d):
+    return slugify_documents(s, d)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'photo' WHEN event_id % 5 = 1 THEN 'document' WHEN event_id % 5 = 2 THEN 'command' ELSE 'text' END AS kind FROM events WHERE event_id % 5 <> 4")
 def dispatch_message(s, d):
     """Photos before documents before commands before text; updates with nothing are dropped."""
@@ -389,6 +425,6 @@ def dispatch_message(s, d):
     return C.dispatch(rows).select("event_id", "kind")
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN 'too long' WHEN trim(text, ' \n\t') = '' THEN 'empty' END AS reason FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN 'too long' WHEN text IS NULL OR trim(text, ' \n\t') = '' THEN 'empty' END AS reason FROM conversations")
 def admit_capture(s, d):
-    return read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", C.admit(F.col("text"), 300).alias("reason"))
+    return read(s, d, "conversations").select("conv_id", "turn", C.admit(F.col("text"), 300).alias("reason"))

@@ -140,3 +140,12 @@ def stream_image_association(s, d):
 def stream_exactly_once_sink(s, d):
     """Run twice over one checkpoint: the second run resumes behind the first and adds nothing."""
     return drained(s, captures.ingest(updates(s, d)), "exactly", 2).groupBy(F.col("body").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{MSG}, q AS (SELECT message_id, kind, CASE WHEN kind IN ('photo', 'captioned') THEN 1 WHEN kind = 'command' THEN 3 ELSE 2 END AS priority FROM (SELECT message_id, CASE WHEN kind = 'document' THEN 'command' ELSE kind END AS kind FROM messages)) SELECT message_id, kind, 'done' AS status FROM q ORDER BY priority, message_id LIMIT 500")
+def stream_periodic_process(s, d):
+    """One round over all events: the 500 most urgent are processed, the others stay in the queue."""
+    root, marks = sinks.shared_folder(s, "rounds"), sinks.shared_folder(s, "rounds-checkpoint")
+    rows = updates(s, d).withColumn("priority", C.priority(F.col("kind"), F.col("message_id")))
+    captures.process_periodically(rows, root, marks, lambda q: q.select("message_id", "kind", F.lit("done").alias("status"))).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{root}/done/round=0").select("message_id", "kind", "status")

@@ -123,17 +123,17 @@ def parse_frontmatter(s, d):
     return note_files(s, d).select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), F.md5(T.strip(T.frontmatter(c))).alias("front_md5"), F.size(T.front_map(c)).alias("n_keys"))
 
 
-@query(f"{N} SELECT stem, starts_with(b, '# Note ') AS titled, length(b) > length(text) AS longer FROM (SELECT stem, text, '# Note ' || doc_id || text AS b FROM notes)")
+@query(f"{N} SELECT stem, md5(array_to_string(['# Note ' || doc_id, '', '## Raw Capture', text, '', '## Themes', '- ' || lang, '- ' || source, '- ' || size, '', '## Related Hub Notes', '- [[' || lang || ']]', '- [[' || source || '|Source]]', '- [[' || prev || ']]'], chr(10))) AS body_md5 FROM notes")
 def split_frontmatter(s, d):
     b = T.body(F.col("content"))
-    return note_files(s, d).select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), b.startswith("# Note ").alias("titled"), (F.length(b) > F.length("text")).alias("longer"))
+    return note_files(s, d).select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), F.md5(b).alias("body_md5"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Given' WHEN 1 THEN 'My Note' ELSE 'A Line' END AS title FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN 'My Note' ELSE lang || ' ' || source END AS title FROM documents")
 def extract_title(s, d):
     """From a heading, else the stem, else the first line."""
     k = F.col("doc_id") % 3
-    text = F.when(k == 0, "x\n#  Given \n# Other").when(k == 1, "no heading").otherwise("\n---\n A Line\nmore")
+    text = F.when(k == 0, F.concat("text", F.lit("\n#  "), "source", F.lit(" \n# Other"))).when(k == 1, F.col("text")).otherwise(F.concat(F.lit("\n---\n "), "lang", F.lit(" "), "source", F.lit("\n"), "text"))
     stem = F.when(k == 1, "2024-01-01--my-note")
     return read(s, d, "documents").select("doc_id", F.coalesce(T.title(text), W.titled_stem(stem), W.first_line(text), F.lit("Untitled")).alias("title"))
 
@@ -186,7 +186,7 @@ def analysis_texts(s: SparkSession, d: str) -> DataFrame:
     """Documents as analyses with callouts and citations."""
     i = F.col("doc_id").cast("string")
     many = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 12 + 1).cast("int")), lambda k: F.concat(F.lit("> - point "), k.cast("string"))), "\n")
-    text = F.concat(F.lit("Summary of "), i, F.lit("\n\n## Body\n[[a|A]] [[b]] [[a]] [["), i, F.lit("]]\n\n> [!insight] Key\n> said\n"), many, F.lit("\n\n> [!note]\n> other\n"))
+    text = F.concat(F.lit("Summary of "), i, F.lit("\n\n## Body\n[[a|A]] [[b]] [[a]] [["), i, F.lit("]]\n"), F.coalesce("text", F.lit("")), F.lit("\n\n> [!insight] Key\n> said\n"), many, F.lit("\n\n> [!note]\n> other\n"))
     return read(s, d, "documents").select("doc_id", text.alias("text"))
 
 
@@ -231,15 +231,15 @@ def created_at_resolve(s, d):
     k = F.col("doc_id") % 4
     content = F.when(k == 0, "---\ncaptured_at: 2024-03-03\ncreated_at: 2024-02-03T10:00:00+02:00\n---\nx").when(k == 1, "---\ndate: 2024-02-04\n---\n").when(k == 2, "---\ndate: soon\n---\n").otherwise("text")
     stem = F.when(k == 2, "2024-05-06--a").otherwise("b")
-    at = C.created_at(content, stem, F.lit("2024-07-08 09:00:00").cast("timestamp"))
+    at = C.created_at(F.concat(content, F.lit("\n"), F.coalesce("text", F.lit(""))), stem, F.lit("2024-07-08 09:00:00").cast("timestamp"))
     return read(s, d, "documents").select("doc_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'why' WHEN 1 THEN 'page' END AS found FROM documents")
+@query(f"SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN trim(text, {_STRIP}) WHEN 1 THEN 'page ' || trim(text, {_STRIP}) END) AS found_md5 FROM documents")
 def first_existing_section(s, d):
     k = F.col("doc_id") % 3
-    text = F.when(k == 0, "# t\n## Page Content\npage\n## Why This Was Captured\nwhy\n## x").when(k == 1, "## Page Content\npage").otherwise("nothing")
-    return read(s, d, "documents").select("doc_id", T.strip(W.first_section(text, ("## Why This Was Captured", "## Page Content", "## Raw Capture"))).alias("found"))
+    text = F.when(k == 0, F.concat(F.lit("# t\n## Page Content\npage\n## Why This Was Captured\n"), "text", F.lit("\n## x"))).when(k == 1, F.concat(F.lit("## Page Content\npage "), T.strip(F.col("text")))).otherwise(F.col("text"))
+    return read(s, d, "documents").select("doc_id", F.md5(T.strip(W.first_section(text, ("## Why This Was Captured", "## Page Content", "## Raw Capture")))).alias("found_md5"))
 
 
 @query(f"{N} SELECT stem, words AS word_count FROM notes")
@@ -267,11 +267,11 @@ def strip_urls(s, d):
 
 
 def fenced(s: SparkSession, d: str) -> DataFrame:
-    k, t = F.col("doc_id") % 4, F.lit("---\na: b\n---\n# T\n\n```\ncode\n```\nend")
+    k, t = F.col("doc_id") % 4, F.concat(F.lit("---\na: b\n---\n# T\n\n```\ncode\n```\n"), F.coalesce("text", F.lit("")), F.lit("\nend"))
     return read(s, d, "documents").select("doc_id", F.when(k == 0, F.concat(F.lit("﻿```markdown\n"), t, F.lit("\n```\n"))).when(k == 1, F.concat(F.lit("```\n"), t, F.lit("\n```"))).when(k == 2, t).otherwise(F.lit(None)).alias("content"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN md5('---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) || '# T' || chr(10) || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || 'end') END AS text_md5 FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN md5('---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) || '# T' || chr(10) || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || 'end') END AS text_md5 FROM documents")
 def strip_code_fences(s, d):
     return fenced(s, d).select("doc_id", F.md5(T.without_fence(F.col("content"))).alias("text_md5"))
 

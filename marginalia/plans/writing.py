@@ -59,7 +59,7 @@ def link_notes_to_hub(s, d):
     return C.parse_notes(linked).select("stem", F.get("hub_links", F.lit(0)).alias("first_link"))
 
 
-@query(f"{N}, c AS (SELECT concept, min(created) AS first_day, count(DISTINCT stem) AS n FROM (SELECT stem, created, unnest([lang, source, size]) AS concept FROM notes) GROUP BY concept) SELECT concept AS name, md5('---' || chr(10) || 'type: hub' || chr(10) || 'status: emerging' || chr(10) || 'created_at: ' || strftime(first_day, '%Y-%m-%d') || chr(10) || '---' || chr(10) || '# ' || concept || chr(10) || chr(10) || '## Linked Notes' || chr(10)) AS stub_md5 FROM c WHERE n >= 3")
+@query(f"{N}, c AS (SELECT concept, min(created) AS first_day, count(DISTINCT stem) AS n FROM (SELECT stem, created, unnest([lang, source, size]) AS concept FROM notes) GROUP BY concept) SELECT concept AS name, md5(array_to_string(['---', 'type: hub', 'status: empty', 'created_at: ' || strftime(first_day, '%Y-%m-%d'), '---', '', '# ' || concept, '', '## What This Hub Is', 'A conceptual gathering place for notes that touch on this concept.', '', 'This hub does not assert a single definition or viewpoint.', '', '## What This Hub Is Not', '- Not a summary', '- Not a conclusion', '- Not authoritative', '', '## Open Questions', '- (leave empty)', '', '## Linked Notes', '- (leave empty)', ''], chr(10))) AS stub_md5 FROM c WHERE n >= 3")
 def hub_stub(s, d):
     """Stubs for concepts of at least three notes, dated by the first of them."""
     notes = C.parse_notes(note_files(s, d))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import archive as A, text as T
@@ -18,8 +19,13 @@ CAPTURES = """id long, telegram_message_id long, tweet_id string, chat_id long,
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+    try:
+        spark.read.format("binaryFile").load(path).schema  # noqa: B018
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def markdown_files(spark: SparkSession, *folders: str) -> DataFrame:

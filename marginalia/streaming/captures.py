@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -64,6 +64,29 @@ def associate_images(updates: DataFrame, wait: str = "1 day", wait_ms: int = 86_
     return seen.groupBy("chat_id").applyInPandasWithState(step, "image_id long, chat_id long, text_id long", "waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Captures that one round processes, and how often a round starts.
+BATCH, EVERY = 500, "5 minutes"
+
+
+def process_periodically(captures: DataFrame, root: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], batch: int = BATCH) -> DataStreamWriter:
+    """Rounds of a queue: each adds what came in to ``root/queue``, and processes the ``batch`` most urgent captures that no earlier
+    round has (``priority``, then ``message_id``) into ``root/done``; the rest waits. Start it with a trigger of :data:`EVERY`.
+
+    Both folders have one subfolder a round, overwritten as a whole, and a round looks only at those of the rounds before it:
+    a round that is repeated after a failure gives the same again. ``process`` gets the columns of ``captures``.
+    """
+    def round_(new: DataFrame, number: int) -> None:
+        spark = new.sparkSession
+        new.write.mode("overwrite").parquet(f"{root}/queue/round={number}")
+        queue = spark.read.schema(new.schema).parquet(*[f"{root}/queue/round={i}" for i in range(number + 1)])
+        if number:
+            done = spark.read.parquet(*[f"{root}/done/round={i}" for i in range(number)]).select("message_id")
+            queue = queue.join(done, "message_id", "left_anti").select(*new.columns)
+        process(queue.orderBy("priority", "message_id").limit(batch)).write.mode("overwrite").parquet(f"{root}/done/round={number}")
+
+    return captures.writeStream.foreachBatch(round_).option("checkpointLocation", checkpoint)
+
+
 def write_once(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Append to a Parquet folder, exactly once through its commit log; start it with a trigger of five minutes, or ``availableNow``."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
