@@ -84,3 +84,8 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+def columns(names: Iterable[str]) -> list[Column]:
+    """The columns of these names, dots and all."""
+    return [F.col("`" + x.replace("`", "``") + "`") for x in names]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import fresh, materialise
+from ._common import columns, fresh, materialise
 
 
 def canonical(text: Column) -> Column:
@@ -50,7 +50,7 @@ def fingerprint(docs: DataFrame, text: str = "text", seeds: int = 4) -> DataFram
         texts = rows.select(F.col(first).alias("f1"), F.col(second).alias("f2"), F.col(canon).alias("canon"))
         several = materialise(texts.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2"), "several")
         if several.isEmpty() or clashing(texts.join(several, ["f1", "f2"], "left_semi")).isEmpty():
-            return rows.select(*kept, as_text(first, second).alias("fingerprint"))
+            return rows.select(*columns(kept), as_text(first, second).alias("fingerprint"))
     raise ValueError(f"texts share 128-bit digests under {seeds} seeds")
 
 

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, columns
 
 # Function words of four languages.
 STOP_WORDS = {
@@ -405,5 +405,5 @@ def extract(pages: DataFrame, page: str = "html", rules: Rules = Rules()) -> Dat
             yield pa.array([main_text(p.as_py(), rules) for p in batch], pa.string())
 
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    found = pages.select(*kept, to_text(F.col(page)).alias("text"))
+    found = pages.select(*columns(kept), to_text(F.col(page)).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import bounded_batches, fresh
+from ._common import bounded_batches, columns, fresh
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [scorer.predict(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang_pred", "score"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = columns(c for c in docs.columns if c not in ("lang_pred", "score"))
     [found] = fresh(docs.columns, "_found")
     return docs.withColumn(found, predict(F.col(text))).select(*kept, f"{found}.lang_pred", f"{found}.score")
 

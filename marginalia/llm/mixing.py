@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from ._common import WORD, fresh, materialise, running_sums
+from ._common import WORD, columns, fresh, materialise, running_sums
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -113,8 +113,7 @@ def mix(docs: DataFrame, max_repeats: int = MAX_REPEATS, weights: tuple[int, ...
     cut keeps its leading words, and its ``n_chars`` follows. Documents without words have nothing to give and are left
     out; an empty table gives no rows.
     """
-    columns = docs.columns
-    row, turn = fresh(columns, "_row", "_turn")
+    row, turn = fresh(docs.columns, "_row", "_turn")
     stored = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     queued = _queued(materialise(_rows(stored, F.col(row), key, seed), "sizes"), max_repeats, weights)
     cut = _budget_cut(queued, max_repeats)
@@ -123,9 +122,9 @@ def mix(docs: DataFrame, max_repeats: int = MAX_REPEATS, weights: tuple[int, ...
     # each piece: the blanks before a word, and the word
     lead = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col(f"{turn}.words").cast("int")), "")
     out = stored.join(turns, row).withColumn("text", F.when(F.col(f"{turn}.words") < F.col(f"{turn}.size"), lead).otherwise(F.col("text")))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.orderBy(f"{turn}.t").select(*[F.col(f"`{c}`") for c in columns])
+    return out.orderBy(f"{turn}.t").select(*columns(docs.columns))
 
 
 ORACLE_SQL = f"""

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bounded_batches, fresh, hashed, materialise, running_sums
+from ._common import bounded_batches, columns, fresh, hashed, materialise, running_sums
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -236,8 +236,8 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     where = plan(counts, max_tokens)
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     at, before = fresh(pieces.columns, "_at", "_before")
-    placed = pieces.select(*kept).withColumn(at, hashed("doc_id", "piece"))
-    ranked = running_sums(placed, ["length"], at, F.lit(1), ("doc_id", "piece"), out=before).select(*kept, before)
+    placed = pieces.select(*columns(kept)).withColumn(at, hashed("doc_id", "piece"))
+    ranked = running_sums(placed, ["length"], at, F.lit(1), ("doc_id", "piece"), out=before).select(*columns(kept), before)
     length_at, rank_at = kept.index("length"), len(kept)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +251,11 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
                 behind = rank[mine] - row[:, 0]
                 sequence[mine] = row[:, 1] + behind // row[:, 2]
                 offset[mine] = row[:, 3] + behind % row[:, 2] * s
-            yield pa.RecordBatch.from_arrays([*batch.columns[:rank_at], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:rank_at], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:rank_at], pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields[:rank_at])
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    numbered = ranked.toDF(*[f"c{i}" for i in range(rank_at + 1)])  # names with dots do not go into mapInArrow
+    return numbered.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import fresh
+from ._common import columns, fresh
 
 # One strict term rejects a url; of the soft terms, SOFT_HITS different ones do.
 STRICT = ("adult", "casino", "escort", "hentai", "malware", "phishing", "pills", "porn", "porno", "sex", "spam", "viagra", "warez", "xxx")
@@ -73,7 +73,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT,
     empty table gives no rows. Columns of these four names in ``pages`` are replaced, all others stay. ``strict`` and
     ``soft`` may come from a table, see :func:`vocabulary`.
     """
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = columns(c for c in pages.columns if c not in ("host", "path", "rule", "verdict"))
     [by] = fresh(pages.columns, "_by")
     text = F.coalesce(F.col(url), F.lit(""))
     rest = F.when(F.instr(text, "://") > 0, F.substring(text, F.instr(text, "://") + 3, F.length(text))).otherwise(F.lit(""))

@@ -672,6 +672,79 @@ def test_fingerprints_of_repeated_and_null_ids(spark):
     assert back.columns == ["text", "canon", "f1", "f2", "fingerprint"] and sorted(map(str, back.select("canon", "f1", "f2").collect())) == sorted(map(str, clash.select("canon", "f1", "f2").collect()))
 
 
+PIPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, near copies, a table without letters."""
+    r = random.Random(8)
+    words = {"en": ["the", "shore", "thing", "over", "lamp", "of"], "fr": ["le", "bord", "chose", "sur", "lampe", "du"]}
+    rows = [(i, " ".join(r.choices(words[lg], k=r.randint(8, 60))), lg, f"s{i % 3}") for i in range(60) for lg in [r.choice(["en", "fr"])]]
+    long = [r.choice(words["en"]) + str(r.randint(0, 99)) for _ in range(4000)]
+    rows += [(100, " ".join(long), "en", "s0"), (101, " ".join([*long[:-1], "end"]), "en", None), (102, None, "en", "s1"), (103, "", None, None), (104, "12 34 !!", "fr", "s1"), (None, "the shore of the thing over the lamp", None, "s2"), rows[5], rows[5]]
+    return spark.createDataFrame([(*x, len(x[1]) if x[1] else None) for x in rows], PIPE).repartition(3)
+
+
+def test_pipeline_stages_by_hand(spark):
+    import corpus_pipeline as cp
+
+    docs, sf = odd_documents(spark), ""
+    rows = docs.collect()
+    stages = dict(cp.STAGES)
+    # language: decided by the operator that is tested by hand above
+    kept = stages["language ID"](spark, docs, sf)
+    model = [(x.text, x.lang) for x in rows if x.text and x.lang and zlib.crc32(str(x.doc_id).encode()) % 3 != 1]
+    want = [x for x in rows if x.text and re.search(r"[^\W\d_]", x.text) and backoff_by_hand(model, x.text)[1] >= cp.LEAST_SCORE]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want)) and kept.columns == docs.columns
+    # near duplicates: the smallest id of each component of five-word shingle sets
+    stay = stages["MinHash near-dedup"](spark, docs, sf).collect()
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    groups = [{i} for i in range(len(rows))]
+    for i, x in enumerate(rows):
+        for j in range(i):
+            a, b = shingles(x.text), shingles(rows[j].text)
+            if a and len(a & b) * 100 >= 80 * len(a | b):
+                groups[i] |= groups[j]
+        for k in groups[i]:
+            groups[k] = groups[i]
+    order = lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0)
+    first = {str(rows[min(g, key=order)]) for g in groups}
+    assert sorted(map(str, stay)) == sorted(first)
+    # mixture: as many words as came in, nothing more than three times
+    mixed = stages["mixing sources to target weights"](spark, docs, sf).collect()
+    n = lambda rows: sum(len((x.text or "").split()) for x in rows)
+    assert n(mixed) == n(rows) and all(x.n_chars == len(x.text) for x in mixed)
+    # packing: texts come back from the sequences
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.token_pieces(docs.where("doc_id < 50"), max_tokens=64)
+    made = packing.sequences(packing.pack(pieces, 64)).collect()
+    flat = [i for s_ in made for i in np.frombuffer(bytes(s_.ids), "<u4").tolist()]
+    assert all(len(s_.ids) <= 256 for s_ in made) and len(flat) == sum(len(ids.encode(x.text, add_special_tokens=False).ids) + 1 for x in rows if x.doc_id is not None and x.doc_id < 50)
+    assert {x for s_ in made for x in s_.doc_ids} == {x.doc_id for x in rows if x.doc_id is not None and x.doc_id < 50}
+    empty = spark.createDataFrame([], PIPE)
+    assert all(stage(spark, empty, sf).count() == 0 for stage in stages.values())
+
+
+INTERNAL = "before _bucket _value _total _start _at _before _row _turn _found _by _h _id _k t s n words row at size canon f1 f2 seed key cid k1 k2 lead rep bucket part host2 source_key target".split()
+
+
+def test_columns_of_internal_names_stay(spark):
+    """Every operator that gives its callers' rows back leaves their other columns as they are."""
+    docs = odd_documents(spark).where("doc_id < 40").selectExpr("*", *[f"'{c}!' as `{c}`" for c in INTERNAL], "'dot' as `a.b`")
+    pages = docs.selectExpr("*", "concat('http://h.org/', doc_id) as url", "concat('<p>', text) as html")
+    out = {
+        "pack": packing.pack(docs.selectExpr("*", "0 as piece", "1 + doc_id % 5 as length"), 8), "mix": mixing.mix(docs), "urls": urls.filter_urls(pages), "html": html_extract.extract(pages),
+        "shards": sharding.assign_shards(docs, sharding.tree(4)), "language": langid.identify_documents(docs), "near": minhash.drop_near_duplicates(docs), "fingerprint": fingerprints.fingerprint(docs),
+    }
+    for name, df in out.items():
+        got = df.select(*[f"`{c}`" for c in [*INTERNAL, "a.b"]]).distinct().collect()
+        assert [tuple(r) for r in got] == [(*[f"{c}!" for c in INTERNAL], "dot")], name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
