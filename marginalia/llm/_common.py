@@ -70,6 +70,23 @@ def running_sums(df: DataFrame, group: Sequence[str], position: str, value: Colu
     return df.join(starts, keys).withColumn(out, F.col(start) + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop(bucket, amount, start)
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: Sequence[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each key and in ``n`` how many rows have that key.
+
+    A key of more than a ten-thousandth of the ``total`` rows (512 at least) is split: its rows are dealt by hash, its fact is
+    repeated once for each part. So no task holds a hot key whole. Fewer than 10,000 keys can be that hot, and only they
+    and the number of their parts are broadcast. ``n`` is dropped.
+    """
+    limit = max(512, total // 10_000)
+    part, parts = fresh([*rows.columns, *facts.columns], "_part", "_parts")
+    split = F.ceil(F.col("n") / limit).cast("int")
+    hot = facts.where(F.col("n") > limit).select(*key, split.alias(parts))
+    others = [c for c in rows.columns if c not in key]
+    dealt = rows.join(F.broadcast(hot), list(key), "left").withColumn(part, F.pmod(F.xxhash64(*others), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    copies = facts.withColumn(part, F.explode(F.sequence(F.lit(0), F.greatest(split, F.lit(1)) - 1))).drop("n")
+    return dealt.join(copies, [*key, part], how).drop(part)
+
+
 def hashed(*columns: Column | str) -> Column:
     """A 63-bit non-negative hash."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)

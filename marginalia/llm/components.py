@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import materialise
+from ._common import join_facts, materialise
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -12,17 +12,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each step hangs nodes on the smallest neighbour seen, the number of
     edges never grows, and a few rounds reach a forest of stars. Each round is a written table, so lineage stays short
-    and a lost executor costs one round. Only two numbers a round come to the driver. Self-loops and nulls are ignored.
+    and a lost executor costs one round. The rows of a large star's centre are split. Only two numbers a round come to the
+    driver. Self-loops and nulls are ignored.
     """
     now = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
     now = materialise(now, "edges")
-    seen = None
+    seen, size = None, now.count()
     for _ in range(rounds):
-        now = materialise(_small_star(_large_star(now)), "edges")
+        now = materialise(_small_star(_large_star(now, size), size), "edges")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break
-        seen = tuple(mark)
+        seen, size = tuple(mark), mark[0]
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     # a star forest: b is the centre of a, and no centre hangs on another node
@@ -33,16 +34,17 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select("b", "a"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour, itself included."""
     both = _both(edges)
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    met = join_facts(both.where(F.col("b") > F.col("a")), least, ["a"], 2 * size)
+    return met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    hung = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hung = join_facts(down, least, ["a"], size).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return hung.union(least.select("a", F.col("m").alias("b"))).distinct()

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import bounded_batches, fresh, materialise
+from ._common import bounded_batches, fresh, join_facts, materialise
 from .components import components
 
 _FULL = np.uint64(2**64 - 1)
@@ -160,13 +160,16 @@ def _pivot_links(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
     The pivot is the member whose own buckets are the fullest: among near copies the one that most others resemble.
     """
+    total = members.count()
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    fame = members.join(sizes, "bucket").groupBy("rep").agg(F.sum("n").alias("fame"))
-    pivots = members.join(fame, "rep").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("rep")).alias("r"))).alias("p")).select("bucket", (-F.col("p.r")).alias("pivot"))
-    pairs = members.join(pivots, "bucket").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    fame = join_facts(members, sizes.withColumn("size", F.col("n")), ["bucket"], total).groupBy("rep").agg(F.sum("size").alias("fame"))
+    pivots = members.join(fame, "rep").groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("rep")).alias("r"))).alias("p"), F.count(F.lit(1)).alias("n")).select("bucket", (-F.col("p.r")).alias("pivot"), "n")
+    pairs = join_facts(members, pivots, ["bucket"], total).where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b"))
-    return pairs.join(left, "a").join(right, "b").where(_alike("s_a", "s_b", near.percent)).select("a", "b")
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")).join(many, "b")
+    return join_facts(pairs.join(left, "a"), right, ["b"], total).where(_alike("s_a", "s_b", near.percent)).select("a", "b")
 
 
 def _rest_links(members: DataFrame, found: DataFrame, sets: DataFrame, near: Near, chunk: int = 512) -> DataFrame:
@@ -179,8 +182,8 @@ def _rest_links(members: DataFrame, found: DataFrame, sets: DataFrame, near: Nea
     labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
     parts = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size")).where("parts > 1 and size > 2")
-    open_ = open_.select("bucket", F.col("m.part").alias("common"), F.ceil(F.col("size") / chunk).cast("int").alias("n_all"), F.ceil((F.col("size") - F.col("m.n")) / chunk).cast("int").alias("n_rest"))
-    rows = labelled.join(open_, "bucket")
+    open_ = open_.select("bucket", F.col("size").alias("n"), F.col("m.part").alias("common"), F.ceil(F.col("size") / chunk).cast("int").alias("n_all"), F.ceil((F.col("size") - F.col("m.n")) / chunk).cast("int").alias("n_rest"))
+    rows = join_facts(labelled, open_, ["bucket"], members.count())
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = rows.select("bucket", "rep", "part", F.lit(False).alias("rest"), "n_rest", mine("n_all").alias("j")).select("bucket", "rep", "part", "rest", every("n_rest").alias("i"), "j")
@@ -231,11 +234,11 @@ def _verdicts(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
     table = materialise(sketch_table(docs, near, key, text), "sketches")
     full = table.where("n_shingles > 0")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("lead")
-    classes = full.groupBy("k1", "k2").agg(lead)
+    classes = full.groupBy("k1", "k2").agg(lead, F.count(F.lit(1)).alias("n"))
     banded = full.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = materialise(banded.join(shared, "bucket").distinct(), "met")
-    wanted = materialise(met.select("k1", "k2").distinct().join(classes, ["k1", "k2"]).withColumn("rep", F.monotonically_increasing_id()), "nodes")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(join_facts(banded, shared, ["bucket"], near.bands * table.count()).distinct(), "met")
+    wanted = materialise(met.select("k1", "k2").distinct().join(classes.drop("n"), ["k1", "k2"]).withColumn("rep", F.monotonically_increasing_id()), "nodes")
     members = materialise(met.join(wanted.select("k1", "k2", "rep"), ["k1", "k2"]).select("bucket", "rep"), "members")
     of_lead = wanted.select(F.col("lead.doc_id").alias("_id"), F.col("lead.h").alias("_h")).hint("merge")
     keyed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
@@ -247,11 +250,14 @@ def _verdicts(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
     label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
     joined = components(more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
     first = wanted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "lead", F.coalesce("component", "rep").alias("first"))
-    last = materialise(first.join(joined.withColumnRenamed("node", "first"), "first", "left").select("k1", "k2", "lead", F.coalesce("component", "first").alias("last")), "labels")
-    named = last.select("k1", "k2", "last").join(last.groupBy("last").agg(F.min("lead").alias("best")), "last")
-    leads = classes.join(named, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("best", "lead").alias("lead"))
-    leads = materialise(leads.select("k1", "k2", F.col("lead.doc_id").alias("lead_id"), F.col("lead.h").alias("lead_h")), "leads")
-    out = table.drop("bands").join(leads, ["k1", "k2"], "left")
+    first, nodes = materialise(first, "first"), wanted.count()
+    ends = joined.withColumnRenamed("node", "first").join(first.groupBy("first").agg(F.count(F.lit(1)).alias("n")), "first")
+    last = materialise(join_facts(first, ends, ["first"], nodes, "left").select("k1", "k2", "lead", F.coalesce("component", "first").alias("last")), "labels")
+    best = last.groupBy("last").agg(F.min("lead").alias("best"), F.count(F.lit(1)).alias("n"))
+    named = join_facts(last.select("k1", "k2", "last"), best, ["last"], nodes)
+    leads = classes.join(named, ["k1", "k2"], "left").select("k1", "k2", "n", F.coalesce("best", "lead").alias("lead"))
+    leads = materialise(leads.select("k1", "k2", "n", F.col("lead.doc_id").alias("lead_id"), F.col("lead.h").alias("lead_h")), "leads")
+    out = join_facts(table.drop("bands"), leads, ["k1", "k2"], table.count(), "left")
     alone = F.col("n_shingles") == 0
     kept = alone | F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("h") == F.col("lead_h"))
     return out.select("doc_id", F.col("n_shingles").cast("long"), F.when(alone, F.col("doc_id")).otherwise(F.col("lead_id")).alias("component_id"), kept.alias("kept"), "k1", "k2", "h")
