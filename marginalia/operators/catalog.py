@@ -122,10 +122,22 @@ def folder(kind: Column) -> Column:
 
 
 def next_text(messages: DataFrame) -> DataFrame:
-    """Each pending photo with the first later text of its chat; captioned photos are texts, commands and documents are not."""
-    w = Window.partitionBy("chat_id").orderBy(F.desc("ts"), F.desc("message_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    text = F.when(F.col("kind").isin("text", "captioned"), F.col("message_id"))
-    return messages.withColumn("text_id", F.last(text, ignorenulls=True).over(w)).where("kind = 'photo'").select(F.col("message_id").alias("image_id"), "chat_id", "text_id")
+    """Each pending photo with the first later text of its chat; captioned photos are texts, commands and documents are not.
+
+    A chat is cut into ranges of time, so that no task holds all of a hot one; a photo without a text in its own range
+    takes the first of the later ranges. Messages without a time come before all others.
+    """
+    parts = max(2, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = messages.where(F.col("kind").isin("photo", "text", "captioned")).select("chat_id", "ts", "message_id", "kind")
+    rows = stable(rows.repartitionByRange(parts, "chat_id", "ts", "message_id").withColumn("_part", F.spark_partition_id()))
+    is_text = F.col("kind") != "photo"
+    inside = Window.partitionBy("_part", "chat_id").orderBy(F.desc("ts"), F.desc("message_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    photos = rows.withColumn("near", F.last(F.when(is_text, F.col("message_id")), ignorenulls=True).over(inside)).where("kind = 'photo'")
+    ranges = rows.groupBy("_part", "chat_id").agg(F.min(F.when(is_text, F.struct("ts", "message_id"))).alias("first"))
+    later = Window.partitionBy("chat_id").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("_part").alias("_p"), F.col("chat_id").alias("_c"), F.last("first.message_id", ignorenulls=True).over(later).alias("far"))
+    found = photos.join(ranges, (F.col("_part") == F.col("_p")) & F.col("chat_id").eqNullSafe(F.col("_c")))
+    return found.select(F.col("message_id").alias("image_id"), "chat_id", F.coalesce("near", "far").alias("text_id"))
 
 
 def stratified_select(df: DataFrame, count: int, *order: Column | str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import pages as P
-from marginalia.operators import sampling
+from marginalia.operators import catalog as C, sampling
 from marginalia.sources import sinks
 from marginalia.streaming import captures
 
@@ -70,3 +70,20 @@ def test_messages_come_once(spark, tmp_path):
     captures.write_once(made, f"{tmp_path}/out", f"{tmp_path}/marks").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.message_id, r.type, r.mood, r.body, r.reason) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(0, "Thought", "x", "", "empty"), (1, "Idea", None, "y", None), (2, "Thought", None, "", "empty")]
+
+
+def test_next_text_of_a_hot_chat(spark):
+    """One chat holds most messages and spans many ranges; photos wait across ranges; null chats and times count too."""
+    kinds = ["photo", "command", "photo", "document", "photo"]
+    rows = [(1, i // 3, i, "text" if i % 97 == 0 else "captioned" if i % 89 == 0 else kinds[i % 5]) for i in range(1500)]
+    rows += [(None, 5, 2000, "photo"), (None, 5, 2001, "text"), (2, None, 2002, "photo"), (2, 1, 2003, "text"), (3, 1, 2004, "text"), (3, 2, 2005, "photo")]
+    found = C.next_text(spark.createDataFrame(rows, "chat_id int, ts int, message_id int, kind string"))
+    place = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    want = set()
+    for r in rows:
+        if r[3] == "photo":
+            texts = sorted((place(x), x[2]) for x in rows if x[0] == r[0] and x[3] in ("text", "captioned") and place(x) > place(r))
+            want.add((r[2], r[0], texts[0][1] if texts else None))
+    assert found.columns == ["image_id", "chat_id", "text_id"]
+    got = list(map(tuple, found.collect()))
+    assert len(got) == len(want) and set(got) == want
