@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from ipaddress import ip_network
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import markup as W, text as T
@@ -263,15 +266,67 @@ def theme_lift(notes: DataFrame) -> DataFrame:
     return both.join(F.broadcast(total)).select("a", "b", "n_notes", F.round(lift, 6).alias("lift"))
 
 
-def private_host(host: Column) -> Column:
-    """Whether a literal IPv4 host lies in a range that is not public."""
-    parts = F.transform(F.split(host, r"\."), lambda x: x.cast("long"))
-    number = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-    # First address and size of the special ranges.
-    ranges = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 3))
+DOTTED = r"\d{1,3}(?:\.\d{1,3}){3}"
+#: The blocks of addresses that are not public (registries of special addresses), and those inside them that are.
+CLOSED_4 = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3"
+OPEN_4 = "192.0.0.9/32 192.0.0.10/32"
+CLOSED_6 = "::/3 2001::/23 2001:db8::/32 2002::/16 3fff::/20 4000::/2 8000::/1"
+OPEN_6 = "2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28"
+
+
+def _within(address: Column, blocks: str) -> Column:
+    """Whether an address, in hex digits of full width, lies in one of the blocks."""
     hit = F.lit(False)
-    for first, bits in ranges:
-        a, b, c, d = map(int, first.split("."))
-        low = a * 16777216 + b * 65536 + c * 256 + d
-        hit = hit | number.between(low, low + (1 << (32 - bits)) - 1)
-    return F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), hit).otherwise(F.lower(host) == "localhost")
+    for block in map(ip_network, blocks.split()):
+        width = block.max_prefixlen // 4
+        hit = hit | address.between(*(F.lit(f"{int(x):0{width}x}") for x in (block[0], block[-1])))
+    return hit
+
+
+def _hex4(host: Column) -> Column:
+    """The eight hex digits of a dotted address; null if a number is over 255."""
+    parts = F.transform(F.split(host, r"\."), lambda x: x.cast("int"))
+    return F.when(F.forall(parts, lambda x: x < 256), F.lower(F.array_join(F.transform(parts, lambda x: F.lpad(F.hex(x), 2, "0")), "")))
+
+
+def _hex6(host: Column) -> Column:
+    """The 32 hex digits of an IPv6 address, a dotted tail and one ``::`` allowed; null if it is none."""
+    dotted = _hex4(F.nullif(F.regexp_extract(host, rf"({DOTTED})$", 1), F.lit("")))
+    host = F.when(host.rlike(rf":{DOTTED}$"), F.concat(F.regexp_replace(host, rf"{DOTTED}$", ""), F.substring(dotted, 1, 4), F.lit(":"), F.substring(dotted, 5, 4))).otherwise(host)
+    sides = F.split(host, "::", -1)
+    digits = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    left, right = digits(sides[0]), F.when(F.size(sides) == 2, digits(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    gap = F.lit(8) - F.size(left) - F.size(right)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
+    sound = F.when(F.size(sides) == 1, gap == 0).otherwise((F.size(sides) == 2) & (gap > 0)) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ~host.rlike("^:[^:]|[^:]:$|:::")
+    return F.when(sound, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def private_host(host: Column) -> Column:
+    """Whether a host is an IPv4 or IPv6 literal that is not public, or a name of this machine.
+
+    IPv6 may stand in brackets and name a zone; an address mapped from IPv4 counts as that. What looks like an address but is
+    none is not public either. Other names are public as far as a column can tell: they are not resolved. Null stays null.
+    """
+    closed4 = lambda a: F.coalesce(_within(a, CLOSED_4) & ~_within(a, OPEN_4), F.lit(True))
+    closed6 = lambda a: F.when(a.startswith("0" * 20 + "ffff"), closed4(F.substring(a, 25, 8))).otherwise(F.coalesce(_within(a, CLOSED_6) & ~_within(a, OPEN_6), F.lit(True)))
+    judge = lambda h: F.when(h.rlike(f"^{DOTTED}$"), _once(_hex4(h), closed4)).when(h.contains(":"), _once(_hex6(h), closed6)).otherwise(h.rlike(r"(^|\.)localhost\.?$"))
+    return _once(F.regexp_replace(F.lower(host), r"^\[|%[^\]]*|\]$", ""), judge)
+
+
+def search_terms(notes: DataFrame, terms: Sequence[str], limit: int = 5, name: str = "stem", text: str = "raw_capture") -> DataFrame:
+    """``term, rank, <name>``: the first ``limit`` notes by name whose name or text holds the term, case aside.
+
+    One scan whatever the number of terms; each task keeps at most ``limit`` rows a term before the shuffle. Repeated terms count once,
+    empty ones match every note; a note of null text can match by name. No terms or no notes give no rows.
+    """
+    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)]).cast("array<string>")
+    holds = lambda c, t: F.coalesce(F.lower(F.col(c)).contains(F.lower(t)), F.lit(False))
+    found = notes.select(name, F.explode(F.filter(wanted, lambda t: holds(name, t) | holds(text, t))).alias("term"))
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(name))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("term", "rank", name)

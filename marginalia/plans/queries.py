@@ -346,8 +346,11 @@ def filter_valid_url(s, d):
 
 @query("SELECT event_id, event_id % 4 <> 0 AS public FROM events")
 def filter_public_host(s, d):
-    """Hosts made of event ids: one in four is in 10.0.0.0/8."""
-    host = F.concat(F.when(F.col("event_id") % 4 == 0, F.lit("10.")).otherwise(F.lit("8.")), (F.col("event_id") % 250).cast("string"), F.lit(".1.9"))
+    """Hosts made of event ids, IPv4 and IPv6 by turns: one in four is in 10.0.0.0/8 or fc00::/7."""
+    i = F.col("event_id")
+    four = F.concat(F.when(i % 4 == 0, F.lit("10.")).otherwise(F.lit("8.")), (i % 250).cast("string"), F.lit(".1.9"))
+    six = F.concat(F.when(i % 4 == 0, F.lit("[fd12:")).otherwise(F.lit("[2606:4700:")), F.lower(F.hex(i % 65536)), F.lit("::9]"))
+    host = F.when(i % 8 < 4, four).otherwise(six)
     return read(s, d, "events").select("event_id", (~C.private_host(host)).alias("public"))
 
 
@@ -374,6 +377,15 @@ def search_notes(s, d):
     return notes(s, d).where(F.lower("raw_capture").contains("erthe")).select("stem").orderBy("stem").limit(5)
 
 
+_TERMS = ("Erthe", "note-1", "2024-03", "no such words")
+
+
+@query(f"{N}, t AS (SELECT unnest({list(_TERMS)}) AS term) SELECT term, row_number() OVER (PARTITION BY term ORDER BY stem)::INT AS rank, stem FROM t JOIN notes ON contains(lower(stem), lower(term)) OR contains(lower(coalesce(text, '')), lower(term)) QUALIFY rank <= 5")
+def search_terms(s, d):
+    """The first five notes by name for each term, found in names or texts."""
+    return C.search_terms(notes(s, d), _TERMS)
+
+
 @query(f"{N} SELECT doc_id, lang || CASE WHEN row_number() OVER (PARTITION BY created, lang ORDER BY doc_id) > 1 THEN '-' || (row_number() OVER (PARTITION BY created, lang ORDER BY doc_id)) ELSE '' END AS name FROM notes")
 def unique_note_names(s, d):
     i = F.row_number().over(Window.partitionBy("created", "lang").orderBy("doc_id"))

@@ -1,6 +1,8 @@
 """Cases of the quality gate, of image numbers, resuming, hub notes and rounds of the queue, as DataFrames."""
 
 import datetime as dt
+import ipaddress
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +111,45 @@ def test_entry_without_what_the_subpackage_needs():
 
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'parse_note' in q and 'op5_filter_urls' not in q and 'parse_note' in e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_hosts_like_the_standard_library(spark):
+    """Public or not as the standard library's address rules have it, over edges of every block and random addresses."""
+    rng = random.Random(5)
+    wanted = {}
+    blocks = [ipaddress.ip_network(x) for x in " ".join((C.CLOSED_4, C.OPEN_4, C.CLOSED_6, C.OPEN_6)).split()]
+    for block in blocks:
+        for at in (int(block[0]) - 1, int(block[0]), int(block[-1]), int(block[-1]) + 1):
+            if 0 <= at < 2**block.max_prefixlen:
+                a = type(block[0])(at)
+                wanted[str(a)] = a
+                if a.version == 6:
+                    wanted[f"[{a.exploded.upper()}]"] = a
+                else:
+                    wanted[f"::ffff:{a}"] = a
+    for _ in range(300):
+        a = ipaddress.IPv6Address(rng.getrandbits(128) >> rng.choice((0, 3, 3, 16, 80)) | rng.choice((0, 1 << 125)))
+        wanted[str(a)] = a
+        b = ipaddress.IPv4Address(rng.getrandbits(32))
+        wanted[str(b)] = b
+    refused = lambda a: (a := getattr(a, "ipv4_mapped", None) or a) and (a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified)
+    # the first is neither private nor global, the second a block for documentation that older libraries do not know: not public here
+    more = [ipaddress.ip_network(x) for x in ("100.64.0.0/10", "3fff::/20")]
+    expected = {h: bool(refused(a)) or any(a.version == x.version and a in x for x in more) for h, a in wanted.items()}
+    df = spark.createDataFrame([(h,) for h in wanted], "host string").select("host", C.private_host(F.col("host")).alias("closed"))
+    assert {r.host: r.closed for r in df.collect()} == expected
+
+
+@pytest.mark.parametrize("host, closed", [("fe80::1%eth0", True), ("[::1]", True), ("1:2:3", True), ("1::2::3", True), ("2606:4700:::1", True), ("2606:4700::g", True), ("999.1.1.1", True), ("8.8.8.8", False), ("2606:4700::1", False), ("::ffff:8.8.8.8", False), ("a.localhost", True), ("localhost.example.org", False), ("", False), (None, None)])
+def test_odd_hosts(spark, host, closed):
+    df = spark.createDataFrame([(host,)], "host string").select(C.private_host(F.col("host")).alias("closed"))
+    assert df.first().closed is closed
+
+
+def test_search_terms(spark):
+    rows = [("b", "Red Fish"), ("a", "no"), ("c", None), ("red-hat", None), ("d", "red"), ("d", "red")]
+    notes = spark.createDataFrame(rows, "stem string, raw_capture string")
+    found = C.search_terms(notes, ["RED", "c", "RED", "%"], 3)
+    assert sorted(map(tuple, found.collect())) == [("RED", 1, "b"), ("RED", 2, "d"), ("RED", 3, "d"), ("c", 1, "c")]
+    assert C.search_terms(notes, []).count() == 0
+    assert C.search_terms(notes.limit(0), ["a"]).count() == 0
