@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import markup as W, routing as R
+from .order import earlier_in_group
 
 
 def resolve_embeds(refs: DataFrame, files: DataFrame, images: str = "images") -> DataFrame:
@@ -25,11 +26,14 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFram
 
 
 def unique_names(rows: DataFrame, folder: str, name: str, *order: Column | str) -> DataFrame:
-    """Add ``unique_name``: the second and later files of one name in a folder get ``-001``, ``-002`` before the extension."""
-    i = F.row_number().over(Window.partitionBy(folder, name).orderBy(*order)) - 1
-    suffix = F.concat(F.lit("-"), F.lpad(i.cast("string"), 3, "0"))
+    """Add ``unique_name``: the second and later files of one name in a folder get ``-001``, ``-002`` before the extension.
+
+    From the thousandth on, numbers have as many digits as they need. A name that very many files bear is no single task.
+    """
+    number = F.col("_i").cast("string")
+    suffix = F.concat(F.lit("-"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))
     numbered = F.concat(F.regexp_replace(name, r"(\.[^.]*)$", ""), suffix, F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return rows.withColumn("_i", i).withColumn("unique_name", F.when(F.col("_i") > 0, numbered).otherwise(F.col(name))).drop("_i")
+    return earlier_in_group(rows, F.lit(1), [folder, name], *order, name="_i").withColumn("unique_name", F.when(F.col("_i") > 0, numbered).otherwise(F.col(name))).drop("_i")
 
 
 def page_budget(pages: DataFrame, max_pages: int = 100, max_chars: int = 100_000) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.sinks import shared_folder
@@ -38,6 +41,24 @@ def running_total(df: DataFrame, value: str, *order: Column | str, name: str = "
     return placed.join(starts, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start")
 
 
+def earlier_in_group(df: DataFrame, value: Column, group: Sequence[str], *order: Column | str, name: str = "earlier") -> DataFrame:
+    """Add the sum of ``value`` over the rows of a group that come before a row in ``order``; 0 for the first.
+
+    A group is cut into ranges of the order, so that no task holds all of a hot one: what a range adds is one small row a
+    group. Null groups are groups; rows that tie in ``order`` follow each other as they come.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = stable(df.withColumn("_value", value).repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    keys = [F.col(g).alias(f"_of_{i}") for i, g in enumerate(group)]
+    sums = placed.groupBy(F.col("_part").alias("_p"), *keys).agg(F.sum("_value").alias("_s"))
+    lower = Window.partitionBy(*[f"_of_{i}" for i in range(len(group))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_s").over(lower), F.lit(0))).drop("_s")
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn(name, F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_of_{i}")) for i, g in enumerate(group)], F.col("_part") == F.col("_p"))
+    return rows.join(starts, same).withColumn(name, F.col(name) + F.col("_start")).select(*df.columns, name)
+
+
 def evenly(index: Column, total: Column, count: Column) -> Column:
     """Whether row ``index`` of ``total`` is one of ``count`` rows at positions ``i * total div count``."""
     i = F.ceil(index * count / total).cast("long")

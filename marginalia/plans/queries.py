@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
-from ..operators.order import row_index
+from ..operators.order import earlier_in_group, row_index
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, STATE_SQL, capture_events, messages, note_files, read
 from .registry import ORACLE_SQL, QUERIES, query
 
@@ -362,9 +362,8 @@ def page_metadata(s, d):
 @query(f"{N}, w AS (SELECT stem, words, row_number() OVER (PARTITION BY source ORDER BY created, stem) AS i, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY created, stem ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM notes) SELECT stem FROM w WHERE before < 100000")
 def priority_pack(s, d):
     """Notes of each source in date order while the characters before them stay under 100 000."""
-    f = note_files(s, d).withColumn("stem", F.regexp_extract("path", r"([^/]+)\.md$", 1))
-    w = Window.partitionBy("source").orderBy("created", "stem").rowsBetween(Window.unboundedPreceding, -1)
-    return f.withColumn("n", F.length("text")).select("stem", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")).where("before < 100000").select("stem")
+    f = note_files(s, d).select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), "source", "created", F.length("text").alias("n"))
+    return earlier_in_group(f, F.col("n"), ["source"], "created", "stem", name="before").where("before < 100000").select("stem")
 
 
 @query(f"{N} SELECT stem FROM notes ORDER BY stem DESC LIMIT 500")
@@ -388,8 +387,9 @@ def search_terms(s, d):
 
 @query(f"{N} SELECT doc_id, lang || CASE WHEN row_number() OVER (PARTITION BY created, lang ORDER BY doc_id) > 1 THEN '-' || (row_number() OVER (PARTITION BY created, lang ORDER BY doc_id)) ELSE '' END AS name FROM notes")
 def unique_note_names(s, d):
-    i = F.row_number().over(Window.partitionBy("created", "lang").orderBy("doc_id"))
-    return note_files(s, d).select("doc_id", F.concat("lang", F.when(i > 1, F.concat(F.lit("-"), i.cast("string"))).otherwise(F.lit(""))).alias("name"))
+    rows = earlier_in_group(note_files(s, d).select("doc_id", "created", "lang"), F.lit(1), ["created", "lang"], "doc_id", name="i")
+    i = F.col("i") + 1
+    return rows.select("doc_id", F.concat("lang", F.when(i > 1, F.concat(F.lit("-"), i.cast("string"))).otherwise(F.lit(""))).alias("name"))
 
 
 @query(f"{N} SELECT lang AS term, count(*) FILTER (doc_id % 2 = 0) AS private, count(*) FILTER (doc_id % 2 = 1) AS public FROM notes GROUP BY ALL")

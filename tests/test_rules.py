@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import notes as W, text as T
 from marginalia.operators import catalog as C, condense
-from marginalia.operators.order import row_index
+from marginalia.operators.files import unique_names
+from marginalia.operators.order import earlier_in_group, row_index
 from marginalia.sources import files
 from marginalia.streaming import captures
 
@@ -153,3 +154,25 @@ def test_search_terms(spark):
     assert sorted(map(tuple, found.collect())) == [("RED", 1, "b"), ("RED", 2, "d"), ("RED", 3, "d"), ("c", 1, "c")]
     assert C.search_terms(notes, []).count() == 0
     assert C.search_terms(notes.limit(0), ["a"]).count() == 0
+
+
+def test_sums_in_groups_split_a_hot_group(spark):
+    """Against a loop by hand: one group with most rows, null groups, null values, more rows than ranges."""
+    rng = random.Random(9)
+    rows = [(i, "hot" if i % 5 else rng.choice(["a", None, "b"]), rng.choice([None, 0, 3, 7])) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "i int, g string, v int")
+    wanted, at = {}, {}
+    for i, g, v in sorted(rows):
+        wanted[i] = at.get(g, 0)
+        at[g] = wanted[i] + (v or 0)
+    found = earlier_in_group(df, F.col("v"), ["g"], "i")
+    assert found.columns == ["i", "g", "v", "earlier"]
+    assert {r.i: r.earlier for r in found.collect()} == wanted
+    assert earlier_in_group(df.limit(0), F.col("v"), ["g"], "i").count() == 0
+
+
+def test_unique_names_beyond_a_thousand(spark):
+    rows = spark.range(1205).select("id", F.lit("f").alias("folder"), F.lit("a.b.pdf").alias("name"))
+    names = {r.id: r.unique_name for r in unique_names(rows, "folder", "name", "id").collect()}
+    assert names == {i: "a.b" + (f"-{i:03d}" if i else "") + ".pdf" for i in range(1205)}
