@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, html_extract, langid, minhash, mixing, packing, sharding, urls, vectors
+from . import chat, fingerprints, html_extract, langid, lexical, minhash, mixing, packing, periodic, sharding, token_counts, urls, vectors
 from ._common import table
 
 
@@ -51,5 +51,17 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_best_fit, op2_format_chat, op3_mix_sources, op4_link_vectors, op5_filter_urls, op6_extract_html, op7_shard_documents, op8_identify_language, op9_near_duplicates, op10_fingerprint)}
-ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE_SQL, "op4_link_vectors": vectors.ORACLE_SQL, "op5_filter_urls": urls.oracle_sql(), "op9_near_duplicates": minhash.ORACLE_SQL}
+def op11_find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op13_rank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_best_fit, op2_format_chat, op3_mix_sources, op4_link_vectors, op5_filter_urls, op6_extract_html, op7_shard_documents, op8_identify_language, op9_near_duplicates, op10_fingerprint, op11_find_runs, op12_count_tokens, op13_rank_lexical)}
+ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE_SQL, "op4_link_vectors": vectors.ORACLE_SQL, "op5_filter_urls": urls.oracle_sql(), "op9_near_duplicates": minhash.ORACLE_SQL, "op13_rank_lexical": lexical.ORACLE_SQL}
