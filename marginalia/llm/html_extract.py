@@ -23,7 +23,7 @@ STOP_WORDS = {
     "es": "a al algo ante como con cuando de del desde donde dos el ella ellos en entre era es esa ese eso esta está este esto fue ha han hasta hay la las le les lo los más me mi muy no nos o para pero por porque que qué se ser si sí sin sobre son su sus también te tiene todo tu un una uno y ya yo",
 }
 # Elements without text of their own, elements that never hold main text, elements that end a block.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "xmp", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "xmp", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 OUTSIDE = {"nav", "footer", "aside", "form", "head", "select", "button", "dialog", "menu", "datalist", "fieldset", "title"}
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -38,12 +38,16 @@ HEADER_MARK = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]", re.I)
 OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|adbox|adslot|sponsor(?:ed|s)?|promo(?:tion|s)?|related|recommend(?:ed|ations)?|popular|trending|teasers?|comments?|respond|disqus|replies|discussion)(?:$|[\s_-])", re.I)
 
+# Words of names that say where or in what form something stands, not what it is.
+FORM = re.compile(r"(?:^|(?<=[\s_-]))(?:area|bar|block|body|bottom|box|buttons?|container|content|form|grid|group|icons?|inline|inner|items?|left|links?|list|outer|panel|posts?|right|row|section|slot|text|top|unit|wrap|wrapper|[0-9]+)(?:$|[\s_-])", re.I)
+
 _ATTR = re.compile(r"([^\s/>][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _INSIDE_TAG = re.compile(r"[>\"']")
 _LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_SENTENCE = re.compile(r"[.!?。！？।؟…](?:\W|$)")
 _LISTS = {"ul", "ol", "menu"}
 
 
@@ -185,13 +189,10 @@ def blocks(page: str) -> list[Block]:
     """
     out, holders, seen = _blocks(page)
     kept = _kept(out, holders, seen) if holders else set()
-    return [b for b in out if not _shut(b.holder, holders, kept)]
-
-
-def _shut(holder: int, holders: list[Holder], kept: set[int]) -> bool:
-    while holder >= 0 and holder in kept:
-        holder = holders[holder].parent
-    return holder >= 0
+    shut: list[bool] = []  # a holder stands behind the one around it
+    for i, h in enumerate(holders):
+        shut.append(i not in kept or h.parent >= 0 and shut[h.parent])
+    return [b for b in out if b.holder < 0 or not shut[b.holder]]
 
 
 def _kept(out: list[Block], holders: list[Holder], seen: bool) -> set[int]:
@@ -206,7 +207,7 @@ def _kept(out: list[Block], holders: list[Holder], seen: bool) -> set[int]:
                     weight[b.holder] += len(b.text)
         for i, h in enumerate(holders):
             if weight[i] and not h.firm and (2 * weight[i] > total and not h.others or weight[i] == total):
-                while i >= 0:  # what stands around it holds as much
+                while i >= 0 and i not in kept:  # what stands around it holds as much
                     kept.add(i)
                     i = holders[i].parent
     return kept
@@ -295,7 +296,7 @@ def _opened(tag: str, named: dict[str, str], around: _Open, holders: list[Holder
     main = tag == "main" or role == "main"
     by_kind = not (main or tag in ("html", "body", "article")) and (
         tag in OUTSIDE or tag == "header" and not around.article or role in ROLES or "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true")
-    by_names = not (main or tag in ("html", "body", "article")) and bool(MARKS.search(names) or not around.article and HEADER_MARK.search(names))
+    by_names = not (main or tag in ("html", "body", "article")) and (any(map(_is_mark, names.split())) if around.article else bool(MARKS.search(names) or HEADER_MARK.search(names)))
     excluded, holder = around.excluded or by_kind, around.holder
     if not excluded and (main or tag == "article"):
         foreign = bool(MARKS.search(names))
@@ -317,6 +318,15 @@ def _opened(tag: str, named: dict[str, str], around: _Open, holders: list[Holder
     return _Open(tag, excluded, around.article or main or tag == "article" or role == "article", around.link or tag == "a", holder)
 
 
+@lru_cache(maxsize=4096)
+def _is_mark(name: str) -> bool:
+    """Whether a whole name is a mark, or marks and words of form: "share", "share-buttons", not "notice-period"."""
+    rest = name
+    while found := MARKS.search(rest):
+        rest = f"{rest[: found.start()]}-{rest[found.end() :]}".strip("-_")
+    return rest != name and not FORM.sub("", rest).strip("-_")
+
+
 @lru_cache(maxsize=1)
 def _stop_lists() -> tuple[frozenset[str], ...]:
     return tuple(frozenset(w.split()) for w in STOP_WORDS.values())
@@ -339,7 +349,8 @@ def classify(found: list[Block], rules: Rules = Rules(), stop_lists: Iterable[fr
     (of the language that fits best) good, those with too few bad, and short ones without links undecided. Inside one, a
     block with enough stop words is good, and every other one undecided: links, lists, code and captions belong to it.
     Second pass: an undecided block takes the label of the nearest decided block (inside an article: of those there);
-    between two at one distance, or with none, blocks of an article are good and others bad. Where articles hold most of
+    between two at one distance, or with none, blocks of an article are good and others bad; on a page with no good block at
+    all every undecided one is good. Where long text is mostly in a language that no list knows, length and links decide. Where articles hold most of
     the good text, what stands outside them is bad.
     """
     lists = _stop_lists() if stop_lists is None else stop_lists
@@ -355,10 +366,11 @@ def classify(found: list[Block], rules: Rules = Rules(), stop_lists: Iterable[fr
         else:
             stops = _stop_density(b.text, lists)
             b.label = "good" if stops >= rules.stop_high and size > rules.long or stops >= rules.stop_low else "bad"
-    if not any_article and not any(b.label == "good" for b in found):  # no language that the lists know: long text without links decides
-        for b in found:
-            if len(b.text) >= rules.short and b.link_chars <= rules.links * len(b.text):
-                b.label = "good"
+    if not any_article:
+        _other_languages(found, rules)
+    if not any(b.label == "good" for b in found):
+        for b in found:  # nothing long at all: what stands there without links is the text
+            b.label = b.label or "good"
     good = {inside: sum(len(b.text) for b in found if b.article == inside and b.label == "good") for inside in (True, False)}
     if any_article and good[True] >= good[False]:
         for b in found:
@@ -368,6 +380,18 @@ def classify(found: list[Block], rules: Rules = Rules(), stop_lists: Iterable[fr
     return found
 
 
+def _other_languages(found: list[Block], rules: Rules) -> None:
+    """Where long text without links mostly is in no language of the lists, length and links decide.
+
+    If there is any good block, only blocks with the end of a sentence count as such text.
+    """
+    known = sum(len(b.text) for b in found if b.label == "good")
+    other = [b for b in found if b.label == "bad" and len(b.text) >= rules.short and b.link_chars <= rules.links * len(b.text) and (not known or _SENTENCE.search(b.text))]
+    if sum(len(b.text) for b in other) > known:
+        for b in other:
+            b.label = "good"
+
+
 def _inherit(found: list[Block], inside: bool) -> None:
     """Undecided blocks (of articles, or all others) take the label of the nearest decided one."""
     labels, nearest, last = [b.label for b in found], [], None

@@ -51,7 +51,7 @@ def _turns(max_repeats: int) -> Column:
     """For each time a document may be taken: virtual finish time, source, words of its source up to its end."""
     def turn(e: int) -> Column:
         end = F.col("before") + F.col("size") + e * F.col("source_size")
-        return F.struct((end / F.col("target")).alias("finish"), F.col("source_key").alias("source"), end.alias("end"))
+        return F.struct(F.try_divide(end.cast("double"), F.col("target")).alias("finish"), F.col("source_key").alias("source"), end.alias("end"))
 
     return F.array(*[turn(e) for e in range(max_repeats)])
 
@@ -95,7 +95,7 @@ def mix_plan(docs: DataFrame, max_repeats: int = MAX_REPEATS, weights: tuple[int
     before it in the first pass. The stream of all turns in order of finish time (then source) is truncated where its
     running total reaches the budget, all words; the document on the cut gives its leading words. So a source takes
     its target give or take the document that its queue breaks in, and never more than its repeats allow. Null text
-    has size 0; null sources are a source; equal rows queue one behind the other; an empty table gives no rows; other
+    has size 0, and a source without words target 0: it gives nothing; null sources are a source; equal rows queue one behind the other; an empty table gives no rows; other
     columns are ignored. Sums inside a source are bucketed, so a hot source is no hot group.
     """
     queued = _queued(materialise(_rows(docs, F.monotonically_increasing_id(), key, seed), "sizes"), max_repeats, weights)

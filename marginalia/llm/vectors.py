@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import bounded_batches, materialise
+from ._common import bounded_batches, join_facts, materialise
 from .components import components
 
 COSINE = 0.98
@@ -209,23 +209,26 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     rows = rows.withColumn("k1", F.when(fit, k1)).withColumn("k2", F.when(fit, k2))
     classes = rows.where(F.col("k1").isNotNull()).groupBy("label", "k1", "k2").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    unit = classes.withColumn("norm", F.sqrt(_dot("vector", "vector"))).select("cid", "n", "vector", "norm")
+    # squares of very small or large components leave the range of doubles: such vectors are scaled, which changes no cosine
+    top = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    scaled = F.when(top.between(1e-100, 1e100), F.col("vector")).otherwise(F.transform("vector", lambda x: x / top))
+    unit = classes.select("cid", "n", scaled.alias("vector")).withColumn("norm", F.sqrt(_dot("vector", "vector")))
     pairs = candidate_pairs(classes, cosine, block, group)
     left = unit.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("vector").alias("v_a"), F.col("norm").alias("l_a"))
     right = unit.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("vector").alias("v_b"), F.col("norm").alias("l_b"))
-    # parts of very small or large vectors could leave the range of doubles: divide by the norms one at a time
-    exact = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: (x / F.col("l_a")) * (y / F.col("l_b"))), F.lit(0.0), lambda s, x: s + x)
-    plain = _dot("v_a", "v_b") / (F.col("l_a") * F.col("l_b"))
-    value = F.when((F.col("l_a") * F.col("l_b")).between(1e-200, 1e200), plain).otherwise(exact)
+    value = _dot("v_a", "v_b") / (F.col("l_a") * F.col("l_b"))
     links = materialise(pairs.join(left, "a").join(right, "b").where(value >= cosine).select("a", "b", "n_a", "n_b"), "links")
     degree = links.select(F.col("a").alias("cid"), F.col("n_b").alias("m")).union(links.select(F.col("b").alias("cid"), F.col("n_a").alias("m"))).groupBy("cid").agg(F.sum("m").alias("m"))
-    found = components(links).join(classes.select(F.col("cid").alias("node"), "lead"), "node")
-    leads = found.join(found.groupBy("component").agg(F.min("lead").alias("best")), "component").select(F.col("node").alias("cid"), "best")
-    classes = classes.select("k1", "k2", "lead", "cid", "n").join(degree, "cid", "left").join(leads, "cid", "left")
-    out = rows.select("key", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = components(links).join(classes.select(F.col("cid").alias("node"), "lead"), "node").select("component", F.col("node").alias("cid"), "lead")
+    best = found.groupBy("component").agg(F.min("lead").alias("best"), F.count(F.lit(1)).alias("n"))
+    leads = join_facts(found, best, ["component"], total).select("cid", "best")
+    classes = classes.select("k1", "k2", "lead", "cid", "n", F.col("n").alias("copies")).join(degree, "cid", "left").join(leads, "cid", "left").drop("cid")
+    out = rows.select("key", "k1", "k2")  # rows that link with nothing meet no class
+    out = join_facts(out.where(F.col("k1").isNotNull()), classes, ["k1", "k2"], total).unionByName(out.where(F.col("k1").isNull()), allowMissingColumns=True)
     component = F.coalesce("best", "lead", "key")
     return out.select(
-        F.col("key").alias(key), (F.coalesce("m", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"),
+        F.col("key").alias(key), (F.coalesce("m", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 

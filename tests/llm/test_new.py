@@ -268,3 +268,92 @@ def test_op13_empty_tables(spark):
     assert lexical.search(spark.createDataFrame([], DOC), some).count() == 0
     assert lexical.search(table(spark, [(1, "a")]), nothing).count() == 0
     assert lexical.search(table(spark, [(1, "...")]), some).count() == 0
+
+
+# ---------------------------------------------------------------- repairs of earlier operators
+
+
+def mixed(texts):
+    """Targets by hand: sources in order take the weights in turn, up to three times their size."""
+    sizes = {}
+    for _, source, text in texts:
+        sizes[source] = sizes.get(source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, target, left = {s: i % 3 + 1 for i, s in enumerate(order)}, {}, sum(sizes.values())
+    while open_ := [s for s in order if s not in target]:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if 3 * sizes[s] < level * weight[s] or not left]
+        for s in full or open_:
+            target[s] = 3 * sizes[s] if full else level * weight[s]
+            left -= 3 * sizes[s] if full else 0
+    return sizes, target
+
+
+@pytest.mark.parametrize("texts", [
+    [(1, "a", "x y z " * 20), (2, "a", "x"), (3, "empty", None), (4, "empty", ""), (5, "empty", " \t"), (6, None, "p q " * 30), (7, "b", "r " * 5)],
+    [(1, "a", None), (2, "b", ""), (3, None, " ")],
+    [(i, f"s{i:03}", "one two three") for i in range(90)],
+])
+def test_mix_with_sources_of_no_words(spark, texts):
+    from marginalia.llm import mixing
+
+    docs = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    sizes, target = mixed(texts)
+    found = {r["doc_id"]: r for r in mixing.mix_plan(docs).collect()}
+    given = Counter()
+    for key, source, _ in texts:
+        assert found[key]["source_size"] == sizes[source] and math.isclose(found[key]["target"], target[source], abs_tol=1e-9)
+        given[source] += found[key]["taken"]
+    assert sum(given.values()) == sum(sizes.values())
+    longest = max(len((t or "").split()) for _, _, t in texts)
+    assert all(abs(given[s] - target[s]) <= longest for s in sizes)
+    assert sum(len(r["text"].split()) for r in mixing.mix(docs).collect()) == sum(sizes.values())
+
+
+def test_tiny_and_huge_vectors_link(spark):
+    from marginalia.llm import vectors
+
+    rows = [(1, "a", [1e-200, 0.0]), (2, "a", [1e200, 0.0]), (3, "a", [5e-324, 0.0]), (4, "a", [1.0, 0.0]), (5, "a", [0.0, 1e-310]), (6, "a", [1e308, -1e308]), (7, "a", [0.0, 0.0]), (8, None, [1.0, 0.0]), (9, "a", [1e-5, -1e-5]), (10, "b", [1.0, 0.0])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert found == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (3, 1, False), 5: (0, 5, True), 6: (1, 6, True), 7: (0, 7, True), 8: (0, 8, True), 9: (1, 6, False), 10: (0, 10, True)}
+    nulls = spark.createDataFrame([(i, None, None) for i in range(5)], "vec_id long, label string, embedding array<double>")
+    assert sorted(map(tuple, vectors.link_vectors(nulls).collect())) == [(i, 0, i, True) for i in range(5)]
+
+
+def test_one_vector_on_a_third_of_the_rows(spark):
+    from marginalia.llm import vectors
+
+    rows = spark.range(6000).selectExpr("id AS vec_id", "'a' AS label", "CASE WHEN id % 3 = 0 THEN array(1D, 2D, 3D) WHEN id % 3 = 1 THEN NULL ELSE array(sin(id), cos(id * 1.7D), sin(id * 0.3D)) END AS embedding")
+    found = {r["vec_id"]: r for r in vectors.link_vectors(rows).collect()}
+    assert len(found) == 6000 and all(found[i]["n_links"] >= 1999 for i in range(0, 6000, 3)) and all(found[i]["n_links"] == 0 for i in range(1, 6000, 3))
+
+
+ITALIAN = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. "
+RUSSIAN = "Однажды весною, в час небывало жаркого заката, в Москве появились два гражданина. "
+ENGLISH = "This is the one sentence that is written in English on all of this page of ours."
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<h1>Title</h1><p>A short page of forty characters here.</p>", "Title\n\nA short page of forty characters here."),
+    ('<div id="content"><p>We moved.</p><p>See you soon.</p></div>', "We moved.\n\nSee you soon."),
+    ("<p>hi</p><p><a href=x>a link</a></p>", "hi"),
+    (f"<p>{ITALIAN * 3}</p><p>{ENGLISH}</p><p>{ITALIAN}</p>", "\n\n".join([(ITALIAN * 3).strip(), ENGLISH, ITALIAN.strip()])),
+    (f"<p>{RUSSIAN * 3}</p><p>{ENGLISH}</p>", f"{(RUSSIAN * 3).strip()}\n\n{ENGLISH}"),
+    (f"<p>{ENGLISH * 3}</p><p>keyword one two three four five six seven eight nine ten eleven twelve thirteen</p>", ENGLISH * 3),
+    (f'<article><p>{ENGLISH}</p><p class="notice-period">The notice period is a month.</p><div class="social-policy"><p>Social policy is for all of them.</p></div><div class="banner-image"><p>An image.</p></div></article>',
+     f"{ENGLISH}\n\nThe notice period is a month.\n\nSocial policy is for all of them.\n\nAn image."),
+    (f'<article><p>{ENGLISH}</p><div class="share-buttons">Share</div><div class="related-posts"><p>Other posts</p></div><div class="ad">Buy</div><div id="comments_list"><p>First!</p></div></article>', ENGLISH),
+    (f"<article><p>{ENGLISH} Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be so.</p></article>", f"{ENGLISH} Let x=2 be so."),
+])
+def test_html_keeps_every_article(page, want):
+    from marginalia.llm import html_extract
+
+    assert html_extract.main_text(page) == want
+
+
+def test_html_nested_marked_wrappers_take_linear_time():
+    from marginalia.llm import html_extract
+
+    began = time.time()
+    assert ENGLISH in html_extract.main_text('<div class="menu">x' * 52_000 + f"<main><p>{ENGLISH}</p></main>")
+    assert time.time() - began < 5
