@@ -9,7 +9,7 @@ from ..functions.routing import capture_kind
 from ..operators import catalog as C, condense
 from ..sources import files, sinks
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, messages, note_files, read
-from ..streaming import captures
+from ..streaming import captures, images, queue
 from .analysis import A, analyses
 from .capturing import NEXT
 from .registry import query
@@ -130,10 +130,16 @@ def stream_dedup_messages(s, d):
     return drained(s, captures.dedup_messages(twice, "40 days"), "once").select("message_id", "chat_id")
 
 
-@query(f"{NEXT} SELECT image_id, chat_id, text_id FROM img WHERE text_id IS NOT NULL")
+@query(f"{NEXT} SELECT image_id, chat_id, text_id FROM img JOIN (SELECT message_id, ts AS text_ts FROM messages) ON message_id = text_id, (SELECT epoch_ms(max(ts)) - 600000 AS passed FROM messages WHERE kind IN ('photo', 'text', 'captioned')) WHERE (epoch_ms(text_ts) // 60000 + 1) * 60000 <= passed")
 def stream_image_association(s, d):
-    """The images that found a text; those that still wait, or waited too long, have none."""
-    return drained(s, captures.associate_images(updates(s, d)), "associated").where("text_id is not null")
+    """The images that found a text whose minute the watermark, ten minutes behind the last message, has passed."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, images.ROCKSDB)
+    try:
+        return drained(s, images.associate_images(updates(s, d), "40 days", "10 minutes"), "associated").where("text_id is not null")
+    finally:
+        s.conf.set(key, before)
 
 
 @query("SELECT event_type AS kind, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL")
@@ -142,10 +148,12 @@ def stream_exactly_once_sink(s, d):
     return drained(s, captures.ingest(updates(s, d)), "exactly", 2).groupBy(F.col("body").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{MSG}, q AS (SELECT message_id, kind, CASE WHEN kind IN ('photo', 'captioned') THEN 1 WHEN kind = 'command' THEN 3 ELSE 2 END AS priority FROM (SELECT message_id, CASE WHEN kind = 'document' THEN 'command' ELSE kind END AS kind FROM messages)) SELECT message_id, kind, 'done' AS status FROM q ORDER BY priority, message_id LIMIT 500")
+@query(f"{MSG}, q AS (SELECT message_id, kind, CASE WHEN kind IN ('photo', 'captioned') THEN 1 WHEN kind = 'command' THEN 3 ELSE 2 END AS priority FROM (SELECT message_id, CASE WHEN kind = 'document' THEN 'command' ELSE kind END AS kind FROM messages)) SELECT message_id, kind, ((row_number() OVER (ORDER BY priority, message_id) - 1) // ((SELECT count(*) FROM q) // 3 + 1))::INT AS round FROM q")
 def stream_periodic_process(s, d):
-    """One round over all events: the 500 most urgent are processed, the others stay in the queue."""
+    """All events come at once; rounds of a third of them go on by the clock until nothing waits."""
     root, marks = sinks.shared_folder(s, "rounds"), sinks.shared_folder(s, "rounds-checkpoint")
     rows = updates(s, d).withColumn("priority", C.priority(F.col("kind"), F.col("message_id")))
-    captures.process_periodically(rows, root, marks, lambda q: q.select("message_id", "kind", F.lit("done").alias("status"))).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{root}/done/round=0").select("message_id", "kind", "status")
+    third = read(s, d, "events").count() // 3 + 1
+    running = queue.process_periodically(rows, root, marks, lambda q: q.select("message_id", "kind"), third, keep=2).trigger(processingTime="1 second").start()
+    queue.drain(s, running, root, rows.schema, keep=2)
+    return s.read.schema("message_id long, kind string, round int").parquet(f"{root}/done")

@@ -1,13 +1,9 @@
-"""Chat updates as a stream: resumable reading, dedup by message id, admission, images waiting for the next text."""
+"""Chat updates as a stream: resumable reading, dedup by message id, admission, an exactly-once sink."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import messages as M
 from ..operators.catalog import admit
@@ -33,60 +29,6 @@ def ingest(updates: DataFrame, longest: int = 100_000) -> DataFrame:
         "message_id", "chat_id", "ts", M.message_type(F.col("text")).alias("type"), M.message_field(lines, "mood").alias("mood"), body.alias("body"), admit(body, longest).alias("reason"))
 
 
-def associate_images(updates: DataFrame, wait: str = "1 day", wait_ms: int = 86_400_000) -> DataFrame:
-    """Every photo with the first later text of its chat; photos that wait longer than ``wait`` come out with a null text.
-
-    State is one list of waiting photos a chat, and ends with the chat's timer, so it does not grow for ever.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(state.get[0]) if state.exists else []
-        made: list[tuple] = []
-        if state.hasTimedOut:
-            made = [(i, key[0], None) for i in waiting]
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "message_id"])
-            for message_id, kind in zip(rows.message_id, rows.kind):
-                if kind == "photo":
-                    waiting.append(int(message_id))
-                elif kind in ("text", "captioned"):
-                    made += [(i, key[0], int(message_id)) for i in waiting]
-                    waiting = []
-            if waiting:
-                state.update((waiting,))
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows.ts.max().timestamp() * 1000)) + wait_ms)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(made, columns=["image_id", "chat_id", "text_id"]).astype({"text_id": "Int64"})
-
-    seen = updates.withWatermark("ts", wait).select("message_id", "chat_id", "ts", "kind")
-    return seen.groupBy("chat_id").applyInPandasWithState(step, "image_id long, chat_id long, text_id long", "waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-#: Captures that one round processes, and how often a round starts.
-BATCH, EVERY = 500, "5 minutes"
-
-
-def process_periodically(captures: DataFrame, root: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], batch: int = BATCH) -> DataStreamWriter:
-    """Rounds of a queue: each adds what came in to ``root/queue``, and processes the ``batch`` most urgent captures that no earlier
-    round has (``priority``, then ``message_id``) into ``root/done``; the rest waits. Start it with a trigger of :data:`EVERY`.
-
-    Both folders have one subfolder a round, overwritten as a whole, and a round looks only at those of the rounds before it:
-    a round that is repeated after a failure gives the same again. ``process`` gets the columns of ``captures``.
-    """
-    def round_(new: DataFrame, number: int) -> None:
-        spark = new.sparkSession
-        new.write.mode("overwrite").parquet(f"{root}/queue/round={number}")
-        queue = spark.read.schema(new.schema).parquet(*[f"{root}/queue/round={i}" for i in range(number + 1)])
-        if number:
-            done = spark.read.parquet(*[f"{root}/done/round={i}" for i in range(number)]).select("message_id")
-            queue = queue.join(done, "message_id", "left_anti").select(*new.columns)
-        process(queue.orderBy("priority", "message_id").limit(batch)).write.mode("overwrite").parquet(f"{root}/done/round={number}")
-
-    return captures.writeStream.foreachBatch(round_).option("checkpointLocation", checkpoint)
-
-
 def write_once(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Append to a Parquet folder, exactly once through its commit log; start it with a trigger of five minutes, or ``availableNow``."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
