@@ -81,18 +81,41 @@ def first_url(text: Column) -> Column:
     return F.nullif(F.when(extra, F.regexp_replace(raw, r"\)+$", "")).otherwise(raw), F.lit(""))
 
 
-# Letters folded to ASCII in file names.
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçÿ", "aaaaaaeeeeiiiiooooouuuuncy"
+# Letters that decomposition does not take apart, in Latin, Greek and Cyrillic order, and their ASCII spelling.
+SPELLED = dict(zip(
+    "ß æ œ ø đ ð þ ł ħ ı ŋ α β γ δ ε ζ η θ ι κ λ μ ν ξ ο π ρ ς σ τ υ φ χ ψ ω а б в г д е ж з и й к л м н о п р с т у ф х ц ч ш щ ы э ю я ё є і ї ґ ђ ј љ њ ћ џ".split(),
+    "ss ae oe o d d th l h i ng a b g d e z e th i k l m n x o p r s s t u ph kh ps o a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch y e iu ia io ie i yi g dj j lj nj tsh dzh".split(),
+))
+
+
+def ascii_letters(text: Column) -> Column:
+    """Lower-case text with accents taken off and Greek, Cyrillic and special Latin letters spelled in ASCII."""
+    single = {k: v for k, v in SPELLED.items() if len(v) == 1}
+
+    def spelled(low: Column) -> Column:
+        for letter, ascii_ in SPELLED.items():
+            if len(ascii_) > 1:
+                low = F.replace(low, F.lit(letter), F.lit(ascii_))
+        return F.translate(low, "".join(single), "".join(single.values()))
+
+    apart = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), spelled(F.lower(F.coalesce(text, F.lit("")))), F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), spelled(F.lower(F.regexp_replace(apart, r"\p{M}+", "")))).otherwise(F.lower(text))
 
 
 def slug(text: Column, longest: int = 50) -> Column:
-    """Lower-case ASCII words joined by hyphens, cut at a word if too long; ``untitled`` if nothing is left."""
-    low = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^a-z0-9\s_-]", "")
-    whole = F.regexp_replace(F.regexp_replace(low, r"[\s_-]+", "-"), "^-+|-+$", "")
-    cut = F.substring(whole, 1, longest)
-    at_word = F.when((F.length(whole) > longest) & (F.substring(whole, longest + 1, 1) != "-") & cut.contains("-"), F.regexp_replace(cut, "-[^-]*$", "")).otherwise(cut)
-    done = F.regexp_replace(at_word, "-+$", "")
-    return F.when(F.coalesce(done, F.lit("")) == "", F.lit("untitled")).otherwise(done)
+    """Lower-case ASCII words joined by hyphens; ``untitled`` if nothing is left.
+
+    Every other character parts words, but typographic quotes, hard and soft signs, and a comma inside a number go without a trace.
+    Too long a slug keeps, in order, each word that still fits; a single word is cut. Scripts other than Latin, Greek and
+    Cyrillic have no spelling and part words.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, "&(?:amp|lt|gt|quot|apos|nbsp);", "-"), "[\u2018\u2019ъьЪЬ]", "")
+    low = F.regexp_replace(ascii_letters(bare), r"(?<=[0-9]),(?=[0-9])", "")
+    whole = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    room = lambda acc, w: F.length(acc) + F.length(w)
+    fitting = F.aggregate(F.split(whole, "-"), F.lit(""), lambda acc, w: F.when(room(acc, w) < longest, F.concat(acc, w, F.lit("-"))).when(room(acc, w) == longest, F.concat(acc, w)).otherwise(acc))
+    cut = F.when(F.length(whole) < longest, whole).when(whole.contains("-") & (fitting != ""), fitting).otherwise(F.substring(whole, 1, longest))
+    return F.coalesce(F.nullif(F.regexp_replace(cut, "-+$", ""), F.lit("")), F.lit("untitled"))
 
 
 def without_fence(text: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_network
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
-from ..operators import catalog as C
+from ..operators import catalog as C, hosts as H
 from ..operators.order import earlier_in_group, row_index
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, STATE_SQL, capture_events, messages, note_files, read
 from .registry import ORACLE_SQL, QUERIES, query
@@ -344,14 +346,21 @@ def filter_valid_url(s, d):
     return read(s, d, "pages").where(F.try_parse_url("url", F.lit("PROTOCOL")).isin("http", "https") & host.isNotNull()).select("page_id", host.alias("host"))
 
 
-@query("SELECT event_id, event_id % 4 <> 0 AS public FROM events")
+def _range_rows(blocks: str, closed: bool) -> str:
+    """Blocks of IPv4 addresses as SQL rows of first, last, bits, closed."""
+    nets = map(ip_network, blocks.split())
+    return ", ".join(f"({int(n[0])}::BIGINT, {int(n[-1])}::BIGINT, {n.prefixlen}, {closed})" for n in nets)
+
+
+@query(f"WITH h AS (SELECT doc_id, ('0x' || left(md5(text), 8))::BIGINT AS a FROM documents WHERE text IS NOT NULL), b(lo, hi, bits, closed) AS (VALUES {_range_rows(H.CLOSED_4, True)}, {_range_rows(H.OPEN_4, False)}) SELECT doc_id, NOT coalesce(arg_max(closed, bits), false) AS public FROM h LEFT JOIN b ON a BETWEEN lo AND hi GROUP BY doc_id, a")
 def filter_public_host(s, d):
-    """Hosts made of event ids, IPv4 and IPv6 by turns: one in four is in 10.0.0.0/8 or fc00::/7."""
-    i = F.col("event_id")
-    four = F.concat(F.when(i % 4 == 0, F.lit("10.")).otherwise(F.lit("8.")), (i % 250).cast("string"), F.lit(".1.9"))
-    six = F.concat(F.when(i % 4 == 0, F.lit("[fd12:")).otherwise(F.lit("[2606:4700:")), F.lower(F.hex(i % 65536)), F.lit("::9]"))
-    host = F.when(i % 8 < 4, four).otherwise(six)
-    return read(s, d, "events").select("event_id", (~C.private_host(host)).alias("public"))
+    """Addresses made of the digests of all texts: IPv4, every other one mapped into IPv6, judged by the table of blocks."""
+    digest = F.md5("text")
+    part = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10)
+    four = F.concat_ws(".", *map(part, range(4)))
+    host = F.when(F.col("doc_id") % 2 == 0, four).otherwise(F.concat(F.lit("[::ffff:"), four, F.lit("]")))
+    rows = read(s, d, "documents").where("text is not null").select("doc_id", host.alias("host"))
+    return H.judge_hosts(rows, H.special_blocks(s)).select("doc_id", "public")
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
@@ -415,18 +424,25 @@ def corpus_fingerprint(s, d):
     return note_files(s, d).agg(n(), F.sum(mark).alias("total"), F.bit_xor(mark).alias("mixed"))
 
 
-_SLUG = f"trim(regexp_replace(regexp_replace(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9\\s\\x0B_-]', '', 'g'), '[\\s\\x0B_-]+', '-', 'g'), '-')"
+def _spelled(sql: str) -> str:
+    for letter, ascii_ in T.SPELLED.items():
+        sql = f"replace({sql}, '{letter}', '{ascii_}')"
+    return sql
 
 
-@query(f"WITH w AS (SELECT doc_id, {_SLUG} AS w FROM documents), c AS (SELECT doc_id, CASE WHEN length(w) > 50 AND w[51] <> '-' AND contains(w[:50], '-') THEN regexp_replace(w[:50], '-[^-]*$', '') ELSE w[:50] END AS c FROM w) SELECT doc_id, coalesce(nullif(rtrim(c, '-'), ''), 'untitled') AS slug FROM c")
-def slugify_documents(s, d):
-    """Of the whole text of every document, cut at 50 characters."""
-    return read(s, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+_SPELLED = _spelled("strip_accents(" + _spelled("lower(regexp_replace(regexp_replace(text, '&(amp|lt|gt|quot|apos|nbsp);', '-', 'g'), '[\u2018\u2019ъьЪЬ]', '', 'g'))") + ")")
+_SLUG = f"trim(regexp_replace(regexp_replace({_SPELLED}, '([0-9]),([0-9])', '\\1\\2', 'g'), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query(ORACLE_SQL["slugify_documents"])
+@query(f"WITH w AS (SELECT doc_id, coalesce({_SLUG}, '') AS w FROM documents), f AS (SELECT doc_id, w, list_reduce(string_split(w, '-'), lambda a, x: CASE WHEN length(a) + length(x) < 50 THEN a || x || '-' WHEN length(a) + length(x) = 50 THEN a || x ELSE a END, '') AS f FROM w) SELECT doc_id, coalesce(nullif(rtrim(CASE WHEN length(w) < 50 THEN w WHEN contains(w, '-') AND f <> '' THEN f ELSE w[:50] END, '-'), ''), 'untitled') AS slug FROM f")
 def slugify(s, d):
-    return slugify_documents(s, d)
+    """Of the whole text of every document, at most 50 characters."""
+    return read(s, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
+@query(ORACLE_SQL["slugify"])
+def slugify_documents(s, d):
+    return slugify(s, d)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'photo' WHEN event_id % 5 = 1 THEN 'document' WHEN event_id % 5 = 2 THEN 'command' ELSE 'text' END AS kind FROM events WHERE event_id % 5 <> 4")

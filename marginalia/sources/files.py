@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import archive as A, text as T
 from ..functions.markup import IMAGES
 from ..operators import catalog as C
 from ..operators.condense import DIMENSIONS
+from ..operators.order import stable
 
 # Where an export may keep its posts, first match counts; phases of a run.
 ARCHIVE_FILES = ("data/tweets.js", "data/tweet.js", "tweet.js", "tweets.js")
@@ -92,13 +93,48 @@ def archive_file(spark: SparkSession, root: str) -> str | None:
     return next((f"{root}/{f}" for f in ARCHIVE_FILES if exists(spark, f"{root}/{f}")), None)
 
 
+def json_elements(spark: SparkSession, path: str) -> DataFrame:
+    """``file, element, json``: the objects of a JSON array in one or more files, numbered in each, whatever stands around the array.
+
+    Files are read in byte ranges, as pieces that end at a closing brace, so a large export is many tasks' work. Whether a piece
+    begins inside a string depends on all quotes before it, and how deep it is on all brackets before it that are in no
+    string: both are running sums over the pieces, by range of bytes and then over ranges, one small row each. A piece
+    that closes the brace of an element, and those since the one before it, are that element. No escape reaches
+    over a brace, so a piece's own marks are known without its neighbours.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    bare = F.regexp_replace("piece", r"(?s)\\.", "")
+    marks = F.split(bare, '"', -1)
+    depth = lambda odd: F.aggregate(
+        F.filter(marks, lambda x, i: i % 2 == odd), F.lit(0), lambda n, x: n + 2 * F.regexp_count(x, F.lit(r"[\[{]")) - F.regexp_count(x, F.lit(r"[\[{\]}]")))
+    quotes = (F.size(marks) - 1) % 2
+    # outside: the brace at the piece's end closes something if the piece ends outside a string
+    pieces = stable(raw.withColumn("quotes", quotes).withColumn("outside", depth(0) - F.when(quotes == 0, 1).otherwise(0)).withColumn("inside", depth(1) - F.when(quotes == 1, 1).otherwise(0)))
+    within = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+
+    def behind(rows: DataFrame, value: str) -> DataFrame:
+        """``file, start, earlier``: the sum of ``value`` over all ranges before."""
+        return rows.groupBy("file", "start").agg(F.sum(value).alias("_sum")).select("file", "start", F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("earlier"))
+
+    rows = pieces.join(behind(pieces, "quotes"), ["file", "start"]).withColumn("quoted", (F.col("earlier") + F.coalesce(F.sum("quotes").over(within), F.lit(0))) % 2)
+    rows = rows.withColumn("step", F.when(F.col("quoted") == 0, F.col("outside")).otherwise(F.col("inside"))).select("file", "start", "at", "piece", "step", ((F.col("quoted") + F.col("quotes")) % 2 == 0).alias("closes"))
+    rows = stable(rows)
+    rows = rows.join(behind(rows, "step"), ["file", "start"]).withColumn("ends", (F.col("closes") & (F.col("earlier") + F.sum("step").over(upto) == 1)).cast("int")).drop("earlier")
+    rows = stable(rows)
+    rows = rows.join(behind(rows, "ends"), ["file", "start"]).withColumn("element", F.col("earlier") + F.coalesce(F.sum("ends").over(within), F.lit(0)))
+    joined = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "at", "piece"))), lambda x: x["piece"]), "}"), F.lit("}"))
+    found = rows.groupBy("file", "element").agg(joined.alias("json"), F.max("ends").alias("ends")).where("ends = 1")
+    return found.select("file", "element", F.regexp_replace("json", r"^[^{]*", "").alias("json"))
+
+
 def scan_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``tweet_id, text, created_at`` and more of the posts of one export, with or without its script wrapper and its inner objects.
+    """``tweet_id, text, created_at`` and more of the posts of an export, with or without its script wrapper and its inner objects.
 
-    One export is one JSON value, so one task parses it; write the result as Parquet once. Posts without an id or text are dropped.
+    The export may be of any size and in several files: see :func:`json_elements`. Posts without an id or text are dropped.
     """
-    json = F.regexp_replace(F.regexp_replace("value", r"^\s*window\.[^=]*=\s*", ""), r";\s*$", "")
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(json, f"array<struct<tweet:struct<{_typed(A.POST)}>,{_typed(A.POST)}>>")).alias("x"))
+    rows = json_elements(spark, path).select(F.from_json("json", f"struct<tweet:struct<{_typed(A.POST)}>,{_typed(A.POST)}>").alias("x"))
     plain = F.struct(*[F.col(f"x.{n}") for n in _names(A.POST)])
     post = rows.select(F.coalesce("x.tweet", plain).alias("post"))
     f = A.post_fields(F.col("post"))
@@ -119,12 +155,30 @@ def _names(schema: str) -> list[str]:
     return [f.name for f in _fields(schema)]
 
 
+# Documents whose file name is not their dimension's name, by the folder of their phase.
+NAMED_OTHERWISE = {
+    "core-analysis": {
+        "psychological-profile": "psychological", "emotional-landscape": "emotional", "intellectual-portrait": "intellectual", "ethical-framework": "ethical",
+        "spiritual-dimensions": "spiritual", "philosophical-orientation": "philosophical", "visual-patterns": "visual",
+    },
+    "pattern-analysis": {"obsessions-and-avoidances": "obsessions_avoidances"},
+}
+
+
 def scan_analysis_docs(spark: SparkSession, run: str, phases: tuple[str, ...]) -> DataFrame:
-    """``phase, dimension, title, confidence, content``: the documents of a run; stems with hyphens name dimensions."""
+    """``phase, dimension, title, confidence, generated_at, content, known``: the documents of a run.
+
+    The dimension goes by folder and file name; names that are not listed are taken as they are, with underscores. Confidence
+    is medium where none is stated; a time that cannot be read is null.
+    """
     files = markdown_files(spark, *[f"{run}/{p}" for p in phases])
     c, stem = F.col("content"), F.regexp_extract("path", r"([^/]+)\.md$", 1)
-    dimension = F.coalesce(T.front_value(c, "dimension"), F.replace(stem, F.lit("-"), F.lit("_")))
-    return files.select(F.col("folder").alias("phase"), dimension.alias("dimension"), F.coalesce(T.title(T.body(c)), F.initcap(F.replace(stem, F.lit("-"), F.lit(" ")))).alias("title"), T.front_value(c, "confidence").alias("confidence"), T.body(c).alias("content"), dimension.isin(*DIMENSIONS).alias("known"))
+    listed = F.create_map(*[F.lit(x) for folder, names in NAMED_OTHERWISE.items() for name, dimension in names.items() for x in (f"{folder}/{name}", dimension)])
+    dimension = F.coalesce(F.try_element_at(listed, F.concat("folder", F.lit("/"), stem)), F.replace(stem, F.lit("-"), F.lit("_")))
+    title = F.coalesce(T.title(T.body(c)), F.initcap(F.replace(stem, F.lit("-"), F.lit(" "))))
+    confidence = F.coalesce(T.front_value(c, "confidence"), F.lit("medium"))
+    made = F.try_to_timestamp(F.regexp_replace(T.front_value(c, "generated_at"), "['\"]", ""))
+    return files.select(F.col("folder").alias("phase"), dimension.alias("dimension"), title.alias("title"), confidence.alias("confidence"), made.alias("generated_at"), T.body(c).alias("content"), dimension.isin(*DIMENSIONS).alias("known"))
 
 
 def scan_manifest(spark: SparkSession, run: str) -> DataFrame:

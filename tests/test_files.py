@@ -1,6 +1,7 @@
 """Folders, archives and runs on small fixtures; parts of notes at their edges."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,11 +46,41 @@ def test_archive(spark, tmp_path, name, head, tail):
     assert files.archive_file(spark, f"file:{tmp_path}/gone") is None
 
 
+def test_archive_in_byte_ranges(spark, tmp_path):
+    """Split points in strings, escapes, braces inside texts and nested objects; equal to parsing each file as a whole."""
+    r, posts = random.Random(6), []
+    for i in range(300):
+        text = "".join(r.choices(["a", "}", "{", '"', "\\", "[", "]", ",", "é", "\n", "中", "\\\"", " "], k=r.randint(1, 80)))
+        posts.append({"id_str": str(i), "full_text": text, "entities": {"hashtags": [{"text": "h}"}] * r.randint(0, 3), "urls": []}, "created_at": "2020-10-10 20:19:24"})
+    for k, indent in enumerate([None, 1]):
+        half = [{"tweet": p} if i % 2 else p for i, p in enumerate(posts[k * 150 : k * 150 + 150])]
+        (tmp_path / f"part{k}.js").write_text("window.YTD.tweets.part0 = " + json.dumps(half, indent=indent, ensure_ascii=bool(k)) + ";\n")
+    (tmp_path / "empty.js").write_text("window.YTD.tweets.part9 = []")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "777")
+        raw = spark.read.option("lineSep", "}").text(f"file:{tmp_path}/*.js")
+        assert raw.rdd.getNumPartitions() > 50
+        got = files.scan_archive(spark, f"file:{tmp_path}/*.js").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((x.tweet_id, x.text, x.hashtags) for x in got) == sorted((p["id_str"], p["full_text"], ["h}"] * len(p["entities"]["hashtags"])) for p in posts)
+    elements = files.json_elements(spark, f"file:{tmp_path}/part1.js").orderBy("element").collect()
+    assert [json.loads(e.json).get("id_str") or json.loads(e.json)["tweet"]["id_str"] for e in elements] == [p["id_str"] for p in posts[150:]]
+
+
 def test_runs(spark, tmp_path):
     run = tmp_path / "2024-05"
     (run / "guidance").mkdir(parents=True)
     (run / "guidance" / "shadow-work.md").write_text("---\nconfidence: low\n---\n# Shadow\ntext")
     (run / "manifest.json").write_text('{"generated_at": "2024-06-01T00:00:00", "total_tokens": 3}')
+    (run / "core-analysis").mkdir()
+    for name in ("psychological-profile", "visual-patterns", "shadow-play"):
+        (run / "core-analysis" / f"{name}.md").write_text("text")
+    core = {d.title: (d.dimension, d.confidence, d.known) for d in files.scan_analysis_docs(spark, f"file:{run}", ("core-analysis",)).collect()}
+    assert core == {"Psychological Profile": ("psychological", "medium", True), "Visual Patterns": ("visual", "medium", False), "Shadow Play": ("shadow_play", "medium", False)}
     docs = files.scan_analysis_docs(spark, f"file:{run}", ("guidance", "synthesis")).collect()
     assert [(d.phase, d.dimension, d.title, d.confidence, d.known) for d in docs] == [("guidance", "shadow_work", "Shadow", "low", True)]
     assert str(files.scan_manifest(spark, f"file:{run}").first().run_date)[:10] == "2024-05-01"

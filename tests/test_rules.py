@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import notes as W, text as T
-from marginalia.operators import catalog as C, condense
+from marginalia.operators import catalog as C, hosts as H, condense
 from marginalia.operators.files import unique_names
 from marginalia.operators.order import earlier_in_group, row_index
 from marginalia.sources import files
@@ -118,7 +118,7 @@ def test_hosts_like_the_standard_library(spark):
     """Public or not as the standard library's address rules have it, over edges of every block and random addresses."""
     rng = random.Random(5)
     wanted = {}
-    blocks = [ipaddress.ip_network(x) for x in " ".join((C.CLOSED_4, C.OPEN_4, C.CLOSED_6, C.OPEN_6)).split()]
+    blocks = [ipaddress.ip_network(x) for x in " ".join((H.CLOSED_4, H.OPEN_4, H.CLOSED_6, H.OPEN_6)).split()]
     for block in blocks:
         for at in (int(block[0]) - 1, int(block[0]), int(block[-1]), int(block[-1]) + 1):
             if 0 <= at < 2**block.max_prefixlen:
@@ -137,14 +137,48 @@ def test_hosts_like_the_standard_library(spark):
     # the first is neither private nor global, the second a block for documentation that older libraries do not know: not public here
     more = [ipaddress.ip_network(x) for x in ("100.64.0.0/10", "3fff::/20")]
     expected = {h: bool(refused(a)) or any(a.version == x.version and a in x for x in more) for h, a in wanted.items()}
-    df = spark.createDataFrame([(h,) for h in wanted], "host string").select("host", C.private_host(F.col("host")).alias("closed"))
-    assert {r.host: r.closed for r in df.collect()} == expected
+    df = H.judge_hosts(spark.createDataFrame([(h,) for h in wanted], "host string"), H.special_blocks(spark))
+    assert {r.host: not r.public for r in df.collect()} == expected
+
+
+def test_hosts_and_a_hundred_thousand_blocks(spark):
+    """The longest prefix by trying every length, for random nested blocks of both kinds; no nested loops but over the few lengths."""
+    rng, rows, of = random.Random(11), [], {}
+    base = [rng.getrandbits(128) for _ in range(300)]
+    for _ in range(100_000):
+        bits = rng.randint(0, 128) if rng.random() < 0.9 else rng.randint(0, 24)
+        net = ipaddress.IPv6Network((rng.choice(base) ^ rng.getrandbits(rng.randint(1, 128)), bits), strict=False)
+        if rng.random() < 0.3:
+            net = ipaddress.IPv4Network((rng.getrandbits(32), rng.randint(0, 32)), strict=False)
+        closed = rng.random() < 0.5
+        rows.append((str(net), closed))
+        key = (net.prefixlen + (96 if net.version == 4 else 0), int(net[0]) + (0xFFFF << 32 if net.version == 4 else 0))
+        of[key] = of.get(key, False) or closed
+    blocks = spark.createDataFrame([*rows, ("nonsense", True), ("1.2.3.4/99", True), (None, True), ("::/0", None)], "cidr string, closed boolean")
+    asked = [str(ipaddress.IPv6Address(rng.choice(base) ^ rng.getrandbits(rng.randint(1, 100)))) for _ in range(500)] + [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(500)]
+    asked += [x.split("/")[0] for x, _ in rows[:200]] + ["::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "0.0.0.0", "255.255.255.255"]
+
+    def judged(host):
+        a = ipaddress.ip_address(host)
+        n = int(a) + (0xFFFF << 32 if a.version == 4 else 0)
+        found = [of[k] for length in range(129) if (k := (length, n >> (128 - length) << (128 - length))) in of]
+        return not (found and found[-1])
+
+    got = H.judge_hosts(spark.createDataFrame([(h, "x") for h in [*asked, asked[0], None]], "host string, more string"), blocks)
+    assert got.columns == ["host", "more", "public"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    found = [(r["host"], r["public"]) for r in got.collect()]
+    assert len(found) == len(asked) + 2
+    assert all(public is None if host is None else public == judged(host) for host, public in found)
+    assert H.judge_hosts(spark.createDataFrame([], "host string"), blocks).count() == 0
+    assert H.judge_hosts(spark.createDataFrame([("10.0.0.1",)], "host string"), blocks.limit(0)).first()["public"]
 
 
 @pytest.mark.parametrize("host, closed", [("fe80::1%eth0", True), ("[::1]", True), ("1:2:3", True), ("1::2::3", True), ("2606:4700:::1", True), ("2606:4700::g", True), ("999.1.1.1", True), ("8.8.8.8", False), ("2606:4700::1", False), ("::ffff:8.8.8.8", False), ("a.localhost", True), ("localhost.example.org", False), ("", False), (None, None)])
 def test_odd_hosts(spark, host, closed):
-    df = spark.createDataFrame([(host,)], "host string").select(C.private_host(F.col("host")).alias("closed"))
-    assert df.first().closed is closed
+    public = H.judge_hosts(spark.createDataFrame([(host,)], "host string"), H.special_blocks(spark)).first()["public"]
+    assert public is (None if closed is None else not closed)
 
 
 def test_search_terms(spark):
