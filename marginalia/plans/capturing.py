@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import archive as A, messages as M, routing as R
-from ..operators import catalog as C
+from ..operators import catalog as C, metered
+from ..sources.sinks import shared_folder
 from ..sources.standins import MESSAGES_SQL, STATE_SQL, capture_events, messages, read
 from .registry import query
 
@@ -101,9 +102,11 @@ def note_type_counts(s, d):
 
 @query(f"{S} SELECT count(*) AS n, count(*) FILTER (status = 'done') AS processed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'written') AS recovered, count(DISTINCT output_file) AS files, count(DISTINCT kind) AS kinds FROM state")
 def batch_summary(s, d):
+    """As the write of the batch observed it."""
     state = C.current_state(capture_events(s, d)).join(messages(s, d), F.col("capture_id") == F.col("message_id"))
-    is_ = lambda x: F.count_if(F.col("status") == x)
-    return state.agg(F.count(F.lit(1)).alias("n"), is_("done").alias("processed"), is_("failed").alias("failed"), is_("written").alias("recovered"), F.count_distinct("output_file").alias("files"), F.count_distinct("kind").alias("kinds"))
+    path = shared_folder(s, "batch")
+    found = metered.process_batch(state, lambda rows: rows.select("capture_id", "status", "output_file", "kind"), path)
+    return s.read.parquet(path).limit(1).select(*[F.lit(v).cast("long").alias(k) for k, v in found.items()])
 
 
 def posts(s: SparkSession, d: str) -> DataFrame:

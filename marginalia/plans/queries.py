@@ -7,8 +7,9 @@ from ipaddress import ip_network
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
-from ..operators import catalog as C, hosts as H
+from ..operators import catalog as C, hosts as H, metered, search, words as X
 from ..operators.order import earlier_in_group, row_index
+from ..sources.sinks import shared_folder
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, STATE_SQL, capture_events, messages, note_files, read
 from .registry import ORACLE_SQL, QUERIES, query
 
@@ -287,10 +288,15 @@ def union_tweets_distinct(s, d):
     return m.unionByName(a).groupBy("tweet_id").agg(F.min_by("origin", "prio").alias("origin"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (event_id % 20 <> 0) AS added, count(*) FILTER (event_id % 20 = 0) AS skipped, 0::BIGINT AS failed FROM events")
+@query("SELECT count(*) AS total, count(*) FILTER (day(ts) > 10) AS added, count(*) FILTER (day(ts) <= 10) AS skipped, 0::BIGINT AS failed, count(*) AS queued FROM events")
 def import_stats(s, d):
-    seen = F.col("tweet_id").cast("long") % 20 == 0
-    return tweets(s, d).agg(n("total"), F.count_if(~seen & F.col("created_at").isNotNull()).alias("added"), F.count_if(seen).alias("skipped"), F.count_if(F.col("created_at").isNull()).alias("failed"))
+    """The archive of the first ten days is imported, then the whole archive, into one queue; what the second import observed."""
+    path = shared_folder(s, "imported")
+    whole = tweets(s, d).select("tweet_id", "created_at", "text")
+    metered.import_posts(whole.where(F.dayofmonth("created_at") <= 10), None, path)
+    queue = s.read.schema(whole.schema).parquet(path)
+    found = metered.import_posts(whole, queue, path)
+    return s.read.schema(whole.schema).parquet(path).agg(F.count(F.lit(1)).alias("queued")).select(*[F.lit(found[k]).cast("long").alias(k) for k in ("total", "added", "skipped", "failed")], "queued")
 
 
 @query("SELECT doc_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS normal_md5 FROM documents")
@@ -380,9 +386,12 @@ def recent_notes(s, d):
     return notes(s, d).select("stem").orderBy(F.desc("stem")).limit(500)
 
 
-@query(f"{N} SELECT stem FROM notes WHERE contains(lower(text), 'erthe') ORDER BY stem LIMIT 5")
+@query(f"{N}, t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+')) AS term FROM benchmark) WHERE length(term) > 1) SELECT term, row_number() OVER (PARTITION BY term ORDER BY stem)::INT AS rank, stem FROM t JOIN notes ON contains(lower(stem), lower(term)) OR contains(lower(coalesce(text, '')), lower(term)) QUALIFY rank <= 5")
 def search_notes(s, d):
-    return notes(s, d).where(F.lower("raw_capture").contains("erthe")).select("stem").orderBy("stem").limit(5)
+    """The first five notes for each word of the benchmark, by the trigram index."""
+    terms = read(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("term")).where("length(term) > 1")
+    files = note_files(s, d).select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), "text")
+    return search.search(search.build_index(files, text="text"), terms)
 
 
 _TERMS = ("Erthe", "note-1", "2024-03", "no such words")
@@ -401,10 +410,15 @@ def unique_note_names(s, d):
     return rows.select("doc_id", F.concat("lang", F.when(i > 1, F.concat(F.lit("-"), i.cast("string"))).otherwise(F.lit(""))).alias("name"))
 
 
-@query(f"{N} SELECT lang AS term, count(*) FILTER (doc_id % 2 = 0) AS private, count(*) FILTER (doc_id % 2 = 1) AS public FROM notes GROUP BY ALL")
+@query("""WITH w AS (SELECT 'private' AS c, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents UNION ALL SELECT 'public', unnest(regexp_extract_all(lower(text), '\\p{L}+')) FROM conversations WHERE role = 'user'),
+ k AS (SELECT term, count(*) FILTER (c = 'private') AS private, count(*) FILTER (c = 'public') AS public FROM w GROUP BY term),
+ p AS (SELECT *, 500.0::DOUBLE * (private + public) / (n1 + n2) AS a FROM k, (SELECT sum(private)::BIGINT AS n1, sum(public)::BIGINT AS n2 FROM k))
+ SELECT term, private, public, round((ln((private + a) / (n1 + 500.0::DOUBLE - private - a)) - ln((public + a) / (n2 + 500.0::DOUBLE - public - a))) / sqrt(1 / (private + a) + 1 / (public + a)), 4) AS z FROM p""")
 def channel_contrast(s, d):
-    channel = F.when(F.col("doc_id") % 2 == 0, "private").otherwise("public")
-    return note_files(s, d).withColumn("channel", channel).groupBy(F.col("lang").alias("term")).pivot("channel", ["private", "public"]).agg(F.count(F.lit(1))).na.fill(0)
+    """Words of notes (all documents) against words of posts (what users say)."""
+    notes = read(s, d, "documents").select(F.lit("private").alias("channel"), "text")
+    posts = read(s, d, "conversations").where("role = 'user'").select(F.lit("public").alias("channel"), "text")
+    return X.channel_contrast(notes.unionByName(posts), "private", "public")
 
 
 @query(f"{N} SELECT lang, count(*) AS n, sum(words)::BIGINT AS words, round(avg(words), 6) AS mean_words, count(*) FILTER (contains(text, '?')) AS questions FROM notes GROUP BY ALL")

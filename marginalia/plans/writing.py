@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import notes as W
-from ..operators import catalog as C
+from ..operators import catalog as C, words as X
 from ..sources.standins import NOTES_SQL, note_files, read
 from .registry import query
 
@@ -86,9 +86,13 @@ def attention_skew(s, d):
     return counted.select("source", "theme", F.round(F.col("n") / share("source") / (share("theme") / share()), 6).alias("skew"))
 
 
-@query("SELECT term FROM (VALUES ('harbour'), ('of'), ('tide')) v(term) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), term))")
+_TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '\\p{{L}}+')"
+
+
+@query(f"WITH w AS (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark), p AS (SELECT DISTINCT array_to_string(w[i:i + k - 1], ' ') AS phrase FROM w, (VALUES (1, 2), (2, 3), (5, 4), (3, 5)) x(i, k) WHERE len(w) >= i + k - 1), d AS (SELECT ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS t FROM documents) SELECT phrase FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE contains(t, ' ' || phrase || ' '))")
 def theme_absence(s, d):
-    """Terms of a lexicon that no document has as a word."""
-    lexicon = s.createDataFrame([("harbour",), ("of",), ("tide",)], "term string")
-    words = read(s, d, "documents").select(F.explode(F.array_intersect(F.split(F.lower("text"), "[^a-z]+"), F.array(F.lit("harbour"), F.lit("of"), F.lit("tide")))).alias("term"))
-    return lexicon.join(words, "term", "left_anti")
+    """Phrases of two to five words, taken from all items of the benchmark, that no document has."""
+    w = X.tokens(F.col("text"))
+    some = F.array(*[F.when(F.size(w) >= i + k - 1, F.array_join(F.slice(w, i, k), " ")) for i, k in ((1, 2), (2, 3), (5, 4), (3, 5))])
+    lexicon = read(s, d, "benchmark").select(F.explode(some).alias("phrase")).where("phrase is not null")
+    return X.phrase_counts(read(s, d, "documents"), lexicon).where("n_docs = 0").select("phrase")
