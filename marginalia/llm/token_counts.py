@@ -20,7 +20,7 @@ LIMIT = 1024
 #: Code points of a text that are looked at together, and the prefixes that one row of the prefix table holds.
 BLOCK = 1 << 16
 ROW = 4096
-_CACHE = 300_000
+_CACHE = 600_000
 _BOUNDARY = regex.compile(r"(?<=\S)\s")
 _WIDE_SPACE = regex.compile(r"(?<!\s)\s{2,}(?=\S)")
 # Suffixes that are split off, of which a part alone is split otherwise.
@@ -79,7 +79,7 @@ class PrefixCounter:
         """Words known: where their counts lie in ``flat``, how many, and the last of them."""
         self.index: dict[str, int] = {}
         self.start, self.length, self.last = (np.zeros(_CACHE, np.int64) for _ in range(3))
-        self.flat, self.used = np.zeros(8 * _CACHE, np.int32), 0
+        self.flat, self.used = np.zeros(4 * _CACHE, np.int32), 0
 
     def merges_apart(self, left: str, right: str) -> bool:
         """Whether two tokens side by side stay two tokens.
@@ -98,22 +98,22 @@ class PrefixCounter:
                 return True
         return False
 
-    def compatible(self, left: str, right: str) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) > 4 * _CACHE:
-                self.fits.clear()
-            found = self.fits[left, right] = not left or self.merges_apart(left, right)
-        return found
-
     def dynamic(self, word: str) -> np.ndarray:
         """Tokens of each non-empty prefix of ``word``, taken as one piece."""
         data = word.encode("utf-8", "surrogatepass")
-        count, last = [0] * (len(data) + 1), [""] * (len(data) + 1)
-        for end, token in self.tokens.iter("".join(map(self.letters.__getitem__, data))):
-            at = end + 1 - len(token)
-            if not last[end + 1] and self.compatible(last[at], token):
-                last[end + 1], count[end + 1] = token, count[at] + 1
+        count, last, fits = [0] * (len(data) + 1), [""] * (len(data) + 1), self.fits
+        if len(fits) > _CACHE:
+            fits.clear()
+        for end, token in self.tokens.iter(data.decode("latin-1").translate(self.letters)):
+            end += 1
+            if not last[end]:
+                at = end - len(token)
+                pair = (last[at], token)
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = fits[pair] = not at or self.merges_apart(*pair)
+                if fit:
+                    last[end], count[end] = token, count[at] + 1
         counts = np.array(count[1:], np.int32)
         if len(data) > len(word):
             counts = counts[np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in word]) - 1]
@@ -136,7 +136,7 @@ class PrefixCounter:
 
     def tables(self, words: list[str]) -> np.ndarray:
         """Counts at the prefixes of the text that these pieces make."""
-        if len(self.index) > _CACHE or self.used > 8 * _CACHE:
+        if len(self.index) > _CACHE or self.used > 16 * _CACHE:
             self.forget()
         known = self.index
         at = np.array([known[w] if w in known else self.learn(w) for w in words], np.int64)
