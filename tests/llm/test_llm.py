@@ -301,7 +301,7 @@ def test_vectors_in_cells_and_chunks(spark, group):
 
 @pytest.mark.parametrize("url, verdict", [("http://a.casino-win.net/x", "block"), ("http://casinos.net/", "allow"), ("http://free.bets.net", "block"), ("http://free-free.net", "allow"), (None, "allow"), ("x", "allow")])
 def test_url_vocabulary(url, verdict):
-    assert urls.vocabulary_verdict(url) == verdict
+    assert urls.vocabulary_verdict(url, urls.automaton(urls.TERMS)) == verdict
 
 
 def test_url_rules(spark):
@@ -612,11 +612,11 @@ def test_url_vocabulary_from_a_table(spark):
     terms = sorted({"".join(r.choices(letters, k=r.randint(2, 5))) for _ in range(6000)})
     rows = [(t.upper() if i % 2 else f" {t} ", 1.0 if i % 5 == 0 else 0.5) for i, t in enumerate(terms)] + [(None, 1.0), ("", 1.0), ("zz", None), (terms[1], 0.1)]
     made = urls.vocabulary(spark.createDataFrame(rows, "term string, weight double"))
-    assert made["strict"] == tuple(terms[::5]) and len(made["soft"]) == len(terms) - len(terms[::5])
+    assert made == {t: 1.0 if i % 5 == 0 else 0.5 for i, t in enumerate(terms)}
     pages = [(i, "http://h/" + "".join(r.choices(letters + "-/.", k=r.randint(0, 40)))) for i in range(400)] + [(900, None), (901, ""), (902, "http://h/" + "ab" * 200_000), (903, "http://h/" + "zz/" * 100_000), (903, "http://h/" + "zz/" * 100_000)]
     df = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'k' as _by", "'x' as host", "7 as `a.b`")
-    got = urls.filter_urls(df, rules=(), **made).collect()
-    strict, soft = set(made["strict"]), set(made["soft"])
+    got = urls.filter_urls(df, rules=(), terms=made).collect()
+    strict, soft = ({t for t, w in made.items() if w == x} for x in (1.0, 0.5))
     assert len(got) == len(pages) and all(x._by == "k" and x["a.b"] == 7 for x in got)
     for x in got:
         words = set(re.split("[^a-z0-9]", (x.url or "").lower()))
