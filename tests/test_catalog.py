@@ -60,7 +60,7 @@ def test_slug(spark, text, slug):
 
 def test_sampled_counts_are_of_the_sample(spark):
     found = QUERIES["sampled_counts"](spark, SF).agg(F.sum("original"), F.sum("sampled")).first()
-    assert tuple(found) == (QUERIES["parse_note"](spark, SF).count(), QUERIES["sample_if_needed"](spark, SF).count())
+    assert tuple(found) == (QUERIES["parse_note"](spark, SF).count(), QUERIES["sample_notes_if_needed"](spark, SF).count())
 
 
 def test_slugs_of_all_documents(spark):
