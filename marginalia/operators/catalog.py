@@ -74,8 +74,13 @@ def concepts(notes: DataFrame) -> DataFrame:
 
 
 def hub_suggestions(notes: DataFrame, hubs: DataFrame, least: int = 3) -> DataFrame:
-    counted = concepts(notes).groupBy("concept").agg(F.count(F.lit(1)).alias("n_notes"), F.min("stem").alias("first_note"))
-    return counted.where(F.col("n_notes") >= least).join(hubs.withColumnRenamed("name", "concept"), "concept", "left_anti")
+    """``concept, n_notes, stem``: concepts of at least ``least`` notes that are no hub yet, a row for each of their notes.
+
+    The list of a concept's notes stays rows, so that one that half of all notes share is no single value.
+    """
+    found = concepts(notes).join(hubs.withColumnRenamed("name", "concept"), "concept", "left_anti")
+    counted = found.groupBy("concept").agg(F.count(F.lit(1)).alias("n_notes")).where(F.col("n_notes") >= least)
+    return found.join(counted, "concept").select("concept", "n_notes", "stem")
 
 
 def theme_pairs(notes: DataFrame) -> DataFrame:

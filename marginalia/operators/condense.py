@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # The dimensions each category draws on, in order.
 CATEGORIES = {
@@ -25,6 +25,23 @@ def confidence(items: Column, text: Column) -> Column:
     return F.when((items < 50) | (hedges >= 3), "low").when((items < 200) | (hedges >= 1), "medium").otherwise("high")
 
 
+#: Below so many items an analysis is warned of.
+VOLUMES = ((10, "very few notes"), (50, "few notes"), (200, "some notes"))
+
+
+def confidence_by(rows: DataFrame, group: str, text: str) -> DataFrame:
+    """``<group>, n, level, warning``: :func:`confidence` of each group's items, a hedging phrase counting once for a group, and
+    the warning for its volume. Null is a group; one pass, with partial counts."""
+    hedged = [F.coalesce(F.max(F.lower(text).contains(h).cast("int")), F.lit(0)).alias(f"_h{i}") for i, h in enumerate(HEDGES)]
+    counted = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *hedged)
+    hedges = sum((F.col(f"_h{i}") for i in range(len(HEDGES))), F.lit(0))
+    level = F.when((F.col("n") < 50) | (hedges >= 3), "low").when((F.col("n") < 200) | (hedges >= 1), "medium").otherwise("high")
+    warning = F.lit(None).cast("string")
+    for below, words in reversed(VOLUMES):
+        warning = F.when(F.col("n") < below, words).otherwise(warning)
+    return counted.select(group, "n", level.alias("level"), warning.alias("warning"))
+
+
 def category_defs(spark: SparkSession) -> DataFrame:
     """``category, pos, dimension``: the fixed definitions, one row each source."""
     return spark.createDataFrame([(c, i, d) for c, ds in CATEGORIES.items() for i, d in enumerate(ds)], "category string, pos int, dimension string")
@@ -56,14 +73,32 @@ def corpus_mark(analyses: DataFrame) -> DataFrame:
     return analyses.groupBy("run_id").agg(F.concat_ws(":", *[x.cast("string") for x in parts]).alias("mark"))
 
 
-def resume_plan(analyses: DataFrame, saved: DataFrame) -> DataFrame:
-    """What to do with each run: ``restart`` if its corpus changed since the checkpoint, ``done``, or ``resume``; and how many dimensions are left."""
-    left = pending_dimensions(analyses).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_left"))
-    now = corpus_mark(analyses)
-    both = now.join(left, "run_id", "left").join(saved.withColumnRenamed("mark", "_saved"), "run_id", "left")
-    n_left = F.coalesce("n_left", F.lit(0))
-    same = F.coalesce(F.col("mark") == F.col("_saved"), F.lit(False))
-    return both.select("run_id", F.when(~same, "restart").when(n_left == 0, "done").otherwise("resume").alias("action"), F.when(same, n_left).otherwise(F.lit(len(DIMENSIONS))).cast("long").alias("n_left"))
+def merged_results(saved: DataFrame) -> DataFrame:
+    """``run_id, dimension, ok`` of an append-only table ``run_id, dimension, seq, error``: of what was saved more than once the last
+    counts, and a result with an error is no result."""
+    last = saved.groupBy("run_id", "dimension").agg(F.max_by(F.struct("error"), "seq").alias("last"))
+    return last.select("run_id", "dimension", F.col("last.error").isNull().alias("ok"))
+
+
+def resume_plan(phases: DataFrame, saved: DataFrame, checkpoints: DataFrame, now: DataFrame) -> DataFrame:
+    """``run_id, position, phase, action, n_done, n_left, pending``: a row for each run and phase.
+
+    ``phases`` has ``position, phase, dimension``; ``saved`` the results of all attempts (see :func:`merged_results`); ``checkpoints``
+    ``run_id, seq, position, mark``, of which a run's last counts; ``now`` ``run_id, mark``: the runs, with the fingerprint of their
+    corpus. Where the fingerprint differs, or there is no checkpoint, the run starts again and nothing saved counts (``restart``).
+    Else phases up to the checkpoint are ``done``, whatever failed in them; in later ones what was saved is taken over,
+    so the first of them that lacks something is resumed in its middle (``resume``), those behind it wait (``wait``), and
+    those that lack nothing are done. ``pending`` lists what is left, by name.
+    """
+    last = checkpoints.groupBy("run_id").agg(F.max_by(F.struct("position", "mark"), "seq").alias("c"))
+    runs = now.join(last, "run_id", "left").select("run_id", F.coalesce(F.col("c.mark") == F.col("mark"), F.lit(False)).alias("same"), F.col("c.position").alias("reached"))
+    every = runs.crossJoin(F.broadcast(phases))  # a fixed list of some thirty rows beside each run
+    found = every.join(merged_results(saved), ["run_id", "dimension"], "left")
+    done = F.col("same") & ((F.col("position") <= F.col("reached")) | F.coalesce("ok", F.lit(False)))
+    parts = found.groupBy("run_id", "same", "position", "phase").agg(F.count_if(done).alias("n_done"), F.count_if(~done).alias("n_left"), F.array_sort(F.collect_list(F.when(~done, F.col("dimension")))).alias("pending"))
+    first = F.min(F.when(F.col("n_left") > 0, F.col("position"))).over(Window.partitionBy("run_id"))  # a run has a handful of phases
+    action = F.when(~F.col("same"), "restart").when(F.col("n_left") == 0, "done").when(F.col("position") == first, "resume").otherwise("wait")
+    return parts.select("run_id", "position", "phase", action.alias("action"), "n_done", "n_left", "pending")
 
 
 PROFILE = "map<string,map<string,struct<value:string,confidence:string>>>"

@@ -39,12 +39,13 @@ def unique_names(rows: DataFrame, folder: str, name: str, *order: Column | str)
 def page_budget(pages: DataFrame, max_pages: int = 100, max_chars: int = 100_000) -> DataFrame:
     """``doc, page_no, page_text``: the pages of each document that are read, and whether reading stopped at the characters.
 
-    Pages are read in order until ``max_pages``, or until as many characters are reached; the page that reaches them is kept.
+    Pages are read in order until ``max_pages``, or until as many characters are reached; the page that reaches them is kept. A
+    document of very many pages is cut into ranges of them.
     """
-    sofar = Window.partitionBy("doc").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = pages.withColumn("_chars", F.sum(F.length("page_text")).over(sofar)).withColumn("_place", F.row_number().over(Window.partitionBy("doc").orderBy("page_no")))
-    kept = counted.where((F.col("_chars") - F.length("page_text") < max_chars) & (F.col("_place") <= max_pages))
-    return kept.withColumn("is_last", F.col("_chars") >= max_chars).drop("_chars", "_place")
+    size = F.coalesce(F.length("page_text"), F.lit(0)).cast("long")
+    counted = earlier_in_group(earlier_in_group(pages, size, ["doc"], "page_no", name="_chars"), F.lit(1), ["doc"], "page_no", name="_place")
+    kept = counted.where((F.col("_chars") < max_chars) & (F.col("_place") < max_pages))
+    return kept.withColumn("is_last", F.col("_chars") + size >= max_chars).drop("_chars", "_place")
 
 
 def document_info(files: DataFrame) -> DataFrame:

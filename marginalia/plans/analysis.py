@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import messages as M, pages as P, text as T
-from ..operators import catalog as C, condense, sampling
+from ..operators import catalog as C, condense, runs, sampling
 from ..sources.sinks import shared_folder
 from ..sources.standins import NOTES_SQL, note_files, read
 from ..streaming import captures
@@ -174,12 +174,30 @@ def pending_dimensions(s, d):
     return condense.pending_dimensions(analyses(s, d))
 
 
-@query(f"{A} SELECT run_id, CASE WHEN run_id % 4 = 0 THEN 'restart' WHEN count(*) = {_D} THEN 'done' ELSE 'resume' END AS action, CASE WHEN run_id % 4 = 0 THEN {_D} ELSE {_D} - count(*) END AS n_left FROM analyses GROUP BY run_id")
+_PHASE_ROWS = ", ".join(f"({i}, '{p}', '{x}')" for i, (p, xs) in enumerate(runs.PHASES.items()) for x in xs)
+_N_DIMS = len(runs.ROWS)
+
+
+@query(f"""WITH phases(position, phase, dimension) AS (VALUES {_PHASE_ROWS}), numbered AS (SELECT *, row_number() OVER (ORDER BY position, dimension) - 1 AS i FROM phases),
+ d AS (SELECT doc_id // {_N_DIMS} AS run_id, doc_id % {_N_DIMS} AS i, length(text) < 200 OR text IS NULL AS failed FROM documents), r AS (SELECT DISTINCT run_id, run_id % 4 <> 0 AS same, run_id % 3 - 1 AS reached FROM d),
+ f AS (SELECT r.*, p.*, r.same AND (p.position <= reached OR coalesce(NOT d.failed, false)) AS done FROM r CROSS JOIN numbered p LEFT JOIN d ON d.run_id = r.run_id AND d.i = p.i),
+ g AS (SELECT run_id, same, position, phase, count(*) FILTER (done) AS n_done, count(*) FILTER (NOT done) AS n_left, coalesce(string_agg(dimension, ',' ORDER BY dimension) FILTER (NOT done), '') AS pending FROM f GROUP BY ALL)
+ SELECT run_id, position, phase, CASE WHEN NOT same THEN 'restart' WHEN n_left = 0 THEN 'done' WHEN position = min(CASE WHEN n_left > 0 THEN position END) OVER (PARTITION BY run_id) THEN 'resume' ELSE 'wait' END AS action, n_done, n_left, pending FROM g""")
 def resume_plan(s, d):
-    """The checkpoint of every fourth run is of a corpus edited since, at equal length, or missing."""
-    rows = analyses(s, d)
-    edited = rows.withColumn("content", F.when(F.col("run_id") % 4 == 0, F.concat(F.expr("substring(content, 2)"), F.lit("#"))).otherwise(F.col("content")))
-    return condense.resume_plan(rows, condense.corpus_mark(edited).where("run_id % 8 <> 0"))
+    """Documents as saved results, first failed attempts and then the real ones, those under 200 characters failed for good; checkpoints
+    of three phases by turns, the first of them outdated; every fourth run's corpus was edited since, or has no checkpoint."""
+    names = [(i, p, x) for i, (p, xs) in enumerate(runs.PHASES.items()) for x in xs]
+    phases = s.createDataFrame(names, "position int, phase string, dimension string")
+    ordered = [x for _, _, x in sorted(names, key=lambda r: (r[0], r[2]))]
+    docs = read(s, d, "documents").select(F.expr(f"doc_id div {_N_DIMS}").alias("run_id"), F.element_at(F.array(*map(F.lit, ordered)), (F.col("doc_id") % _N_DIMS + 1).cast("int")).alias("dimension"), F.coalesce("text", F.lit("")).alias("content"))
+    error = F.when(F.length("content") < 200, "too short")
+    saved = docs.select("run_id", "dimension", F.lit(2).alias("seq"), error.alias("error")).union(docs.select("run_id", "dimension", F.lit(1), F.lit("timed out")))
+    now, run = condense.corpus_mark(docs), F.col("run_id")
+    edited = docs.withColumn("content", F.when(run % 4 == 0, F.concat("content", F.lit("#"))).otherwise(F.col("content")))
+    marks = condense.corpus_mark(edited).where("run_id % 8 <> 0")
+    checkpoints = marks.select("run_id", F.lit(2).alias("seq"), (run % 3 - 1).cast("int").alias("position"), "mark").union(marks.select("run_id", F.lit(1), F.lit(9), F.lit("old")))
+    plan = condense.resume_plan(phases, saved, checkpoints, now)
+    return plan.select("run_id", "position", "phase", "action", "n_done", "n_left", F.array_join("pending", ",").alias("pending"))
 
 
 def profiles(s: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from ipaddress import ip_network
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
-from ..operators import catalog as C, hosts as H, metered, search, words as X
+from ..operators import catalog as C, condense, hosts as H, metered, search, words as X
 from ..operators.order import earlier_in_group, row_index
 from ..sources.sinks import shared_folder
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, STATE_SQL, capture_events, messages, note_files, read
@@ -84,7 +84,7 @@ def hub_connectivity(s, d):
     return C.links(notes(s, d)).join(known, "dst", "left_semi").groupBy(F.col("dst").alias("hub")).agg(n("n_links"))
 
 
-@query(f"{CONCEPTS} SELECT concept, count(*) AS n_notes, min(stem) AS first_note FROM concepts WHERE concept NOT IN (SELECT lang FROM documents UNION SELECT source FROM documents) GROUP BY concept HAVING count(*) >= 3")
+@query(f"{CONCEPTS} SELECT concept, n_notes, stem FROM (SELECT concept, stem, count(*) OVER (PARTITION BY concept) AS n_notes FROM concepts WHERE concept NOT IN (SELECT lang FROM documents UNION SELECT source FROM documents)) WHERE n_notes >= 3")
 def hub_suggestions(s, d):
     return C.hub_suggestions(notes(s, d), hubs(s, d))
 
@@ -137,10 +137,10 @@ def growth_phases(s, d):
     return C.growth_phases(note_files(s, d).select(moved.alias("created_at")))
 
 
-@query(f"{N} SELECT CASE WHEN words < 100 THEN 'low' WHEN words < 400 THEN 'medium' ELSE 'high' END AS level, count(*) AS n FROM notes GROUP BY ALL")
+@query(f"WITH g AS (SELECT source, count(*) AS n, {' + '.join(f'bool_or(contains(lower(text), {chr(39)}{h}{chr(39)}))::INT' for h in condense.HEDGES)} AS hedges FROM documents GROUP BY source) SELECT source, n, CASE WHEN n < 10 OR n < 50 OR hedges >= 3 THEN 'low' WHEN n < 200 OR hedges >= 1 THEN 'medium' ELSE 'high' END AS level, CASE WHEN n < 10 THEN 'very few notes' WHEN n < 50 THEN 'few notes' WHEN n < 200 THEN 'some notes' END AS warning FROM g")
 def confidence_level(s, d):
-    w = F.col("word_count")
-    return notes(s, d).groupBy(F.when(w < 100, "low").when(w < 400, "medium").otherwise("high").alias("level")).agg(n())
+    """By source: how far its notes carry an analysis, by their number and the hedging phrases in them, and the warning that goes with so few."""
+    return condense.confidence_by(read(s, d, "documents"), "source", "text")
 
 
 @query(f"{N}, r AS (SELECT stem, row_number() OVER (ORDER BY created, stem) - 1 AS i, count(*) OVER () AS n FROM notes), k AS (SELECT (j * (SELECT count(*) FROM notes)) // 100 AS i FROM range(100) t(j)) SELECT stem FROM r WHERE i IN (SELECT i FROM k)")
