@@ -117,14 +117,14 @@ def corpus_transcript(s, d):
     return C.transcript(items(s, d)).select("part", "id", F.md5("line").alias("line_md5"))
 
 
-_READABLE = "replace(regexp_replace(text, '[^\\x20-\\x7E\\x{A0}-\\x{2FFF}]', ' ', 'g'), '---', '- -')"
+_READABLE = "regexp_replace(regexp_replace(text, '[^\\x20-\\x7E\\x{A0}-\\x{2FFF}]', ' ', 'g'), '-{3,}', '- -', 'g')"
 
 
 @query(f"SELECT doc_id, lang, source, length(text)::BIGINT AS n_chars, md5({_READABLE}) AS quoted_md5, doc_id % 5 = 4 AS broken FROM documents WHERE doc_id % 5 <> 4 AND text IS NOT NULL UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, true FROM documents WHERE doc_id % 5 = 4 AND text IS NOT NULL")
 def parse_frontmatter(s, d):
     """Each text quoted inside nested frontmatter, beside lists and maps; in one of five a list does not end."""
-    rows = read(s, d, "documents").where("text is not null").withColumn("readable", F.replace(F.regexp_replace("text", r"[^\x20-\x7E\x{A0}-\x{2FFF}]", " "), F.lit("---"), F.lit("- -")))
-    quoted = F.concat(F.lit('"'), F.regexp_replace("readable", r'(["\\\\])', r"\\\\$1"), F.lit('"'))
+    rows = read(s, d, "documents").where("text is not null").withColumn("readable", F.regexp_replace(F.regexp_replace("text", r"[^\x20-\x7E\x{A0}-\x{2FFF}]", " "), "-{3,}", "- -"))
+    quoted = F.concat(F.lit('"'), F.regexp_replace("readable", r'(["\\])', r"\\$1"), F.lit('"'))
     front = F.concat(F.lit("lang: "), "lang", F.lit("\nmeta:\n  from: ["), "source", F.lit(", other]\n  size: {chars: "), F.length("text").cast("string"), F.when(F.col("doc_id") % 5 == 4, "").otherwise(F.lit("}")), F.lit("\nsaid: "), quoted, F.lit("\n"))
     found = Y.with_frontmatter(rows.select("doc_id", F.concat(F.lit("---\n"), front, F.lit("---\n# Note\n")).alias("content")))
     get = lambda path, kind="string": F.try_variant_get("frontmatter", path, kind)
