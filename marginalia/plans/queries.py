@@ -9,6 +9,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as T
 from ..operators import catalog as C, condense, hosts as H, metered, search, words as X
 from ..operators.order import earlier_in_group, row_index
+from ..sources import files
 from ..sources.sinks import shared_folder
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, STATE_SQL, capture_events, messages, note_files, read
 from .registry import ORACLE_SQL, QUERIES, query
@@ -262,7 +263,15 @@ def tweets(s, d):
 
 @query("SELECT event_id::VARCHAR AS tweet_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS created_at, 'saw ' || event_type AS bare, CASE WHEN event_type = 'click' THEN 'user' || (user_id % 10) END AS reply_to FROM events")
 def scan_tweet_archive(s, d):
-    return tweets(s, d).select("tweet_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), T.strip(T.strip_urls(F.col("text"))).alias("bare"), "reply_to")
+    """All events written as an export of several script files, and read back in byte ranges."""
+    path, part = shared_folder(s, "export"), F.pmod(F.xxhash64("json"), F.lit(int(s.conf.get("spark.sql.shuffle.partitions"))))
+    posts = archive(s, d).select(part.alias("part"), F.lit(1).alias("place"), F.concat("json", F.lit(",")).alias("line"))
+    parts = posts.select("part").distinct()
+    head = parts.select("part", F.lit(0).alias("place"), F.concat(F.lit("window.YTD.tweets.part"), F.col("part").cast("string"), F.lit(" = [")).alias("line"))
+    foot = parts.select("part", F.lit(2).alias("place"), F.lit("];").alias("line"))
+    posts.union(head).union(foot).repartition("part").sortWithinPartitions("part", "place").select("line").write.text(path)
+    found = files.scan_archive(s, f"{path}/*.txt")
+    return found.select("tweet_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), T.strip(T.strip_urls(F.col("text"))).alias("bare"), "reply_to")
 
 
 @query("SELECT year(ts)::INT AS year, count(*) AS n FROM events GROUP BY ALL")
