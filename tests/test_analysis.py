@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import pages as P
 from marginalia.operators import catalog as C, sampling
 from marginalia.sources import sinks
-from marginalia.streaming import captures
+from marginalia.streaming import captures, images
 
 
 @pytest.mark.parametrize("html, want", [
@@ -44,23 +44,27 @@ def test_sinks(spark, tmp_path):
 
 
 def test_images_wait_for_the_next_text(spark, tmp_path):
-    """Two runs over one checkpoint: what waits in the first is found by the second, and nothing is read twice."""
+    """Three runs over one checkpoint: what waits in one is found by a later one, nothing is read twice, and nothing comes out before
+    the watermark has passed it."""
     source, out = tmp_path / "in", f"{tmp_path}/out"
     source.mkdir()
 
     def put(name, rows):
         (source / name).write_text("\n".join(json.dumps(dict(zip(("message_id", "chat_id", "ts", "kind", "text"), r))) for r in rows))
-        rows = captures.associate_images(captures.stream_messages(spark, str(source)))
+        rows = images.associate_images(captures.stream_messages(spark, str(source)))
         captures.write_once(rows, out, f"{tmp_path}/marks").trigger(availableNow=True).start().awaitTermination()
         return {(r.image_id, r.text_id) for r in spark.read.schema("image_id long, chat_id long, text_id long").parquet(out).collect()}
 
-    at = "2024-01-01T00:00:{:02d}Z"
-    first = put("a.json", [(1, 7, at.format(1), "photo", None), (2, 7, at.format(2), "text", "x"), (3, 7, at.format(3), "photo", None), (4, 8, at.format(4), "photo", None)])
-    assert first == {(1, 2)}
-    second = put("b.json", [(5, 7, at.format(5), "command", "/x"), (6, 7, at.format(6), "captioned", "y"), (7, 9, at.format(7), "text", "z")])
-    assert second == {(1, 2), (3, 6)}
-    late = put("c.json", [(8, 9, "2024-03-01T00:00:00Z", "text", "later")])
-    assert late == {(1, 2), (3, 6), (4, None)}
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, images.ROCKSDB)
+    try:
+        at = "2024-01-01T00:00:{:02d}Z"
+        assert put("a.json", [(1, 7, at.format(1), "photo", None), (2, 7, at.format(2), "text", "x"), (3, 7, at.format(3), "photo", None), (4, 8, at.format(4), "photo", None)]) == set()
+        assert put("b.json", [(5, 7, at.format(5), "command", "/x"), (6, 7, at.format(6), "captioned", "y"), (7, 9, at.format(7), "text", "z"), (9, 9, "2024-01-01T01:00:00Z", "photo", None)]) == {(1, 2), (3, 6)}
+        assert put("c.json", [(8, 9, "2024-03-01T00:00:00Z", "text", "later")]) == {(1, 2), (3, 6), (4, None), (9, None)}
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_messages_come_once(spark, tmp_path):

@@ -12,7 +12,7 @@ from marginalia.operators import catalog as C, hosts as H, condense
 from marginalia.operators.files import unique_names
 from marginalia.operators.order import earlier_in_group, row_index
 from marginalia.sources import files
-from marginalia.streaming import captures
+from marginalia.streaming import queue
 
 BODY = "I keep coming back to the same thought, and it *matters* to me."
 GOOD = f"---\nsource: chat\ncaptured_at: 2026-06-12T12:00:00\nsurface: phone\ntags: [raw]\n---\n# A thought\n\n## Raw Capture\n{BODY}\n\n## Initial Interpretation\nA note on a thought.\n"
@@ -76,17 +76,21 @@ def test_hub_note(spark):
 
 
 def test_rounds_of_the_queue(spark, tmp_path):
-    """Two rounds of three: urgent ones first, the rest later, nothing twice; new arrivals join in."""
+    """Rounds of three: urgent ones first, the rest later, nothing twice; new arrivals join in."""
     feed, root, marks = (str(tmp_path / x) for x in ("feed", "root", "marks"))
     kinds = "message_id long, priority int"
-    run = lambda: captures.process_periodically(spark.readStream.schema(kinds).parquet(feed), root, marks, lambda q: q, 3).trigger(availableNow=True).start().awaitTermination()
+
+    def run():
+        rows = spark.readStream.schema(kinds).parquet(feed)
+        queue.drain(spark, queue.process_periodically(rows, root, marks, lambda q: q, 3).trigger(processingTime="1 second").start(), root, rows.schema, most_seconds=120)
+        return sorted((r.round, r.message_id) for r in spark.read.schema(f"{kinds}, round int").parquet(f"{root}/done").collect())
+
     spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 1), (5, 3)], kinds).coalesce(1).write.parquet(feed)
-    run()
-    first = {r.message_id for r in spark.read.parquet(f"{root}/done/round=0").collect()}
-    assert first == {2, 4, 1}
+    first = run()
+    assert first == [(0, 1), (0, 2), (0, 4), (1, 3), (1, 5)]
     spark.createDataFrame([(6, 1)], kinds).coalesce(1).write.mode("append").parquet(feed)
-    run()
-    assert {r.message_id for r in spark.read.parquet(f"{root}/done/round=1").collect()} == {6, 3, 5}
+    later = run()
+    assert [m for _, m in later if (_, m) not in first] == [6] and len(later) == 6
 
 
 def test_missing_folder(spark, tmp_path):
