@@ -7,8 +7,8 @@ from ipaddress import ip_network
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
-from ..operators import catalog as C, condense, hosts as H, metered, search, words as X
-from ..operators.order import earlier_in_group, row_index
+from ..operators import catalog as C, condense, hosts as H, metered, profile, search, words as X
+from ..operators.order import earlier_in_group, row_index, stable
 from ..sources import files
 from ..sources.sinks import shared_folder
 from ..sources.standins import MESSAGES_SQL, NOTES_SQL, STATE_SQL, capture_events, messages, note_files, read
@@ -430,10 +430,27 @@ def channel_contrast(s, d):
     return X.channel_contrast(notes.unionByName(posts), "private", "public")
 
 
-@query(f"{N} SELECT lang, count(*) AS n, sum(words)::BIGINT AS words, round(avg(words), 6) AS mean_words, count(*) FILTER (contains(text, '?')) AS questions FROM notes GROUP BY ALL")
+_Q = (0.5, 0.9, 0.99)
+
+
+@query(f"""{N}, w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM notes), k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL),
+ r AS (SELECT lang, string_agg(term || ':' || c, ',' ORDER BY c DESC, term) AS recurring FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, term) <= 10) GROUP BY lang),
+ o AS (SELECT lang, words, row_number() OVER (PARTITION BY lang ORDER BY words) AS place, count(*) OVER (PARTITION BY lang) AS n FROM notes),
+ a AS (SELECT lang, count(*) AS n, sum(words)::BIGINT AS words, round(avg(words), 6) AS mean_words, count(*) FILTER (contains(text, '?')) AS questions FROM notes GROUP BY ALL),
+ p AS (SELECT lang, {', '.join(f'min(words) FILTER (place >= greatest(1, ceil(n * {q}::DOUBLE)))::BIGINT AS p{int(q * 100)}' for q in _Q)} FROM o GROUP BY lang)
+ SELECT a.*, p50, p90, p99, recurring FROM a JOIN p ON p.lang IS NOT DISTINCT FROM a.lang LEFT JOIN r ON r.lang IS NOT DISTINCT FROM a.lang""")
 def vocabulary_profile(s, d):
-    f = note_files(s, d).withColumn("words", T.word_count(F.col("text")))
-    return f.groupBy("lang").agg(n(), F.sum("words").alias("words"), F.round(F.avg("words"), 6).alias("mean_words"), F.count_if(F.col("text").contains("?")).alias("questions"))
+    """By language, from sketches of each source that are merged: texts, words, questions, quantiles of the length, and the ten words that
+    recur most, exact."""
+    texts = read(s, d, "documents").select("lang", "source", "text")
+    sketches = stable(profile.merged(profile.text_sketches(texts, ["lang", "source"]), ["lang"]))
+    lang = lambda df: df.withColumnRenamed("lang", "_lang")
+    lengths = lang(profile.length_quantiles(texts, ["lang"], _Q, sketches=sketches)).groupBy("_lang").agg(*[F.max(F.when(F.col("q") == q, F.col("length"))).alias(f"p{int(q * 100)}") for q in _Q])
+    words = lang(profile.recurring_words(texts, ["lang"], sketches=sketches)).groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "n"))).alias("w"))
+    said = F.array_join(F.transform("w", lambda x: F.concat(x["term"], F.lit(":"), x["n"].cast("string"))), ",")
+    rows = sketches.select("lang", "n", F.col("n_words").alias("words"), F.round(F.col("n_words") / F.col("n"), 6).alias("mean_words"), F.col("n_questions").alias("questions"))
+    rows = rows.join(lengths, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").join(words.select("_lang", said.alias("recurring")), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return rows.drop("_lang")
 
 
 _MARK = "('0x' || substr(md5(stem || chr(10) || left(text, 100)), 1, 8))::BIGINT"

@@ -37,7 +37,7 @@ def write_page_artifacts(s, d):
     return kept.select("stem", F.md5("html").alias("html_md5"), F.md5("extracted").alias("text_md5"))
 
 
-@query("SELECT doc_id // 23 AS run_id, count(*) AS n, count(*) FILTER (doc_id % 5 = 0) AS low, sum(length(text))::BIGINT AS n_chars FROM documents WHERE length(text) >= 200 GROUP BY 1")
+@query("SELECT doc_id // 23 AS run_id, count(*) AS n, count(*) FILTER (doc_id % 5 = 0) AS low, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM documents GROUP BY 1")
 def write_analysis_results(s, d):
     out = sinks.shared_folder(s, "results")
     rows = analyses(s, d).withColumn("phase", F.lit("all"))
