@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import markup as W, text as T
-from .order import evenly, row_index, running_total, stable
+from .order import earlier_in_group, evenly, row_index, running_total, stable
 
 
 def parse_notes(files: DataFrame, *more: Column) -> DataFrame:
@@ -231,18 +231,13 @@ def number_images(images: DataFrame, existing: DataFrame) -> DataFrame:
     """Add ``name``: ``image-001.jpg`` and so on by ``day`` and ``extension``, in order of ``ts, message_id``, after the largest number
     that ``existing`` (day, extension, name) has there; other names there do not count.
 
-    Positions are made of the counts of each hour and a rank inside it, so a busy day is not one task.
+    Positions are counted by ranges of day, extension and order, so that a busy hour is not one task.
     """
     taken = F.try_to_number(F.nullif(F.regexp_extract("name", r"^image-(\d{1,9})(?:-|\.|$)", 1), F.lit("")), F.lit("999999999")).cast("long")
     last = existing.groupBy("day", "extension").agg(F.max(taken).alias("last"))
-    timed = images.withColumn("hour", F.date_trunc("hour", "ts"))
-    hours = timed.groupBy("day", "extension", "hour").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("day", "extension").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
-    starts = hours.select("day", "extension", "hour", F.coalesce(before, F.lit(0)).alias("before")).join(last, ["day", "extension"], "left")
-    rank = F.row_number().over(Window.partitionBy("day", "extension", "hour").orderBy("ts", "message_id"))
-    number = F.coalesce("last", F.lit(0)) + F.col("before") + rank
-    named = timed.join(starts, ["day", "extension", "hour"]).withColumn("name", F.concat(F.format_string("image-%03d", number), "extension"))
-    return named.select(*images.columns, "name")
+    placed = earlier_in_group(images, F.lit(1), ["day", "extension"], "ts", "message_id", name="_before").join(last, ["day", "extension"], "left")
+    number = F.coalesce("last", F.lit(0)) + F.col("_before") + 1
+    return placed.withColumn("name", F.concat(F.format_string("image-%03d", number), "extension")).select(*images.columns, "name")
 
 
 def theme_frequency(notes: DataFrame, examples: int = 3) -> DataFrame:

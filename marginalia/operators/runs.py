@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import token_estimate, word_count
 from .condense import filled
+from .sampling import KEPT, SPREAD, BY_SCORE
 
 # Each phase's dimensions with the tier they run in and the tokens they are expected to give.
 PHASES = {
@@ -48,8 +49,24 @@ def _dollars(tier: Column, tokens_in: Column, tokens_out: Column, cached: float)
     return (tokens_in * (1 - cached) * price(0) + tokens_in * cached * price(1) + tokens_out * price(2)) / 1_000_000
 
 
-def cost_rollup(totals: DataFrame, *keys: str) -> DataFrame:
-    """``tokens`` of each corpus to calls, tokens and dollars by tier, with an extraction first and half the input cached at best.
+def estimate_cost(tokens_in: Column, tokens_out: Column, cached: float | Column = 0.0, tier: Column | None = None) -> Column:
+    """``min_cost, max_cost``: dollars with the share ``cached`` of the input (whole tokens, rounded down; held between 0 and 1) from the
+    cache, and with none of it. Null tokens or shares give null."""
+    tier = F.lit("high") if tier is None else tier
+    share = cached if isinstance(cached, Column) else F.lit(float(cached))
+    # greatest and least skip nulls, which must stay
+    held = F.when(share.isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+    hit = F.floor(tokens_in * held)
+
+    def price(at: int) -> Column:
+        return F.when(tier == "high", PRICES["high"][at]).otherwise(PRICES["low"][at])
+
+    out = tokens_out * price(2)
+    return F.struct((((tokens_in - hit) * price(0) + hit * price(1) + out) / 1_000_000).alias("min_cost"), ((tokens_in * price(0) + out) / 1_000_000).alias("max_cost"))
+
+
+def cost_rollup(totals: DataFrame, *keys: str, cached: float = 0.5) -> DataFrame:
+    """``tokens`` of each corpus to calls, tokens and dollars by tier, with an extraction first and ``cached`` of the input cached at best.
 
     A corpus beyond the context is extracted in passes of ``CHUNK`` tokens; the analyses read 15 % of what fits.
     """
@@ -64,17 +81,17 @@ def cost_rollup(totals: DataFrame, *keys: str) -> DataFrame:
         first = tier == "high"
         tiers.append(F.struct(F.lit(tier).alias("tier"), F.lit(len(mine) + first).alias("calls"), (each * len(mine) + (extract_in if first else 0)).cast("long").alias("tokens_in"), (F.lit(sum(mine)) + (passes * EXTRACT if first else 0)).cast("long").alias("tokens_out")))
     rows = totals.select(*keys, F.explode(F.array(*tiers)).alias("t")).select(*keys, "t.*")
-    cost = lambda cached: _dollars(F.col("tier"), F.col("tokens_in"), F.col("tokens_out"), cached)
-    return rows.withColumn("min_cost", cost(0.5)).withColumn("max_cost", cost(0.0))
+    cost = lambda c: _dollars(F.col("tier"), F.col("tokens_in"), F.col("tokens_out"), c)
+    return rows.withColumn("min_cost", cost(cached)).withColumn("max_cost", cost(0.0))
 
 
-def cost_full_content(totals: DataFrame, *keys: str) -> DataFrame:
+def cost_full_content(totals: DataFrame, *keys: str, cached: float = 0.5) -> DataFrame:
     """The same without extraction: every call reads what fits, all in the high tier."""
     calls = len(ROWS)
     tokens_in = (F.least("tokens", F.lit(CONTEXT)) + OVERHEAD) * calls
     rows = totals.select(*keys, F.lit(calls).alias("calls"), tokens_in.cast("long").alias("tokens_in"), F.lit(sum(r[3] for r in ROWS)).cast("long").alias("tokens_out"))
-    cost = lambda cached: _dollars(F.lit("high"), F.col("tokens_in"), F.col("tokens_out"), cached)
-    return rows.withColumn("min_cost", cost(0.5)).withColumn("max_cost", cost(0.0))
+    cost = lambda c: _dollars(F.lit("high"), F.col("tokens_in"), F.col("tokens_out"), c)
+    return rows.withColumn("min_cost", cost(cached)).withColumn("max_cost", cost(0.0))
 
 
 def within_budget(max_cost: Column, budget: Column) -> Column:
@@ -173,3 +190,42 @@ def condensation_manifest(summaries: DataFrame, key: str) -> DataFrame:
 def extraction_ratio(content: Column, original_tokens: Column) -> Column:
     """Tokens of an extraction over those of what it was made from; 1 if that is empty."""
     return F.when(original_tokens == 0, 1.0).otherwise(token_estimate(word_count(content)) / original_tokens)
+
+
+#: The types that a manifest counts, by the name they have there.
+COUNTED = {"note": "notes", "reflection": "reflections", "tweet": "tweets", "image": "images"}
+
+
+def run_manifest(items: DataFrame, attempts: DataFrame, limit: int, key: str = "run_id", cached: float = 0.0) -> DataFrame:
+    """``key, content, sampling, analyses, cost``: what each run read, what it made, and what it spent, a row each run.
+
+    ``items`` has ``key, source_type, token_estimate, created_at, kept`` (whether the sampler kept the item), ``attempts`` has
+    ``key, dimension, seq, error, tokens_in, tokens_out``; of a dimension's attempts the last counts, and one with an error has failed.
+    ``content`` counts what was kept, its tokens and days; ``sampling`` has the ratio aimed at (1 if everything fits ``limit``) and, if
+    sampled, tokens and counts before and after. Hubs and unknown types count no tokens. A run may lack items (all counts
+    0, no days) or attempts (no names, no cost). Two aggregates with partial counts; a run has few dimensions.
+    """
+    kind, tokens = F.col("source_type"), F.coalesce("token_estimate", F.lit(0))
+    kept = F.coalesce("kept", F.lit(False))
+    counts = [c for k, name in COUNTED.items() for c in (F.count_if(kept & (kind == k)).alias(name), F.count_if(kind == k).alias(f"_all_{name}"))]
+    of = kind.isin(*BY_SCORE, *SPREAD) & ~kind.isin(*KEPT)
+    summed = items.groupBy(key).agg(*counts, F.sum(F.when(of & kept, tokens).otherwise(0)).cast("long").alias("_tokens"), F.sum(F.when(of, tokens).otherwise(0)).cast("long").alias("_all"),
+                                    F.min(F.when(kept & of, F.col("created_at"))).alias("_first"), F.max(F.when(kept & of, F.col("created_at"))).alias("_last"))
+    last = attempts.groupBy(key, "dimension").agg(F.max_by(F.struct("error", "tokens_in", "tokens_out"), "seq").alias("_r"))
+    failed = F.coalesce(F.col("_r.error"), F.lit("")) != ""
+    names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("dimension"))))
+    made = last.groupBy(F.col(key).alias("_key")).agg(names(~failed).alias("completed"), names(failed).alias("failed"), F.coalesce(F.sum("_r.tokens_in"), F.lit(0)).cast("long").alias("_in"), F.coalesce(F.sum("_r.tokens_out"), F.lit(0)).cast("long").alias("_out"))
+    both = summed.join(made, F.col(key).eqNullSafe(F.col("_key")), "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    sampled = F.coalesce(F.col("_all") > limit, F.lit(False))
+    ratio = F.when(sampled, F.lit(limit) / F.col("_all") * 0.95).otherwise(1.0)
+    listed = lambda mark: F.struct(*[zero(F.col(f"{mark}{name}")).alias(name) for name in COUNTED.values()])
+    details = F.when(sampled, F.struct(F.col("_all").alias("original_tokens"), F.lit(limit).cast("long").alias("target_tokens"), listed("_all_").alias("original_counts"), listed("").alias("sampled_counts")))
+    cost = estimate_cost(zero(F.col("_in")), zero(F.col("_out")), cached)
+    empty = F.array().cast("array<string>")
+    return both.select(
+        F.coalesce(key, "_key").alias(key),
+        F.struct(*[zero(F.col(name)).alias(name) for name in COUNTED.values()], zero(F.col("_tokens")).alias("total_tokens"), F.struct(F.col("_first").alias("start"), F.col("_last").alias("end")).alias("date_range")).alias("content"),
+        F.struct(sampled.alias("was_sampled"), ratio.alias("sampling_ratio"), details.alias("details")).alias("sampling"),
+        F.struct(F.coalesce("completed", empty).alias("completed"), F.coalesce("failed", empty).alias("failed")).alias("analyses"),
+        F.struct(zero(F.col("_in")).alias("total_input_tokens"), zero(F.col("_out")).alias("total_output_tokens"), ((cost["min_cost"] + cost["max_cost"]) / 2).alias("estimated_cost_usd")).alias("cost"))

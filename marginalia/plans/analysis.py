@@ -90,17 +90,17 @@ def typed_items(s: SparkSession, d: str) -> DataFrame:
 
 _DAY = "(DATE '2024-01-01' + ({} % 365)::INT)::DATE"
 _WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''))"
-_TYPED = f"""{N}, items AS (SELECT stem AS id, CASE WHEN source = 'src0' THEN 'reflection' ELSE 'note' END AS source_type, created AS created_at, {_SCORE} AS score, floor(words * 1.3::DOUBLE)::INT AS tokens FROM notes
+TYPED_WITH = f"""{N}, items AS (SELECT stem AS id, CASE WHEN source = 'src0' THEN 'reflection' ELSE 'note' END AS source_type, created AS created_at, {_SCORE} AS score, floor(words * 1.3::DOUBLE)::INT AS tokens FROM notes
  UNION ALL SELECT 'post-' || conv_id || '-' || turn, 'tweet', {_DAY.format('conv_id')}, NULL, floor({_WORDS} * 1.3::DOUBLE)::INT FROM conversations WHERE role = 'user'
  UNION ALL SELECT 'image-' || page_id, 'image', CASE WHEN page_id % 7 <> 0 THEN {_DAY.format('page_id')} END, NULL, 1000 FROM pages UNION ALL SELECT DISTINCT 'hub-' || lang, 'hub', NULL::DATE, NULL, 0 FROM documents WHERE lang IS NOT NULL),
  z AS (SELECT source_type, count(*) AS n, greatest(1, floor(count(*) * (SELECT 50000::DOUBLE / sum(tokens) * 0.95::DOUBLE FROM items)))::BIGINT AS target, greatest(1, floor(count(*) * 0.1::DOUBLE))::BIGINT AS edge FROM items GROUP BY 1),
  p AS (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY created_at NULLS FIRST, id) - 1 AS spot FROM items JOIN z USING (source_type)), e AS (SELECT *, spot < edge OR spot >= n - edge AS is_edge FROM p),
  r AS (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY score DESC, created_at NULLS FIRST, id) - 1 AS rank, n - least(n, 2 * edge) AS rest, target - least(n, 2 * edge) AS wanted FROM e WHERE source_type IN ('note', 'reflection') AND NOT is_edge),
- i AS (SELECT *, (rank * wanted + rest - 1) // rest AS i FROM r WHERE wanted > 0), t AS (SELECT *, (spot * target + n - 1) // n AS i FROM e WHERE source_type IN ('tweet', 'image'))
- SELECT id, source_type FROM e WHERE source_type = 'hub' OR source_type IN ('note', 'reflection') AND is_edge UNION ALL SELECT id, source_type FROM i WHERE wanted >= rest OR i < wanted AND i * rest // wanted = rank UNION ALL SELECT id, source_type FROM t WHERE target >= n OR i < target AND i * n // target = spot"""
+ i AS (SELECT *, (rank * wanted + rest - 1) // rest AS i FROM r WHERE wanted > 0), t AS (SELECT *, (spot * target + n - 1) // n AS i FROM e WHERE source_type IN ('tweet', 'image'))"""
+TYPED_KEPT = "SELECT id, source_type FROM e WHERE source_type = 'hub' OR source_type IN ('note', 'reflection') AND is_edge UNION ALL SELECT id, source_type FROM i WHERE wanted >= rest OR i < wanted AND i * rest // wanted = rank UNION ALL SELECT id, source_type FROM t WHERE target >= n OR i < target AND i * n // target = spot"
 
 
-@query(_TYPED)
+@query(f"{TYPED_WITH} {TYPED_KEPT}")
 def sample_if_needed(s, d):
     """Over all types, with a limit of 50,000 tokens, which every set of tables passes."""
     return sampling.sample_types(typed_items(s, d), 50_000).select("id", "source_type")

@@ -63,12 +63,6 @@ def date_range(s, d):
     return notes(s, d).agg(F.min("created_at").alias("first_day"), F.max("created_at").alias("last_day"), n())
 
 
-@query(f"{N} SELECT count(*) AS n_notes, count(mood) AS n_moods, sum(words)::BIGINT AS n_words, min(created) AS first_day, max(created) AS last_day, count(DISTINCT lang) AS n_langs FROM notes")
-def corpus_manifest(s, d):
-    t = notes(s, d)
-    return t.agg(n("n_notes"), F.count("mood").alias("n_moods"), F.sum("word_count").alias("n_words"), F.min("created_at").alias("first_day"), F.max("created_at").alias("last_day"), F.count_distinct(F.get("tags", F.lit(0))).alias("n_langs"))
-
-
 @query(f"{N} SELECT stem AS src, unnest([lang, source, prev]) AS dst FROM notes")
 def extract_wikilinks(s, d):
     return C.links(notes(s, d))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import catalog as C, condense, runs as R
+from ..functions.text import word_count
+from ..operators import catalog as C, condense, runs as R, sampling
 from ..sources.standins import NOTES_SQL, note_files, read
-from .analysis import A, analyses, profiles
+from .analysis import A, TYPED_KEPT, TYPED_WITH, analyses, profiles, typed_items
 from .registry import query
 
 N = f"WITH {NOTES_SQL}"
@@ -67,8 +68,8 @@ _COST = """{t}, r AS (SELECT source, 'high' AS tier, {nh} + 1 AS calls, ((floor(
     t=_TOTALS, nh=len(_HIGH), nl=len(_LOW), oh=sum(_HIGH), ol=sum(_LOW), p=_PASSES, ctx=R.CONTEXT)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("min_cost", F.round("min_cost", 4)).withColumn("max_cost", F.round("max_cost", 4))
+def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    return df.withColumn("min_cost", F.round("min_cost", places)).withColumn("max_cost", F.round("max_cost", places))
 
 
 @query(_COST)
@@ -175,3 +176,56 @@ def write_background(s, d):
  SELECT run_id, '{{"total_files":' || (count(*) + 1) || ',"total_words":' || sum(w)::BIGINT || ',"summaries":[' || string_agg('{{"category":"' || category || '","word_count":' || w || ',"confidence":"' || confidence || '"}}', ',' ORDER BY category) || ']}}' AS manifest FROM g GROUP BY run_id""")
 def write_condensation_manifest(s, d):
     return R.condensation_manifest(condense.gather_sources(analyses(s, d), condense.category_defs(s)), "run_id")
+
+
+_RATIOS = (0.0, 0.25, 0.9, 1.0)
+
+
+@query(f"{_TOTALS} SELECT source, cached, round((tokens - hit) * 5.0::DOUBLE / 1000000 + hit * 0.5::DOUBLE / 1000000 + (tokens // 10) * 25.0::DOUBLE / 1000000, 8) AS min_cost, round(tokens * 5.0::DOUBLE / 1000000 + (tokens // 10) * 25.0::DOUBLE / 1000000, 8) AS max_cost FROM (SELECT *, floor(tokens * cached)::BIGINT AS hit FROM t, (SELECT unnest({[*_RATIOS]}::DOUBLE[]) AS cached))")
+def estimate_cost(s, d):
+    """Reading the notes of each source, a tenth of it written, at four shares of cached input; eight places show each half millionth."""
+    rows = _totals(s, d).withColumn("cached", F.explode(F.array(*map(F.lit, _RATIOS))))
+    cost = R.estimate_cost(F.col("tokens"), F.expr("tokens div 10"), F.col("cached"))
+    return _rounded(rows.select("source", "cached", cost.alias("c")).select("source", "cached", "c.*"), 8)
+
+
+LIMIT = 50_000
+
+
+def manifests(s: SparkSession, d: str) -> DataFrame:
+    """One run over all items, sampled to 50,000 tokens; every document is an attempt at one of the dimensions, and failed if the number of
+    its words can be divided by three."""
+    every = typed_items(s, d)
+    kept = sampling.sample_types(every, LIMIT).select("id", "source_type", F.lit(True).alias("kept"))
+    items = every.join(kept, ["id", "source_type"], "left").withColumn("run_id", F.lit("all"))
+    words = word_count(F.col("text")).cast("long")
+    attempts = read(s, d, "documents").select(
+        F.lit("all").alias("run_id"), F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES) + 1).cast("int")).alias("dimension"), F.col("doc_id").alias("seq"),
+        F.when(words % 3 == 0, "timed out").alias("error"), (words + R.OVERHEAD).alias("tokens_in"), F.length(F.coalesce("text", F.lit(""))).alias("tokens_out"))
+    return R.run_manifest(items, attempts, LIMIT)
+
+
+def flat(m: DataFrame) -> DataFrame:
+    """A manifest in columns."""
+    return m.select(
+        *[F.col(f"content.{c}").alias(c) for c in ("notes", "reflections", "tweets", "images", "total_tokens")], F.col("content.date_range.start").cast("date").alias("first_day"), F.col("content.date_range.end").cast("date").alias("last_day"),
+        "sampling.was_sampled", F.round("sampling.sampling_ratio", 6).alias("sampling_ratio"), F.col("sampling.details.original_tokens").alias("original_tokens"), F.col("sampling.details.original_counts.notes").alias("original_notes"),
+        F.col("sampling.details.sampled_counts.tweets").alias("sampled_tweets"), F.array_join("analyses.completed", ",").alias("completed"), F.array_join("analyses.failed", ",").alias("failed"),
+        F.col("cost.total_input_tokens").alias("tokens_in"), F.col("cost.total_output_tokens").alias("tokens_out"), F.round("cost.estimated_cost_usd", 6).alias("cost"))
+
+
+_DIMS = ", ".join(f"({i}, '{name}')" for i, name in enumerate(_NAMES))
+MANIFEST_SQL = f"""{TYPED_WITH}, kept AS ({TYPED_KEPT}), dims(i, dimension) AS (VALUES {_DIMS}),
+ att AS (SELECT i.*, k.id IS NOT NULL AS kept FROM items i LEFT JOIN kept k ON k.id = i.id AND k.source_type = i.source_type),
+ last AS (SELECT d.dimension, {{w}} % 3 = 0 AS failed, {{w}} + 2000 AS tokens_in, length(coalesce(text, '')) AS tokens_out FROM documents JOIN dims d ON doc_id % {len(_NAMES)} = d.i QUALIFY row_number() OVER (PARTITION BY d.dimension ORDER BY doc_id DESC) = 1),
+ cnt AS (SELECT {', '.join(f"count(*) FILTER (kept AND source_type = '{k}') AS {n}" for k, n in R.COUNTED.items())}, coalesce(sum(tokens) FILTER (kept AND source_type <> 'hub'), 0)::BIGINT AS total_tokens,
+ min(created_at) FILTER (kept) AS first_day, max(created_at) FILTER (kept) AS last_day, sum(tokens)::BIGINT AS original_tokens, count(*) FILTER (source_type = 'note') AS original_notes FROM att),
+ res AS (SELECT coalesce(string_agg(dimension, ',' ORDER BY dimension) FILTER (NOT failed), '') AS completed, coalesce(string_agg(dimension, ',' ORDER BY dimension) FILTER (failed), '') AS failed, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out FROM last)
+ SELECT cnt.*, true AS was_sampled, round({LIMIT}::DOUBLE / original_tokens * 0.95::DOUBLE, 6) AS sampling_ratio, tweets AS sampled_tweets, res.*, round((tokens_in * 5.0::DOUBLE + tokens_out * 25.0::DOUBLE) / 1000000, 6) AS cost FROM cnt, res""".replace(
+    "{w}", "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''))")
+
+
+@query(MANIFEST_SQL)
+def corpus_manifest(s, d):
+    """Counts, tokens, days, sampling, completed and failed dimensions, and cost of the whole corpus."""
+    return flat(manifests(s, d))

@@ -13,6 +13,7 @@ from ..streaming import captures, images, queue
 from .analysis import A, analyses
 from .capturing import NEXT
 from .registry import query
+from .runs import MANIFEST_SQL, flat, manifests
 from .vault import document_pages
 
 N, MSG = f"WITH {NOTES_SQL}", f"WITH {MESSAGES_SQL}"
@@ -63,12 +64,12 @@ def write_rejects(s, d):
     return s.read.parquet(out).select("conv_id", "turn", "reason")
 
 
-@query(f"{N} SELECT count(*) AS n_notes, sum(words)::BIGINT AS n_words, min(created)::VARCHAR AS first_day FROM notes")
+@query(MANIFEST_SQL)
 def write_manifest(s, d):
-    out = sinks.shared_folder(s, "manifest")
-    notes = C.parse_notes(note_files(s, d))
-    sinks.write_manifest(notes.agg(F.count(F.lit(1)).alias("n_notes"), F.sum("word_count").alias("n_words"), F.min("created_at").alias("first_day")), out)
-    return s.read.schema("n_notes long, n_words long, first_day string").json(out)
+    """The manifest of the corpus, written as JSON and read back."""
+    out, made = sinks.shared_folder(s, "manifest"), manifests(s, d)
+    sinks.write_run_manifests(made, out)
+    return flat(s.read.schema(made.schema).json(out))
 
 
 @query(f"{MSG} SELECT chat_id, count(*) AS n FROM messages WHERE kind = 'photo' GROUP BY chat_id")

@@ -41,6 +41,12 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_run_manifests(manifests: DataFrame, path: str, mode: str = "append") -> None:
+    """A JSON line for each run (see ``run_manifest``) with the time it was made; empty fields are written as null, so that all lines have
+    the same ones."""
+    manifests.withColumn("generated_at", F.current_timestamp()).write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
 def write_rejects(checked: DataFrame, path: str) -> DataFrame:
     """Append the refused rows with their reason and time; return the admitted ones."""
     checked.where(F.col("reason").isNotNull()).withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(path)
