@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -147,8 +148,8 @@ def _markdown(root) -> str:
     return re.sub(r"(?m)^ (?! )", "", re.sub(r" *\n{3,}", "\n\n", re.sub(r" +\n\n", "\n\n", "".join(out))))
 
 
-def markdown(html: str | None) -> str:
-    """Main content of one page: the first container present, else the body, else everything."""
+def _main(html: str | None) -> tuple[str, tuple]:
+    """Which container holds a page's main content, and the node: the first kind present, else the body, else everything (no name)."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
@@ -157,8 +158,44 @@ def markdown(html: str | None) -> str:
     for kind, value in (*CONTAINERS, ("tag", "body")):
         for node in nodes:
             if _fits(node, kind, value):
-                return _markdown(("", {}, node[2]))
-    return _markdown(root)
+                return {"tag": value, "role": f'[role="{value}"]', "class": f".{value}", "id": f"#{value}"}[kind], node
+    return "", root
+
+
+def markdown(html: str | None) -> str:
+    """Main content of one page as markdown."""
+    return _markdown(("", {}, _main(html)[1][2]))
+
+
+def _quoted(value: str) -> str:
+    value = escape(value, quote=False)
+    return f"'{value}'" if '"' in value and "'" not in value else '"' + value.replace('"', "&quot;") + '"'
+
+
+def _written(root) -> str:
+    """A node as html again, without what is dropped; an explicit stack holds the ends of the open nodes."""
+    out: list[str] = []
+    todo: list = [root]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, list):
+            out += item
+        elif isinstance(item, str):
+            out.append(escape(item, quote=False))
+        elif item is root or not _dropped(item):
+            tag, attrs, children = item
+            if tag:
+                said = "".join(f" {k}={_quoted(v)}" for k, v in attrs.items())
+                out.append(f"<{tag}{said}/>" if tag in VOID else f"<{tag}{said}>")
+                todo.append([] if tag in VOID else [f"</{tag}>"])
+            todo += reversed(children)
+    return "".join(out)
+
+
+def main_content(html: str | None) -> tuple[str, str]:
+    """Container and html of one page's main content."""
+    container, node = _main(html)
+    return container, _written(node)
 
 
 def clean_markdown(text: Column) -> Column:
@@ -166,20 +203,35 @@ def clean_markdown(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\n{4,}", "\n\n\n"))
 
 
-def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Metadata, ``markdown_content``, ``success`` and ``error``; a page that cannot be parsed fails alone."""
+def _parsed(parse: Callable[[str | None], tuple[str | None, ...]], *names: str):
+    """``parse`` over batches of pages, its results by ``names``, beside the ``error`` of a page that cannot be parsed, which fails alone."""
 
-    @F.arrow_udf("struct<markdown_content:string,error:string>")
-    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(f"struct<{','.join(f'{name}:string' for name in names)},error:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found: list[tuple] = []
             for page in batch:
                 try:
-                    found.append((markdown(page.as_py()), None))
+                    found.append((*parse(page.as_py()), None))
                 except (ValueError, AssertionError) as e:  # html.parser on malformed declarations
-                    found.append((None, str(e)))
-            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["markdown_content", "error"])
+                    found.append((*[None] * len(names), str(e)))
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(len(names) + 1)], names=[*names, "error"])
+
+    return run
 
-    done = page_metadata(pages, html).withColumn("_x", parse(F.col(html)))
+
+def page_main_content(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add ``container`` (as a selector; null if the page has none, nor a body), ``main_html`` and ``error``.
+
+    ``main_html`` is the container with its own tags, without the elements that are dropped and without comments, references decoded
+    and special characters escaped again. Null and empty pages give an empty text; pages that cannot be parsed give null and say why.
+    """
+    done = pages.withColumn("_x", _parsed(main_content, "container", "main_html")(F.col(html)))
+    return done.withColumns({"container": F.nullif(F.col("_x.container"), F.lit("")), "main_html": F.col("_x.main_html"), "error": F.col("_x.error")}).drop("_x")
+
+
+def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Metadata, ``markdown_content``, ``success`` and ``error``; a page that cannot be parsed fails alone."""
+    done = page_metadata(pages, html).withColumn("_x", _parsed(lambda page: (markdown(page),), "markdown_content")(F.col(html)))
     content = clean_markdown(F.col("_x.markdown_content"))
     return done.withColumns({"markdown_content": content, "success": F.coalesce(content != "", F.lit(False)), "error": F.coalesce(F.col("_x.error"), F.when(content == "", "no content"))}).drop("_x")

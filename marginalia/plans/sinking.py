@@ -104,9 +104,8 @@ def scan_pages(s, d):
 
 @query()
 def page_main_content(s, d):
-    """How much of each page its main content is; tested on small pages."""
-    found = P.extract_pages(read(s, d, "pages"))
-    return found.select("page_id", F.length("markdown_content").cast("long").alias("n_chars"), "success")
+    """The html of each page's main content and the container that holds it; tested on pages by hand."""
+    return P.page_main_content(read(s, d, "pages")).select("page_id", "container", "main_html", "error")
 
 
 def updates(s: SparkSession, d: str) -> DataFrame:
