@@ -5,21 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# The white space of Unicode.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Trim all Unicode white space, not blanks alone."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space, not blanks alone; only the ends are looked at."""
+    return F.trim(text, F.lit(WHITE))
+
+
+def _closed(content: Column) -> tuple[Column, Column]:
+    """Whether a text begins with frontmatter that ends, and where the mark behind it stands."""
+    end = F.locate("---", content, 4)
+    return content.startswith("---") & (end > 0), end
 
 
 def frontmatter(content: Column) -> Column:
     """The lines between a leading ``---`` and the next; empty if there is none."""
-    parts = F.split(content, "---", 3)
-    return F.when(content.startswith("---") & (F.size(parts) == 3), parts[1]).otherwise(F.lit(""))
+    there, end = _closed(content)
+    return F.when(there, F.substring(content, F.lit(4), end - 4)).otherwise(F.lit(""))
 
 
 def body(content: Column) -> Column:
     """The text after the frontmatter, or the whole text."""
-    parts = F.split(content, "---", 3)
-    return strip(F.when(content.startswith("---") & (F.size(parts) == 3), parts[2]).otherwise(content))
+    there, end = _closed(content)
+    return strip(F.when(there, F.substring(content, end + 3, F.length(content))).otherwise(content))
 
 
 def front_value(content: Column, key: str) -> Column:
@@ -42,7 +52,8 @@ def front_map(content: Column) -> Column:
 
 def section(text: Column, name: str) -> Column:
     """The text under a heading, up to the next heading, stripped; empty if there is none."""
-    return strip(F.regexp_extract(text, rf"(?is)##?[ \t]*{name}[ \t]*\n(.*?)(?=\n##?\s|\z)", 1))
+    rest = F.regexp_extract(text, rf"(?is)##?[ \t]*{name}[ \t]*\n(.*)", 1)
+    return strip(F.split(rest, r"\n##?\s", 2)[0])  # found once, cut once: no step back at each character
 
 
 def title(text: Column) -> Column:

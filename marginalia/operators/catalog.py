@@ -199,7 +199,7 @@ def checks(pairs: DataFrame) -> DataFrame:
     kind = F.coalesce("kind", F.lit("telegram")) if "kind" in pairs.columns else F.lit("telegram")
     rows = pairs.select("doc_id", F.coalesce("body", F.lit("")).alias("body"), T.without_fence(F.col("markdown")).alias("m"), kind.alias("kind"))
     m, body = F.col("m"), F.col("body")
-    lines = F.transform(F.split(m, "\n"), T.strip)
+    lines = F.transform(F.split(m, "\n", 41), T.strip)  # forty lines and the rest
     front = (lines[0] == "---") & (F.array_position(F.slice(lines, 2, 39), "---") > 0)
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     corrupt = (count(m, "&nbsp;") > count(body, "&nbsp;")) | (count(m, r"\\[\[\]_*#]") > count(body, r"\\[\[\]_*#]"))

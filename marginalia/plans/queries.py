@@ -97,8 +97,10 @@ def theme_cooccurrence(s, d):
 @query(f"{N}, t AS (SELECT date_trunc('month', created)::DATE AS month, unnest([lang, source, size]) AS theme FROM notes), c AS (SELECT theme, month, count(*) AS n_notes FROM t GROUP BY ALL) SELECT theme, month, n_notes, round(n_notes::DOUBLE / (SELECT count(*) FROM notes WHERE date_trunc('month', created) = month), 6) AS share, n_notes - lag(n_notes) OVER (PARTITION BY theme ORDER BY month) AS change FROM c")
 def theme_trend(s, d):
     """By month, the notes of a theme, their share of the month's notes, and the change from the theme's month before."""
-    months = notes(s, d).groupBy(F.trunc("created_at", "month").alias("month")).agg(n("all_notes"))
-    counted = notes(s, d).select(F.trunc("created_at", "month").alias("month"), F.explode("themes").alias("theme")).groupBy("theme", "month").agg(n("n_notes"))
+    every = F.concat(F.array(F.lit(None).cast("string")), "themes")  # the row without a theme counts the note
+    counts = stable(notes(s, d).select(F.trunc("created_at", "month").alias("month"), F.explode(every).alias("theme")).groupBy("theme", "month").agg(n("n_notes")))
+    months = counts.where("theme is null").select("month", F.col("n_notes").alias("all_notes"))
+    counted = counts.where("theme is not null")
     changed = counted.withColumn("change", F.col("n_notes") - F.lag("n_notes").over(Window.partitionBy("theme").orderBy("month")))
     return changed.join(months, "month").select("theme", "month", "n_notes", F.round(F.col("n_notes") / F.col("all_notes"), 6).alias("share"), "change")
 
