@@ -31,10 +31,11 @@ class Limits:
 
 
 class Model(NamedTuple):
-    """For each n (0: whole words) the strings known and their log frequency in each language."""
+    """For each n (0: whole words) the strings known and their log frequency in each language. The strings are Arrow arrays:
+    the driver hands them on and makes no Python string of each."""
 
     langs: list[str]
-    names: dict[int, list[str]]
+    names: dict[int, pa.Array]
     logs: dict[int, np.ndarray]
 
 
@@ -72,17 +73,25 @@ def train(labelled: DataFrame, limits: Limits = Limits(), key: str = "doc_id", t
     to every count: what a language lacks is rare there, not impossible. Rows without language or text teach nothing.
     """
     found = counts(labelled, limits, key, text, lang).toArrow()
-    langs = sorted(set(found["lang"].unique().to_pylist()))
+    lang_of = found["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(lang_of.dictionary.to_pylist())
     names, logs = {}, {}
-    order, n_of, c_of = {x: i for i, x in enumerate(langs)}, found["n"].to_numpy(), found["c"].to_numpy()
-    lang_at = np.array([order[x] for x in found["lang"].to_pylist()], dtype=np.intp)
+    order = np.array([langs.index(x) for x in lang_of.dictionary.to_pylist()], dtype=np.intp)
+    lang_at, n_of, c_of = order[lang_of.indices.to_numpy()], found["n"].to_numpy(), found["c"].to_numpy()
     for n in range(limits.longest + 1):
         mine = np.flatnonzero(n_of == n)
         coded = found["s"].take(pa.array(mine)).combine_chunks().dictionary_encode()
-        names[n] = coded.dictionary.to_pylist()
+        names[n] = coded.dictionary
         table = np.zeros((len(names[n]), len(langs)))
         table[coded.indices.to_numpy(), lang_at[mine]] = c_of[mine]
-        logs[n] = np.log((table + 0.5) / (table.sum(0) + 0.5 * len(table))) if len(table) else table
+        if len(table):
+            total = table.sum(0) + 0.5 * len(table)
+            table += 0.5
+            table /= total
+            np.log(table, out=table)
+        logs[n] = table
+    del found, lang_of, coded
+    pa.default_memory_pool().release_unused()  # else the driver holds the space of the counts
     return Model(langs, names, logs)
 
 
@@ -91,8 +100,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.langs = model.langs
-        self.grams = {n: dict(zip(model.names[n], model.logs[n].tolist())) for n in sorted(model.names, reverse=True) if n}
-        self.known = model.names[0]
+        self.grams = {n: dict(zip(model.names[n].to_pylist(), model.logs[n].tolist())) for n in sorted(model.names, reverse=True) if n}
+        self.known = model.names[0].to_pylist()
         self.table = np.zeros((len(self.known) + _CACHE, len(self.langs)), np.float32)
         self.table[: len(self.known)] = model.logs[0]
         self.forget()
