@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from marginalia.streaming import images, queue
@@ -100,3 +101,93 @@ def test_photos_meet_texts_in_one_batch_or_many(spark, tmp_path):
             later = min(((t, j) for j, c, t, k, _ in rows if c == chat and k in ("text", "captioned") and t and (t, j) > (ts, i)), default=None)
             want.append((i, chat, later[1] if later and later[0] - ts <= dt.timedelta(hours=6) else None))
     assert found[0] == found[1] == sorted(want)
+
+
+class _Held:
+    """State of one group in memory; counts how often it is read and written."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.calls = {}, {}, set(), 0
+
+    def getMapState(self, name, *_):
+        held, outer = self.maps.setdefault(name, {}), self
+
+        class Map:
+            def count(self, out):
+                outer.calls += 1
+                return out
+
+            def getValue(self, k):
+                return self.count(held.get(k))
+
+            def containsKey(self, k):
+                return self.count(k in held)
+
+            def updateValue(self, k, v):
+                self.count(held.__setitem__(k, v))
+
+            def removeKey(self, k):
+                self.count(held.pop(k))
+
+            def keys(self):
+                return self.count(iter(list(held)))
+
+        return Map()
+
+    def getValueState(self, name, *_):
+        values = self.values
+
+        class Value:
+            exists = staticmethod(lambda: name in values)
+            get = staticmethod(lambda: values.get(name))
+            update = staticmethod(lambda v: values.__setitem__(name, v))
+            clear = staticmethod(lambda: values.pop(name, None))
+
+        return Value()
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _settled(rows, watermarks, wait_ms=3_600_000):
+    """What comes out of a group whose rows (chat, ms, id, photo) come at once, while the watermark goes on; and its state."""
+    handle, p = _Held(), images._NextText(wait_ms)
+    p.init(handle)
+    frame = pd.DataFrame(rows, columns=["chat_id", "ms", "message_id", "photo"]).assign(kind=lambda f: f.photo.map({1: "photo", 0: "text"}))
+    found = [f for k in range(0, len(frame), 500) for f in p.handleInputRows((1,), iter([frame[k : k + 500]]), _Now(0))]
+    for ms in watermarks:
+        fired = {t for t in handle.timers if t <= ms}
+        handle.timers -= fired
+        for _ in sorted(fired):
+            found += list(p.handleExpiredTimer((1,), _Now(ms), None))
+    return sorted((int(r.image_id), int(r.chat_id), None if pd.isna(r.text_id) else int(r.text_id)) for f in found for r in f.itertuples()), handle
+
+
+def test_photos_read_state_by_the_hour_and_not_by_the_row():
+    r, minute = random.Random(5), 60_000
+    rows = [(r.randint(1, 40), r.randint(0, 300 * minute), i, r.randint(0, 1)) for i in range(5000)]
+    want = []
+    for chat, ms, i, photo in rows:
+        if photo:
+            later = min(((t, j) for c, t, j, p in rows if c == chat and not p and (t, j) > (ms, i)), default=None)
+            want.append((i, chat, later[1] if later and later[0] - ms <= 20 * minute else None))
+    once, handle = _settled(rows, [10**9], 20 * minute)
+    assert once == sorted(want) and handle.calls < 500
+    assert _settled(rows, range(0, 400 * minute, 7_777_777), 20 * minute)[0] == once
+    assert _settled(rows, range(0, 400 * minute, 91_234), 20 * minute)[0] == once
+
+
+def test_a_wait_that_ends_within_a_minute_is_not_cut_by_the_watermark():
+    rows = [(1, 1000, 1, 1), (1, 3_600_900, 2, 0)]  # the text comes in time, in a minute that the watermark first only reaches
+    assert _settled(rows, [3_601_500, 10**8])[0] == _settled(rows, [10**8])[0] == [(1, 1, 2)]
