@@ -85,3 +85,17 @@ def test_broken_frontmatter_goes_to_rejects(spark, tmp_path):
     files = spark.createDataFrame([("a", "---\nx: [1\n---\n"), ("b", "---\nx: [1]\n---\n")], "path string, content string")
     assert [r["path"] for r in Y.admitted(files, f"{tmp_path}/rejects").collect()] == ["b"]
     assert [(r["path"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/rejects").collect()] == [("a", "frontmatter")]
+
+
+def test_words_need_no_grams(spark):
+    r = random.Random(8)
+    words = ["".join(r.choices("abcé", k=r.randint(1, 5))) for _ in range(300)] + ["x" * 40]
+    rows = [(f"N{i % 90:02}-{r.choice(words)}", r.choice([" ", "-", "1", "\n"]).join(r.choices(words, k=12))) for i in range(120)] + [("", "ab"), ("z", None)]
+    index = S.build_index(spark.createDataFrame(rows, "stem string, raw_capture string").repartition(5))
+    terms = sorted({w[:k].swapcase() for w in words for k in (1, 2, 3, 5)}) + ["X" * 32, "n", "Ñ", None]
+    for limit in (1, 6):
+        found = S.search(index, spark.createDataFrame([(t,) for t in terms], "term string"), limit)
+        assert sorted(map(tuple, found.collect())) == scan(rows, terms, limit)
+    assert not {"postings", "sizes"} & set(vars(index))  # the index holds words only
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # no task passes on more than the first notes of a word or term
