@@ -138,3 +138,15 @@ def test_a_kept_document_is_processable_by_its_type_whatever_its_size(spark):
     rows = spark.createDataFrame([("/v/a.PDF", 21 * 1024 * 1024), ("/v/b.pdf", 1), ("/v/c.pdf", None), ("/v/d.txt", 1), ("/v/e", 1), (None, 1)], "path string, size long")
     assert [(r.name, r.extension, r.processable) for r in O.document_info(rows).orderBy(F.col("path").asc_nulls_last()).collect()] == [
         ("a.PDF", ".pdf", True), ("b.pdf", ".pdf", True), ("c.pdf", ".pdf", True), ("d.txt", ".txt", False), ("e", "", False), (None, None, False)]
+
+
+def test_summaries_of_many_runs_are_few_files(spark, tmp_path):
+    rows = spark.range(900).select((F.col("id") % 300).alias("run_id"), F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("category"), F.lit("").alias("note"), F.col("id").cast("string").alias("content"))
+    for _ in range(2):
+        sinks.write_category_summaries(rows.repartition(4), f"{tmp_path}/sums")
+    kept = spark.read.schema("frontmatter string, content string, run_id long").parquet(f"{tmp_path}/sums")
+    assert len(kept.inputFiles()) <= 8
+    got = [tuple(r) for r in kept.select("run_id", F.get_json_object("frontmatter", "$.category"), "content").collect()]
+    assert sorted(got) == sorted(2 * [(i % 300, f"c{i % 3}", str(i)) for i in range(900)])
+    for part in kept.select(F.input_file_name().alias("f"), "run_id").groupBy("f").agg(F.collect_list("run_id").alias("ids")).collect():
+        assert part.ids == sorted(part.ids)
