@@ -47,3 +47,8 @@ def test_pages_of_the_table(spark):
     again = [P.main_content(r.main_html) for r in rows]
     assert again == [(r.container or "", r.main_html) for r in rows]
     assert sum(r.container is not None for r in rows) > len(rows) / 2
+
+
+def test_titles_are_decoded_as_browsers_show_them(spark):
+    pages = spark.createDataFrame([("<html><head><title> token = &quot;5a&quot; &amp;amp; &lt;b&gt; </title></head></html>", "https://a.b/")], "html string, url string")
+    assert P.page_metadata(pages).first().title == 'token = "5a" &amp; <b>'
