@@ -162,9 +162,9 @@ class _Now:
 
 def _settled(rows, watermarks, wait_ms=3_600_000):
     """What comes out of a group whose rows (chat, ms, id, photo) come at once, while the watermark goes on; and its state."""
-    handle, p = _Held(), images._NextText(wait_ms)
+    handle, p = _Held(), images._NextText(wait_ms * 1000)
     p.init(handle)
-    frame = pd.DataFrame(rows, columns=["chat_id", "ms", "message_id", "photo"]).assign(kind=lambda f: f.photo.map({1: "photo", 0: "text"}))
+    frame = pd.DataFrame(rows, columns=["chat_id", "ms", "message_id", "photo"]).assign(at=lambda f: (f.ms * 1000).round().astype("int64"))
     found = [f for k in range(0, len(frame), 500) for f in p.handleInputRows((1,), iter([frame[k : k + 500]]), _Now(0))]
     for ms in watermarks:
         fired = {t for t in handle.timers if t <= ms}
@@ -191,3 +191,7 @@ def test_photos_read_state_by_the_hour_and_not_by_the_row():
 def test_a_wait_that_ends_within_a_minute_is_not_cut_by_the_watermark():
     rows = [(1, 1000, 1, 1), (1, 3_600_900, 2, 0)]  # the text comes in time, in a minute that the watermark first only reaches
     assert _settled(rows, [3_601_500, 10**8])[0] == _settled(rows, [10**8])[0] == [(1, 1, 2)]
+
+
+def test_times_within_a_millisecond_keep_their_order():
+    assert _settled([(1, 5.002, 9, 1), (1, 5.003, 3, 0), (1, 5.001, 2, 0)], [10**8])[0] == [(9, 1, 3)]
